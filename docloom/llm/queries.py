@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.bpe_codec import op5_bpe_codec
+from docloom.llm.decontaminate import op6_decontaminate
 from docloom.llm.token_counts import op8_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_bpe_codec": op5_bpe_codec,
+        "op6_decontaminate": op6_decontaminate,
         "op8_token_counts": op8_token_counts,
     }
 
