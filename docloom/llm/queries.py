@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.bpe_codec import op5_bpe_codec
 from docloom.llm.decontaminate import op6_decontaminate
+from docloom.llm.near_dedup import op9_near_dedup
 from docloom.llm.token_counts import op8_token_counts
 
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bpe_codec": op5_bpe_codec,
         "op6_decontaminate": op6_decontaminate,
         "op8_token_counts": op8_token_counts,
+        "op9_near_dedup": op9_near_dedup,
     }
 
 
