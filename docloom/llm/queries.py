@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm.bpe_codec import op5_bpe_codec
 from docloom.llm.decontaminate import op6_decontaminate
 from docloom.llm.near_dedup import op9_near_dedup
+from docloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from docloom.llm.token_counts import op8_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_decontaminate": op6_decontaminate,
         "op8_token_counts": op8_token_counts,
@@ -22,4 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": OP1_SQL,
+    }
