@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.bpe_codec import op5_bpe_codec
 from docloom.llm.decontaminate import op6_decontaminate
+from docloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from docloom.llm.near_dedup import op9_near_dedup
 from docloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from docloom.llm.token_counts import op8_token_counts
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_decontaminate": op6_decontaminate,
+        "op7_line_dedup": op7_line_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_near_dedup": op9_near_dedup,
     }
@@ -26,4 +28,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_SQL,
+        "op7_line_dedup": OP7_SQL,
     }
