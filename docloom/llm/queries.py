@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.bpe_codec import op5_bpe_codec
 from docloom.llm.decontaminate import op6_decontaminate
+from docloom.llm.html_extract import op4_html_extract
 from docloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from docloom.llm.near_dedup import op9_near_dedup
 from docloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from docloom.llm.token_counts import op8_token_counts
+from docloom.llm.url_filter import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_url_filter": op2_url_filter,
+        "op4_html_extract": op4_html_extract,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_decontaminate": op6_decontaminate,
         "op7_line_dedup": op7_line_dedup,
