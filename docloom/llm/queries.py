@@ -11,6 +11,7 @@ from docloom.llm.decontaminate import op6_decontaminate
 from docloom.llm.html_extract import op4_html_extract
 from docloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from docloom.llm.near_dedup import op9_near_dedup
+from docloom.llm.quality_mil import op10_quality_mil
 from docloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from docloom.llm.token_counts import op8_token_counts
 from docloom.llm.url_filter import op2_url_filter
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_near_dedup": op9_near_dedup,
+        "op10_quality_mil": op10_quality_mil,
     }
 
 
