@@ -14,6 +14,7 @@ from docloom.llm.near_dedup import op9_near_dedup
 from docloom.llm.quality_mil import op10_quality_mil
 from docloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from docloom.llm.token_counts import op8_token_counts
+from docloom.llm.toxicity import op3_toxicity
 from docloom.llm.url_filter import op2_url_filter
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_url_filter": op2_url_filter,
+        "op3_toxicity": op3_toxicity,
         "op4_html_extract": op4_html_extract,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_decontaminate": op6_decontaminate,
