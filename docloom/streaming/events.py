@@ -62,3 +62,27 @@ def size_limited(events: DataFrame, limit: int, size: F.Column, key: str = "user
 def latest_status(events: DataFrame, key: str = "user_id") -> DataFrame:
     """The type of each key's last event."""
     return events.groupBy(key).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+
+
+def stream_tumbling_counts(source: DataFrame, path: str, checkpoint: str, seconds: int = 60, late: str = "10 minutes"):
+    """Start a query that appends finished windows of ``source``, a streaming DataFrame of events, to Parquet at ``path``."""
+    out = tumbling_counts(source, seconds, late)
+    return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def stream_sequence(source: DataFrame, path: str, checkpoint: str, key: str = "user_id"):
+    """Start a query that numbers the events of each key across micro-batches, in order of arrival and time."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def number(keys, frames, state: GroupState):
+        last = state.get[0] if state.exists else 0
+        for frame in frames:
+            frame = frame.sort_values(["ts", "event_id"])
+            seq = range(last + 1, last + 1 + len(frame))
+            last += len(frame)
+            yield pd.DataFrame({key: frame[key], "event_id": frame["event_id"], "seq": seq})
+        state.update((last,))
+
+    numbered = source.groupBy(key).applyInPandasWithState(number, f"{key} bigint, event_id bigint, seq bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return numbered.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
