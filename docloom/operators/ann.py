@@ -15,7 +15,7 @@ from docloom.operators.retrieval import dense_topk, top, unit
 
 #: Rows from which centroids are fitted, in the order of a hash of their ids; every row is indexed.
 SAMPLE = 20_000
-CENTROIDS, PROBES = 16, 10
+CENTROIDS, PROBES = 16, 13
 WIDTH = 1024
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
