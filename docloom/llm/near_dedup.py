@@ -4,13 +4,16 @@
    128 MinHash samples, 32 band keys of 4 samples each, and an odd sketch: a
    512-bit parity bitmap into which every sample is folded by XOR.
 2. Documents with equal sets form one class; only its smallest id goes on.
-3. In every bucket of a band, members are compared with the bucket's smallest
-   id, with its largest, and with the next member by set size: three linear
-   passes. A pair whose odd sketches, by the population count of their XOR, or
-   whose set sizes rule out the similarity is dropped; the full sets of all
-   others are intersected. Verified pairs are joined into components.
-4. Only pairs of one bucket that still lie in different components are left;
-   they go through the same filters and the same verification.
+3. Every member of a bucket is compared with the bucket's hub, the member that
+   shares most buckets with most documents: a linear number of pairs. A pair is
+   dropped if its set sizes or its odd sketches, by the population count of
+   their XOR, rule out the similarity; the full sets of all others are
+   intersected. Verified pairs are joined into components.
+4. Only pairs of one bucket that still lie in different components are left.
+   The number of shingles that no other of their documents has bounds every
+   intersection from above: documents that cannot reach the similarity with any
+   other leave. The rest get sharper odd sketches (1024 samples in 4096 bits);
+   pairs that pass both, each taken in its first common band, are verified.
 
 A pair at similarity 0.75 shares no bucket with probability
 (1 - 0.75 ** 4) ** 32 = 5e-6; nothing is capped.
@@ -27,19 +30,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docloom.llm.common import append_columns, drop_path, materialize, shared_dir, slices, table
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
 SKETCH_LONGS = 8
-#: Odd-sketch estimates below this drop a pair: over five standard deviations under 0.75.
-SKETCH_FLOOR = 0.5
+#: Odd-sketch estimates below these drop a pair: over five standard deviations under 0.75.
+SKETCH_FLOOR, SHARP_FLOOR = 0.5, 0.65
+SHARP_SAMPLES, SHARP_LONGS = 1024, 64
+FILTER_BITS = 1 << 26
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SAMPLES = np.random.default_rng(20240229)
-_FACTORS = _SAMPLES.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_OFFSETS = _SAMPLES.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_FACTORS = _SAMPLES.integers(0, 1 << 32, SHARP_SAMPLES, dtype=np.uint32) | np.uint32(1)
+_OFFSETS = _SAMPLES.integers(0, 1 << 32, SHARP_SAMPLES, dtype=np.uint32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,13 +67,14 @@ def shingle_set(text: bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def min_hashes(shingles: np.ndarray, block: int = 2048) -> np.ndarray:
-    """One minimum for each of the BANDS * ROWS hash functions, in bounded memory."""
+def min_hashes(shingles: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
+    """One minimum for each hash function, in bounded memory."""
     low = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    out = np.full(samples, 0xFFFFFFFF, np.uint32)
+    block = (1 << 18) // samples
     for start in range(0, len(low), block):
-        part = low[start : start + block, None] * _FACTORS
-        part ^= _OFFSETS
+        part = low[start : start + block, None] * _FACTORS[:samples]
+        part ^= _OFFSETS[:samples]
         np.minimum(out, part.min(axis=0), out=out)
     return out
 
@@ -82,10 +88,10 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
     """A bitmap in which a bit is set if an odd number of samples falls on it."""
-    at = mix(samples.astype(np.uint64) * _MIX + np.arange(len(samples), dtype=np.uint64)) % np.uint64(64 * SKETCH_LONGS)
-    odd = (np.bincount(at.astype(np.int64), minlength=64 * SKETCH_LONGS) & 1).astype(np.uint8)
+    at = mix(samples.astype(np.uint64) * _MIX + np.arange(len(samples), dtype=np.uint64)) % np.uint64(64 * longs)
+    odd = (np.bincount(at.astype(np.int64), minlength=64 * longs) & 1).astype(np.uint8)
     return np.packbits(odd).view(">i8").astype(np.int64)
 
 
@@ -110,27 +116,85 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return append_columns(source, "text", fields, make, binary=True, drop=("text",))
 
 
-def estimate(left: str, right: str) -> Column:
+def estimate(left: str, right: str, samples: int, longs: int) -> Column:
     """Similarity by the odd-sketch formula from the population count of the XOR of two sketches."""
-    apart = sum((F.bit_count(F.col(f"{left}.sketch")[k].bitwiseXOR(F.col(f"{right}.sketch")[k])) for k in range(SKETCH_LONGS)), F.lit(0))
-    bits, samples = 64 * SKETCH_LONGS, BANDS * ROWS
+    apart = sum((F.bit_count(F.col(f"{left}.sketch")[k].bitwiseXOR(F.col(f"{right}.sketch")[k])) for k in range(longs)), F.lit(0))
+    bits = 64 * longs
     return 1 + F.lit(bits / (4.0 * samples)) * F.log(F.greatest(1 - 2 * apart / F.lit(float(bits)), F.lit(1e-9)))
 
 
 def plausible(left: str, right: str, percent: int) -> Column:
     """Whether set sizes and sketches leave room for the similarity."""
     a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (estimate(left, right) >= SKETCH_FLOOR)
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (estimate(left, right, BANDS * ROWS, SKETCH_LONGS) >= SKETCH_FLOOR)
 
 
-def set_bytes(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """id and the packed whole shingle set of the wanted ids."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "id", "left_semi")
+def sharply_plausible(left: str, right: str, percent: int) -> Column:
+    """Whether shingles that others have too, and sharper sketches, leave room for the similarity."""
+    shared = F.least(F.col(f"{left}.n") - F.col(f"{left}.own"), F.col(f"{right}.n") - F.col(f"{right}.own"))
+    union = F.col(f"{left}.n") + F.col(f"{right}.n") - shared
+    return (100 * shared >= percent * union) & (estimate(left, right, SHARP_SAMPLES, SHARP_LONGS) >= SHARP_FLOOR)
 
-    def make():
-        return lambda texts: [[shingle_set(t).tobytes() for t in texts]]
 
-    return append_columns(source, "text", [T.StructField("items", T.BinaryType())], make, binary=True, drop=("text",))
+def first_common_band(left: str, right: str, key: Column) -> Column:
+    """Whether ``key`` is the first band key that both have: each pair is taken in one bucket only."""
+    same = F.zip_with(F.col(f"{left}.bands"), F.col(f"{right}.bands"), lambda x, y: x == y)
+    return F.get(F.col(f"{left}.bands"), (F.array_position(same, True) - 1).cast("int")) == key
+
+
+def own_shingles(sets: DataFrame) -> DataFrame:
+    """id, n, own: set size, and how many of its shingles no other of these sets has."""
+    single = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    return sets.select("id", F.size("items").cast("long").alias("n")).join(own, "id", "left").fillna(0, ["own"])
+
+
+def mixed_buckets(entries: DataFrame) -> DataFrame:
+    """The entries (key, component and others) of buckets that hold more than one component."""
+    mixed = entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return entries.join(mixed, "key", "left_semi")
+
+
+def sharp_sketches(sets: DataFrame) -> DataFrame:
+    """id and the sharper odd sketch of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "items"):
+                made = [odd_sketch(min_hashes(x.values.to_numpy().view(np.uint64), SHARP_SAMPLES), SHARP_LONGS) for x in batch.column("items")]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.list_(pa.int64()))], names=["id", "sketch"])
+
+    schema = T.StructType([sets.schema["id"], T.StructField("sketch", T.ArrayType(T.LongType()))])
+    return sets.select("id", "items").mapInArrow(run, schema)
+
+
+def id_filter(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits over the hashes of ids: of fixed size, with false positives but no false negatives."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {FILTER_BITS}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for batch in words.toArrow().to_batches():  # at most FILTER_BITS / 64 rows
+        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    return out
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """id and the whole shingle set of the wanted ids. Texts are read in place; only sets are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    key = F.col(f"`{id_col}`")
+    source = docs.where(key.isNotNull()).select(key.alias("id"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("slot"), F.col(f"`{text_col}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for whole in batches:
+            slot = whole.column("slot").to_numpy()
+            chosen = whole.filter(pa.array((bits[slot >> 6] >> (slot & 63)) & 1 == 1))
+            for batch in slices(chosen, "text"):
+                sets = [shingle_set(t).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
+
+    schema = T.StructType([source.schema["id"], T.StructField("items", T.ArrayType(T.LongType()))])
+    return source.mapInArrow(run, schema).join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,7 +206,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for batch in slices(whole, "right"):
                 keep = []
                 for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                    x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+                    x, y = (side.values.to_numpy().view(np.uint64) for side in (left, right))
                     at = np.searchsorted(y, x)
                     shared = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
                     keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
@@ -190,40 +254,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(sketches(docs, id_col, text_col))
     linkable = rows.where("id IS NOT NULL AND fp IS NOT NULL")
     classes = stored(linkable.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    members = linkable.select("id", "fp").join(classes.where("n > 1").select("fp", "rep"), "fp").select(F.col("rep").alias("a"), F.col("id").alias("b")).where("a <> b")
     alone = linkable.join(classes.where("n > 1").select(F.col("fp"), F.col("rep")), "fp", "left").where("rep IS NULL OR rep = id")
     reps = alone.select("id", F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["id", "n"])
 
     entries = reps.select("id", F.col("n"), F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    buckets = stored(entries.join(shared, "key"))
-    by_size = buckets.withColumn("next", F.lead("id").over(Window.partitionBy("key").orderBy("n", "id")))
-    pairs = (
-        buckets.select(F.col("first").alias("a"), F.col("id").alias("b"))
-        .union(buckets.select(F.col("id"), F.col("last")))
-        .union(by_size.where("next IS NOT NULL").select(F.least("id", "next"), F.greatest("id", "next")))
-        .where("a <> b")
-        .distinct()
-    )
-    traits = stored(reps.select("id", F.struct("n", "sketch").alias("traits")).join(buckets.select("id").distinct(), "id", "left_semi"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    grouped = stored(entries.join(shared, "key").select("key", "id", "size"))
+    mass = grouped.groupBy("id").agg(F.sum("size").alias("mass"))
+    hubs = grouped.join(mass, "id").groupBy("key").agg(F.max_by("id", F.struct("mass", "id")).alias("hub"))
+    pairs = grouped.join(hubs, "key").where("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    wanted = stored(grouped.select("id").distinct())
+    traits = stored(reps.select("id", F.struct("n", "sketch").alias("traits")).join(wanted, "id", "left_semi"))
     candidates = stored(with_traits(pairs, traits).where(plausible("ta", "tb", percent)).select("a", "b"))
-    wanted = buckets.select("id").distinct()
-    sets = stored(set_bytes(docs, id_col, text_col, wanted).dropDuplicates(["id"]))
+    paired = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stored(shingle_sets(docs, id_col, text_col, paired))
     links = stored(verified(candidates, sets, percent))
     found = components(links, temporary)
 
-    labelled = buckets.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = labelled.join(mixed, "key").join(traits, "id").select("key", "id", "component", "traits")
+    labelled = grouped.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    rest = stored(mixed_buckets(labelled))
+    of_rest = stored(shingle_sets(docs, id_col, text_col, rest.select("id").distinct()))
+    able = stored(own_shingles(of_rest).where(f"100 * (n - own) >= {percent} * n"))
+    rest = stored(mixed_buckets(rest.join(able.select("id"), "id", "left_semi").select("key", "component", "id")))
+    sharp = sharp_sketches(of_rest.join(rest.select("id").distinct(), "id", "left_semi")).join(able, "id").join(reps.select("id", "bands"), "id")
+    sharp = stored(sharp.dropDuplicates(["id"]).select("id", F.struct("n", "own", "sketch", "bands").alias("traits")))
+    rest = rest.join(sharp, "id")
     left = rest.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("traits").alias("ta"))
     right = rest.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("traits").alias("tb"))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & plausible("ta", "tb", percent))
+    pair = (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    across = left.join(right, pair & sharply_plausible("ta", "tb", percent) & first_common_band("ta", "tb", left["key"]))
     more = across.select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti")
-    links = links.union(stored(verified(more, sets, percent)))
-    found = components(links.union(members), temporary)
-
-    out = rows.select("id", "n_shingles").join(found, "id", "left")
-    out = materialize(out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("component").isNull() | (F.col("component") == F.col("id")), F.lit(True)).alias("kept")))
+    late = stored(verified(more, of_rest, percent))
+    if not late.isEmpty():  # join whole components by the links found between them
+        of = found.select("id", "component")
+        ends = late.join(of.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
+        merged = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), temporary)
+        found = found.join(merged.select(F.col("id").alias("component"), F.col("component").alias("lower")), "component", "left").select("id", F.coalesce("lower", "component").alias("component"))
+        found = stored(found.union(merged.select("id", "component")).groupBy("id").agg(F.min("component").alias("component")))
+
+    of_class = classes.select("fp", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("fp").alias("class"), F.coalesce("component", "rep").alias("component"))
+    out = rows.select("id", "n_shingles", "fp").join(of_class.where("component IS NOT NULL"), F.col("fp") == F.col("class"), "left")
+    lowest = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    out = materialize(out.select(F.col("id").alias(id_col), "n_shingles", lowest.alias("component_id"), F.coalesce(lowest == F.col("id"), F.lit(True)).alias("kept")))
     for path in temporary:
         drop_path(spark, path)
     return out
