@@ -145,12 +145,12 @@ def style_tree(parsed: DataFrame) -> DataFrame:
     features = texts.groupBy("host", "path", "feature").agg(F.count("*").alias("n"))
     leaf_pages = parsed.select("host", F.explode(F.expr("array_distinct(transform(blocks, b -> b.path))")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("m"))
     same = ["host", "path"]
-    share = F.when(F.col("m") > 1, 1 - F.log("n") / F.log(F.col("m").cast("double"))).otherwise(F.lit(1.0))
-    leaves = features.join(leaf_pages, same).groupBy(*same).agg(F.max("m").alias("pages"), F.avg(share).alias("importance"))
+    spread = features.groupBy(*same).agg(F.avg(F.log("n")).alias("spread"))  # partial sums: a hot site does not meet in one task
+    m = F.col("m").cast("double")
+    leaves = spread.join(leaf_pages, same).select(*same, F.col("m").alias("pages"), F.when(m > 1, 1 - F.col("spread") / F.log(m)).otherwise(1.0).alias("importance"))
     styles = parsed.select("host", F.inline("nodes")).groupBy("host", "path", "children").agg(F.count("*").alias("n"))
-    node_pages = parsed.select("host", F.explode("nodes.path").alias("path")).groupBy(*same).agg(F.count("*").alias("m"))
-    entropy = F.when(F.col("m") > 1, -F.sum(F.col("n") / F.col("m") * F.log(F.col("n") / F.col("m"))) / F.log(F.max("m").cast("double"))).otherwise(F.lit(1.0))
-    inner = styles.join(node_pages, same).groupBy(*same, "m").agg(entropy.alias("importance")).select(*same, F.col("m").alias("pages"), "importance")
+    inner = styles.groupBy(*same).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    inner = inner.select(*same, F.col("m").alias("pages"), F.when(m > 1, 1 - F.col("nlogn") / (m * F.log(m))).otherwise(1.0).alias("importance"))
     return leaves.union(inner)
 
 
