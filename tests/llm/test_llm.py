@@ -221,7 +221,7 @@ def test_held_out_accuracy(spark, name, label, folds, held, least):
 
 
 def test_models_on_odd_and_empty_tables(spark, odd):
-    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in (1, 2, 3, 4, 5, 7, None)], "doc_id bigint, quality int, toxic int")
+    labels = spark.createDataFrame([(i, (i or 0) % 2, (i or 0) % 2) for i in (1, 2, 3, 4, 5, 7, None)], "doc_id bigint, quality int, toxic int")
     empty = spark.createDataFrame([], SCHEMA)
     for module, score in ((quality_mil, quality_mil.score_quality), (toxicity, toxicity.score_toxicity)):
         model = module.train(odd, labels)
