@@ -34,8 +34,12 @@ HALF = "CAST(5 * pow(2, floor(log2({m} / 10.0D))) AS INT)"
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """id, th, pos, line, halves of each long enough line; line is the hash of its words."""
-    halves = lambda h: f"xxhash64(1, {h}, slice(w, 1, {h})), xxhash64(2, {h}, slice(w, -{h}, {h}))"
+    """id, th, pos, line, halves of each long enough line; line is the hash of its words.
+
+    halves has (hash, whether it is the first half, its words h). A line whose
+    neighbours may be shorter has the halves of the next shorter length too.
+    """
+    halves = lambda h: f"named_struct('half', xxhash64(1, {h}, slice(w, 1, {h})), 'head', true, 'h', {h}), named_struct('half', xxhash64(2, {h}, slice(w, -{h}, {h})), 'head', false, 'h', {h})"
     h, shorter = HALF.format(m="size(w)"), HALF.format(m="(size(w) - 1)")
     keys = f"CASE WHEN size(w) > {MIN_WORDS} AND {shorter} < {h} THEN array({halves(h)}, {halves(shorter)}) ELSE array({halves(h)}) END"
     lines = f"""filter(transform(split(text, '\\n'), (x, i) -> transform(array({WORDS}), w ->
@@ -44,23 +48,29 @@ def line_keys(docs: DataFrame) -> DataFrame:
 
 
 def active_lines(classes: DataFrame) -> DataFrame:
-    """The classes that share a half with another class."""
-    halves = classes.select("line", F.explode("halves").alias("half"))
+    """line, first, skip_head, skip_tail of the classes that share a half with another class.
+
+    An edit lies outside of the shared half, so words in it need not be left
+    out: the first skip_head ones, or the last skip_tail ones.
+    """
+    halves = classes.select("line", F.inline("halves"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    lines = halves.join(shared.select("half"), "half", "left_semi").select("line").distinct()
-    return classes.join(lines, "line", "left_semi").select("line", "first")
+    found = halves.join(shared.select("half"), "half", "left_semi").groupBy("line").agg(F.bool_and("head").alias("heads"), F.bool_or("head").alias("head"), F.min("h").alias("h"))
+    sides = found.select("line", F.when(F.col("heads"), F.col("h")).otherwise(0).alias("skip_head"), F.when(F.col("head"), 0).otherwise(F.col("h")).alias("skip_tail"))
+    return classes.select("line", "first").join(sides, "line")
 
 
 def active_words(docs: DataFrame, active: DataFrame) -> DataFrame:
-    """line, first, w: the words of every active class, from the text of its earliest place."""
-    places = active.groupBy(F.col("first.id").alias("pid"), F.col("first.th").alias("pth")).agg(F.collect_list(F.struct("first.pos", "line")).alias("places"))
+    """ord, line, w, skip_head, skip_tail: the words of every active class, from its earliest place; ord rises in the order of those places."""
+    places = active.groupBy(F.col("first.id").alias("pid"), F.col("first.th").alias("pth")).agg(F.collect_list(F.struct("first.pos", "line", "skip_head", "skip_tail")).alias("places"))
     found = docs.join(places, F.col("id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth"))).dropDuplicates(["id", "th"])
-    words = f"transform(array(split(text, '\\n')), l -> transform(places, p -> named_struct('line', p.line, 'pos', p.pos, 'w', transform(array(l[p.pos]), x -> {WORDS})[0])))[0]"
-    return found.select("id", "th", F.expr(f"inline({words})")).select("line", F.struct("id", "th", "pos").alias("first"), "w")
+    words = f"transform(array(split(text, '\\n')), l -> transform(places, p -> named_struct('place', p, 'w', transform(array(l[p.pos]), x -> {WORDS})[0])))[0]"
+    rows = found.select("id", "th", F.expr(f"inline({words})")).orderBy("id", "th", "place.pos")
+    return rows.select(F.monotonically_increasing_id().alias("ord"), "place.line", "place.skip_head", "place.skip_tail", "w")
 
 
 def neighbourhood(words: DataFrame) -> DataFrame:
-    """line, first, key, gap: gap 0 for the line itself, i for the line without its i-th word.
+    """ord, key, gap: gap 0 for the line itself, i for the line without its i-th word.
 
     A key hashes the sum of the hashes of all adjacent word pairs and the number
     of words, so leaving a word out costs three terms whatever the line's length.
@@ -69,22 +79,20 @@ def neighbourhood(words: DataFrame) -> DataFrame:
     keys = f"""transform(array(concat(array(''), w, array(''))), v ->
       transform(array(aggregate(sequence(0, size(v) - 2), 0L, (s, i) -> s + {pair('v[i]', 'v[i + 1]')})), total ->
         concat(array(named_struct('gap', 0, 'key', xxhash64(total, size(v) - 2))),
-          transform(sequence(1, size(v) - 2), i -> named_struct('gap', i, 'key',
+          transform(sequence(1 + skip_head, size(v) - 2 - skip_tail), i -> named_struct('gap', i, 'key',
             xxhash64(total - {pair('v[i - 1]', 'v[i]')} - {pair('v[i]', 'v[i + 1]')} + {pair('v[i - 1]', 'v[i + 1]')}, size(v) - 3)))))[0])[0]"""
-    return words.select("line", "first", F.expr(f"inline({keys})"))
+    return words.select("ord", F.expr(f"inline({keys})"))
 
 
 def earlier_neighbours(keys: DataFrame) -> DataFrame:
-    """line and the earliest line (first, line) of those that share a key with it in a matching place and come before it."""
-    place = F.struct("first", "line")
-    groups = keys.groupBy("key", "gap").agg(F.min(place).alias("earliest"), F.count("*").alias("n"))
+    """ord and the earliest line of those that share a key with it in a matching place and come before it."""
+    groups = keys.groupBy("key", "gap").agg(F.min("ord").alias("earliest"), F.count("*").alias("n"))
     whole = groups.where("gap = 0").select("key", F.col("earliest").alias("whole"))
     cut = groups.where("gap > 0").groupBy("key").agg(F.min("earliest").alias("cut"))
-    replaced = keys.join(groups.where("gap > 0 AND n > 1").select("key", "gap", "earliest"), ["key", "gap"]).select("line", "first", "earliest")
-    shorter = keys.where("gap > 0").join(whole, "key").select("line", "first", F.col("whole").alias("earliest"))
-    longer = keys.where("gap = 0").join(cut, "key").select("line", "first", F.col("cut").alias("earliest"))
-    found = replaced.union(shorter).union(longer).where("earliest.first < first")
-    return found.groupBy("line").agg(F.min("earliest").alias("earliest"))
+    replaced = keys.join(groups.where("gap > 0 AND n > 1").select("key", "gap", "earliest"), ["key", "gap"]).select("ord", "earliest")
+    shorter = keys.where("gap > 0").join(whole, "key").select("ord", F.col("whole").alias("earliest"))
+    longer = keys.where("gap = 0").join(cut, "key").select("ord", F.col("cut").alias("earliest"))
+    return replaced.union(shorter).union(longer).where("earliest < ord").groupBy("ord").agg(F.min("earliest").alias("earliest"))
 
 
 def within_one_edit(a: str, b: str) -> Column:
@@ -106,8 +114,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = stored(line_keys(texts.where("text IS NOT NULL")))
     classes = stored(lines.groupBy("line").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.any_value("halves").alias("halves"), F.count("*").alias("n")))
     words = stored(active_words(texts.where("text IS NOT NULL"), active_lines(classes)))
-    found = earlier_neighbours(neighbourhood(words)).select("line", F.col("earliest.line").alias("other"))
-    pairs = found.join(words.select("line", "w"), "line").join(words.select(F.col("line").alias("other"), F.col("w").alias("v")), "other")
+    found = earlier_neighbours(neighbourhood(words))
+    pairs = found.join(words.select("ord", "line", "w"), "ord").join(words.select(F.col("ord").alias("earliest"), F.col("w").alias("v")), "earliest")
     near = stored(pairs.where(within_one_edit("w", "v")).select("line"))
 
     doomed = classes.join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
