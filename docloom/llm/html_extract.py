@@ -4,6 +4,7 @@ Each page is parsed into text blocks with the path of block elements above them
 (tag and classes). Same-host pages are merged by path: a style node is a path,
 its pages are those that hold it, its content features are the distinct texts
 found there, its presentation is the sequence of block elements it contains.
+Pages of a host that are equal in blocks and paths count as one page here.
 
 * Content importance of a leaf: 1 - mean of log(n) / log(m) over its texts, for
   a text on n of the node's m pages; 1 if every page has its own texts, 0 if all
@@ -139,16 +140,25 @@ def parsed_pages(pages: DataFrame, html_col: str) -> DataFrame:
     return append_columns(pages, html_col, fields, make, drop=(html_col,))
 
 
-def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every style node."""
-    texts = parsed.select("host", "row", F.expr("inline(array_distinct(transform(blocks, b -> named_struct('path', b.path, 'feature', xxhash64(b.text)))))"))
-    features = texts.groupBy("host", "path", "feature").agg(F.count("*").alias("n"))
-    leaf_pages = parsed.select("host", F.explode(F.expr("array_distinct(transform(blocks, b -> b.path))")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("m"))
+def distinct_pages(parsed: DataFrame) -> DataFrame:
+    """host, texts (path, feature) and nodes (path, children) of every distinct page of a host: copies under other urls count once.
+
+    Texts and child sequences are hashes here, so what is grouped is small.
+    """
+    texts = F.expr("array_distinct(transform(blocks, b -> named_struct('path', b.path, 'feature', xxhash64(b.text))))")
+    nodes = F.expr("transform(nodes, n -> named_struct('path', n.path, 'children', xxhash64(n.children)))")
+    return parsed.select("host", F.xxhash64("blocks", "nodes").alias("page_hash"), texts.alias("texts"), nodes.alias("nodes")).dropDuplicates(["host", "page_hash"])
+
+
+def style_tree(distinct: DataFrame) -> DataFrame:
+    """(host, path, pages, importance) of every style node, over ``distinct_pages``."""
+    features = distinct.select("host", F.inline("texts")).groupBy("host", "path", "feature").agg(F.count("*").alias("n"))
+    leaf_pages = distinct.select("host", F.explode(F.array_distinct("texts.path")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("m"))
     same = ["host", "path"]
     spread = features.groupBy(*same).agg(F.avg(F.log("n")).alias("spread"))  # partial sums: a hot site does not meet in one task
     m = F.col("m").cast("double")
     leaves = spread.join(leaf_pages, same).select(*same, F.col("m").alias("pages"), F.when(m > 1, 1 - F.col("spread") / F.log(m)).otherwise(1.0).alias("importance"))
-    styles = parsed.select("host", F.inline("nodes")).groupBy("host", "path", "children").agg(F.count("*").alias("n"))
+    styles = distinct.select("host", F.inline("nodes")).groupBy("host", "path", "children").agg(F.count("*").alias("n"))
     inner = styles.groupBy(*same).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     inner = inner.select(*same, F.col("m").alias("pages"), F.when(m > 1, 1 - F.col("nlogn") / (m * F.log(m))).otherwise(1.0).alias("importance"))
     return leaves.union(inner)
@@ -166,19 +176,20 @@ def low_leaves(tree: DataFrame, min_pages: int, min_importance: float) -> DataFr
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """``pages`` without html, with the main text, and n_removed: blocks that only the style tree removed."""
     spark = pages.sparkSession
-    temporary = [shared_dir(spark)]
+    temporary = [shared_dir(spark), shared_dir(spark)]
     made = ["text", "n_removed"]
     kept = [c for c in pages.columns if c not in {*made, html_col}]
     source = pages.select(F.monotonically_increasing_id().alias("row"), host_of(F.col(f"`{url_col}`")).alias("host"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("page"), F.col(f"`{html_col}`").alias("html"))
     parsed = materialize(parsed_pages(source, "html"), temporary[0])
-    low = low_leaves(style_tree(parsed), min_pages, min_importance)
+    low = low_leaves(style_tree(materialize(distinct_pages(parsed), temporary[1])), min_pages, min_importance)
     paths = parsed.select("row", "host", F.explode(F.expr("array_distinct(transform(filter(blocks, b -> NOT b.out), b -> b.path))")).alias("path"))
     removed = paths.join(low, ["host", "path"], "left_semi").groupBy("row").agg(F.collect_set("path").alias("low"))
     main = F.expr("CASE WHEN exists(blocks, b -> b.inside AND NOT b.out) THEN filter(blocks, b -> b.inside AND NOT b.out) ELSE filter(blocks, b -> NOT b.out) END")
     both = parsed.select("row", "page", main.alias("main")).join(removed, "row", "left")
     left = both.withColumn("left", F.expr("CASE WHEN low IS NULL THEN main ELSE filter(main, b -> NOT array_contains(low, b.path)) END"))
     out = materialize(left.select("page.*", F.expr("array_join(transform(left, b -> b.text), '\\n')").alias("text"), (F.size("main") - F.size("left")).cast("long").alias("n_removed")))
-    drop_path(spark, temporary[0])
+    for path in temporary:
+        drop_path(spark, path)
     return out
 
 

@@ -194,6 +194,17 @@ def test_html_blocks_and_style_tree(spark):
     assert (got[90], got[91], got[92]) == ("", "", "alone")
 
 
+def test_html_copies_of_a_page_count_once(spark):
+    page = lambda i: f"<body><div class=x>Follow our channel</div><div class=body><p>Text {i} of it<p>Second {i}</div></body>"
+    rows = [(i, f"http://one.org/a?ref={i}", page(0)) for i in range(10)]
+    rows += [(1000 + 50 * g + c, f"http://few.org/{g}?ref={c}", page(g)) for g in range(2) for c in range(50)]
+    rows += [(2000 + 9 * g + c, f"http://many.org/{g}?ref={c}", page(g)) for g in range(9) for c in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {got[i] for i in range(10)} == {"Follow our channel\nText 0 of it\nSecond 0"}
+    assert {got[1000 + i] for i in range(100)} == {f"Follow our channel\nText {g} of it\nSecond {g}" for g in range(2)}
+    assert [got[2000 + 9 * g + c] for g in range(9) for c in range(9)] == [f"Text {g} of it\nSecond {g}" for g in range(9) for c in range(9)]
+
+
 def test_maximal_segments_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):
