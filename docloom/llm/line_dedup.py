@@ -11,7 +11,9 @@ inserted, deleted or replaced. The earliest line of its kind is kept.
    of one key with the same word left out differ by a replacement; a line that
    equals another's key differs by an insertion. Both are found by grouping
    keys and taking the earliest line, so no pairs of a group are formed.
-4. Each line is compared word by word with the earlier line that was found.
+4. Each line is compared word by word with the earlier line that was found. If
+   they are unlike, as a hash was shared by chance, the line is compared with
+   every earlier line that it shares a key with.
 
 Defined results: null texts stay null and have no lines; shorter lines are
 never removed; a null id comes first in the order; rows equal in id and text
@@ -25,8 +27,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from docloom.llm.common import drop_path, materialize, shared_dir, table
 
 MIN_WORDS = 10
-#: Bigram hashes are cut to 44 bits, so that 2 ** 19 of them add up without overflow.
-SUM_BITS = (1 << 44) - 1
 BLANK = r"[\\x20\\x09-\\x0D]+"
 WORDS = f"filter(split(lower(x), '{BLANK}'), y -> y <> '')"
 #: Half length for m words: 5, 10, 20, ... with twice that at most m.
@@ -69,19 +69,25 @@ def active_words(docs: DataFrame, active: DataFrame) -> DataFrame:
     return rows.select(F.monotonically_increasing_id().alias("ord"), "place.line", "place.skip_head", "place.skip_tail", "w")
 
 
-def neighbourhood(words: DataFrame) -> DataFrame:
-    """ord, key, gap: gap 0 for the line itself, i for the line without its i-th word.
+def with_keys(words: DataFrame) -> DataFrame:
+    """``words`` with keys: that of the line itself, then of the line without each word that may be left out.
 
-    A key hashes the sum of the hashes of all adjacent word pairs and the number
-    of words, so leaving a word out costs three terms whatever the line's length.
+    A key is the exclusive or of the hashes of all words with their places, so
+    it has 64 bits and depends on order. From one gap to the next a single
+    place changes; the changes are summed up by doubling steps.
     """
-    pair = lambda a, b: f"(xxhash64({a}, {b}) & {SUM_BITS}L)"
-    keys = f"""transform(array(concat(array(''), w, array(''))), v ->
-      transform(array(aggregate(sequence(0, size(v) - 2), 0L, (s, i) -> s + {pair('v[i]', 'v[i + 1]')})), total ->
-        concat(array(named_struct('gap', 0, 'key', xxhash64(total, size(v) - 2))),
-          transform(sequence(1 + skip_head, size(v) - 2 - skip_tail), i -> named_struct('gap', i, 'key',
-            xxhash64(total - {pair('v[i - 1]', 'v[i]')} - {pair('v[i]', 'v[i + 1]')} + {pair('v[i - 1]', 'v[i + 1]')}, size(v) - 3)))))[0])[0]"""
-    return words.select("ord", F.expr(f"inline({keys})"))
+    at = lambda i, x: f"xxhash64({i}, {x})"
+    first = f"aggregate(slice(w, 2, size(w)), named_struct('i', 0, 'key', 0L), (a, x) -> named_struct('i', a.i + 1, 'key', a.key ^ {at('a.i + 1', 'x')}), a -> a.key)"
+    changes = f"transform(w, (x, i) -> CASE WHEN i = 0 THEN {first} ELSE {at('i', 'w[i - 1]')} ^ {at('i', 'x')} END)"
+    steps = "transform(sequence(0, CAST(floor(log2(greatest(size(w) - 1, 1))) AS INT)), k -> shiftleft(1, k))"
+    cut = f"aggregate({steps}, {changes}, (a, k) -> transform(a, (x, i) -> x ^ coalesce(get(a, i - k), 0L)))"
+    keys = f"transform(array({cut}), g -> concat(array(g[size(w) - 1] ^ {at('size(w)', 'w[size(w) - 1]')}), slice(g, 1 + skip_head, size(w) - skip_head - skip_tail)))[0]"
+    return words.withColumn("keys", F.expr(keys))
+
+
+def neighbourhood(words: DataFrame) -> DataFrame:
+    """ord, key, gap: gap 0 for the line itself, i for the line without its i-th word."""
+    return words.select("ord", "skip_head", F.posexplode("keys").alias("gap", "key")).select("ord", "key", F.when(F.col("gap") > 0, F.col("gap") + F.col("skip_head")).otherwise(0).alias("gap"))
 
 
 def earlier_neighbours(keys: DataFrame) -> DataFrame:
@@ -98,7 +104,13 @@ def earlier_neighbours(keys: DataFrame) -> DataFrame:
 def within_one_edit(a: str, b: str) -> Column:
     """Whether two word arrays differ by one inserted, deleted or replaced word at most."""
     same = lambda x, y: f"transform(array(array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false)), n -> CASE WHEN n = 0 THEN size({a}) ELSE CAST(n AS INT) - 1 END)[0]"
-    return F.expr(f"{same(a, b)} + {same(f'reverse({a})', f'reverse({b})')} >= greatest(size({a}), size({b})) - 1")
+    return F.expr(f"abs(size({a}) - size({b})) <= 1 AND {same(a, b)} + {same(f'reverse({a})', f'reverse({b})')} >= greatest(size({a}), size({b})) - 1")
+
+
+def all_earlier(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """ord of ``lines`` and every line that shares a key with it in a matching place and comes before it."""
+    others = keys.select(F.col("ord").alias("earliest"), "key", F.col("gap").alias("there"))
+    return keys.join(lines, "ord").join(others, "key").where("earliest < ord AND (gap = there OR gap = 0 OR there = 0)").select("ord", "earliest").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,10 +125,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
     lines = stored(line_keys(texts.where("text IS NOT NULL")))
     classes = stored(lines.groupBy("line").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.any_value("halves").alias("halves"), F.count("*").alias("n")))
-    words = stored(active_words(texts.where("text IS NOT NULL"), active_lines(classes)))
-    found = earlier_neighbours(neighbourhood(words))
-    pairs = found.join(words.select("ord", "line", "w"), "ord").join(words.select(F.col("ord").alias("earliest"), F.col("w").alias("v")), "earliest")
-    near = stored(pairs.where(within_one_edit("w", "v")).select("line"))
+    words = stored(with_keys(active_words(texts.where("text IS NOT NULL"), active_lines(classes))))
+    keys = neighbourhood(words)
+
+    def checked(found: DataFrame) -> DataFrame:
+        pairs = found.join(words.select("ord", "line", "w"), "ord").join(words.select(F.col("ord").alias("earliest"), F.col("w").alias("v")), "earliest")
+        return stored(pairs.select("ord", "line", within_one_edit("w", "v").alias("near")))
+
+    first = checked(earlier_neighbours(keys))
+    near, failed = first.where("near").select("line"), first.where("NOT near").select("ord")
+    if not failed.isEmpty():  # two unlike lines had one key: their other candidates are not known
+        near = near.union(checked(all_earlier(keys, failed)).where("near").select("line")).distinct()
 
     doomed = classes.join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
     removed = lines.select("id", "th", "pos", "line").join(doomed, "line").where("near OR NOT (first <=> struct(id, th, pos))")

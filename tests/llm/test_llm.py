@@ -155,6 +155,34 @@ def test_line_dedup_on_odd_rows(spark, odd):
     assert line_dedup.dedup_lines(odd).count() == len(ODD)
 
 
+def line_dedup_and_sql(spark, rows):
+    """Removed lines and digests of the operator and of OP7_SQL."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "n_removed", F.sha2("text", 256)).collect()
+    return sorted(map(tuple, got)), sorted(con.sql(f"SELECT doc_id, n_removed, text_sha256 FROM ({line_dedup.OP7_SQL})").fetchall())
+
+
+def test_line_dedup_on_permuted_table_rows(spark):
+    cells = lambda *c: "| " + " | ".join(map(str, c)) + " |"
+    rows = [(1, f"{cells(5, 4, 3, 2, 1)} x"), (2, f"{cells(5, 4, 3, 2, 9)} y z"), (3, cells(1, 2, 3, 4, 6)), (4, cells(1, 2, 3, 4, 5))]
+    rng = np.random.default_rng(7)
+    rows += [(5 + i, "\n".join(cells(*rng.permutation(5)[: rng.integers(4, 6)], *rng.integers(0, 2, 1)) + " x" * rng.integers(0, 2) for _ in range(3))) for i in range(80)]
+    got, expected = line_dedup_and_sql(spark, rows)
+    assert got == expected
+    assert {i: n for i, n, _ in got}[4] == 1
+
+
+def test_line_dedup_when_keys_collide(spark, monkeypatch):
+    keys = line_dedup.neighbourhood
+    monkeypatch.setattr(line_dedup, "neighbourhood", lambda words: keys(words).withColumn("key", F.pmod("key", F.lit(2))))
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in [*range(6), *rng.integers(0, 2, rng.integers(5, 9))])) for i in range(60)]
+    got, expected = line_dedup_and_sql(spark, rows)
+    assert got == expected
+
+
 def test_quality_rules_on_odd_rows(odd):
     rows = quality_rules.judge_documents(odd).collect()
     assert len(rows) == len(ODD)
