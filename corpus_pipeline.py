@@ -27,8 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines within one word of an earlier line; n_chars follows the text. A document of which no word is left goes."""
-    out = line_dedup.dedup_lines(docs)
+    """Remove lines within one word of an earlier line, and exact repeats of shorter lines; n_chars follows the text. A document of which no word is left goes."""
+    out = line_dedup.dedup_lines(docs, short_repeats=True)
     left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

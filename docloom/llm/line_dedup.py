@@ -16,7 +16,7 @@ inserted, deleted or replaced. The earliest line of its kind is kept.
    every earlier line that it shares a key with.
 
 Defined results: null texts stay null and have no lines; shorter lines are
-never removed; a null id comes first in the order; rows equal in id and text
+removed only as exact repeats, and only with ``short_repeats``; a null id comes first in the order; rows equal in id and text
 are one document and are treated alike; other columns are carried through.
 """
 
@@ -33,17 +33,18 @@ WORDS = f"filter(split(lower(x), '{BLANK}'), y -> y <> '')"
 HALF = "CAST(5 * pow(2, floor(log2({m} / 10.0D))) AS INT)"
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
+def line_keys(docs: DataFrame, short_repeats: bool = False) -> DataFrame:
     """id, th, pos, line, halves of each long enough line; line is the hash of its words.
 
-    halves has (hash, whether it is the first half, its words h). A line whose
+    With ``short_repeats`` shorter lines with a word are there too, without halves. halves has (hash, whether it is the first half, its words h). A line whose
     neighbours may be shorter has the halves of the next shorter length too.
     """
     halves = lambda h: f"named_struct('half', xxhash64(1, {h}, slice(w, 1, {h})), 'head', true, 'h', {h}), named_struct('half', xxhash64(2, {h}, slice(w, -{h}, {h})), 'head', false, 'h', {h})"
     h, shorter = HALF.format(m="size(w)"), HALF.format(m="(size(w) - 1)")
+    short = "WHEN size(w) > 0 THEN named_struct('pos', i, 'line', xxhash64(w), 'halves', slice(array(" + halves("1") + "), 1, 0))" if short_repeats else ""
     keys = f"CASE WHEN size(w) > {MIN_WORDS} AND {shorter} < {h} THEN array({halves(h)}, {halves(shorter)}) ELSE array({halves(h)}) END"
     lines = f"""filter(transform(split(text, '\\n'), (x, i) -> transform(array({WORDS}), w ->
-      CASE WHEN size(w) >= {MIN_WORDS} THEN named_struct('pos', i, 'line', xxhash64(w), 'halves', {keys}) END)[0]), l -> l IS NOT NULL)"""
+      CASE WHEN size(w) >= {MIN_WORDS} THEN named_struct('pos', i, 'line', xxhash64(w), 'halves', {keys}) {short} END)[0]), l -> l IS NOT NULL)"""
     return docs.select("id", "th", F.expr(f"inline({lines})"))
 
 
@@ -113,8 +114,11 @@ def all_earlier(keys: DataFrame, lines: DataFrame) -> DataFrame:
     return keys.join(lines, "ord").join(others, "key").where("earliest < ord AND (gap = there OR gap = 0 OR there = 0)").select("ord", "earliest").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text without removed lines, n_lines and n_removed (both long)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
+    """``docs`` with the text without removed lines, n_lines and n_removed (both long).
+
+    With ``short_repeats`` exact repeats of lines under MIN_WORDS words are removed too.
+    """
     spark = docs.sparkSession
     temporary: list[str] = []
 
@@ -123,7 +127,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return materialize(df, temporary[-1])
 
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
-    lines = stored(line_keys(texts.where("text IS NOT NULL")))
+    lines = stored(line_keys(texts.where("text IS NOT NULL"), short_repeats))
     classes = stored(lines.groupBy("line").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.any_value("halves").alias("halves"), F.count("*").alias("n")))
     words = stored(with_keys(active_words(texts.where("text IS NOT NULL"), active_lines(classes))))
     keys = neighbourhood(words)

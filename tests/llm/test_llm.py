@@ -174,6 +174,16 @@ def test_line_dedup_on_permuted_table_rows(spark):
     assert {i: n for i, n, _ in got}[4] == 1
 
 
+def test_pipeline_removes_short_repeats(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"Read more\n\none two three four five six seven eight nine\n{long}"), (2, f"read  MORE\n\nOne two three four five six seven eight nine\nread less\n{long} x"), (3, "Read more\nRead more"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("\n\nread less"[1:], 10), 4: (None, None)}
+
+
 def test_line_dedup_when_keys_collide(spark, monkeypatch):
     keys = line_dedup.neighbourhood
     monkeypatch.setattr(line_dedup, "neighbourhood", lambda words: keys(words).withColumn("key", F.pmod("key", F.lit(2))))
