@@ -24,7 +24,7 @@ def s9(spark, d):
 
 @query("s12_transcript_sections")
 def s12(spark, d):
-    talk = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 25).alias("start"), F.substring("text", 1, 40).alias("text"))
+    talk = table(spark, d, "conversations").select("conv_id", (F.col("turn") * 25).alias("start"), "text")
     return S.transcript_sections(talk, "conv_id")
 
 

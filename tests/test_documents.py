@@ -72,3 +72,13 @@ def test_video_ids(spark):
     urls = {"https://www.youtube.com/watch?v=abcdefghijk&t=1": "abcdefghijk", "https://youtu.be/abcdefghijk": "abcdefghijk", "https://m.youtube.com/shorts/abcdefghijk/x": "abcdefghijk", "https://youtube.com/watch?v=short": None, "https://example.com/watch?v=abcdefghijk": None}
     got = {r["u"]: r["v"] for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", X.video_id(F.col("u")).alias("v")).collect()}
     assert got == urls
+
+
+def test_transcripts_hold_whole_turns(spark):
+    from docloom.plans import document_queries  # noqa: F401
+    from docloom.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    made = {r["conv_id"]: r["markdown"] for r in QUERIES["s12_transcript_sections"](spark, sf).collect()}
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("text IS NOT NULL").collect()
+    assert all(r["text"] in made[r["conv_id"]] for r in turns if made[r["conv_id"]] is not None)
