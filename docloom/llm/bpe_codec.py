@@ -11,21 +11,26 @@ are encoded each on its own; an id that is not in the ranks raises on decoding.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from docloom.llm.common import append_columns, table
 
 #: Texts longer than this many characters are cut at safe boundaries.
 PIECE_CHARS = 1 << 16
-#: A blank before an ASCII letter or digit always starts a match of the pattern:
+#: A blank before a letter or ASCII digit always starts a match of the pattern:
 #: no alternative has a blank after its first character unless it is white space
-#: only, and those leave the last blank before a word to the word.
-SAFE = re.compile(r" (?=[A-Za-z0-9])")
+#: only, and those leave the last blank before a word to the word. A single line
+#: end before a letter is a match of its own. A letter after one of the listed
+#: signs starts a match too (the apostrophe, which contractions have, is not one
+#: of them), so texts that write without blanks are cut as well.
+SAFE = re.compile(r" (?=[^\W\d_]|[0-9])|(?<=\S\n)(?=[^\W\d_])|(?<=[!-&(-/:-@\[-^`{-~。、，．！？；：·])(?=[^\W\d_])")
 
 _codecs: dict[tuple[str, str], tiktoken.Encoding] = {}
 
@@ -45,7 +50,10 @@ def codec(ranks_path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def safe_pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
-    """Cut a text into pieces of about ``size`` characters whose encodings concatenate to that of the text."""
+    """Cut a text into pieces of about ``size`` characters whose encodings concatenate to that of the text.
+
+    A run without a safe boundary stays whole.
+    """
     out, start = [], 0
     while len(text) - start > size:
         cut = SAFE.search(text, start + size)
@@ -80,19 +88,52 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", ranks_path: str |
     path = ranks_path or default_ranks()
 
     def make():
-        decode = codec(path, pattern).decode_bytes
-        return lambda packed: [[decode(np.frombuffer(p, dtype="<u4").tolist()) if p else b"" for p in packed]]
+        encoding = codec(path, pattern)
+        return lambda packed: [[b"".join(decoded(encoding, p)) for p in packed]]
 
     return append_columns(encoded, ids_col, [T.StructField("decoded", T.BinaryType())], make)
 
 
+def decoded(encoding: tiktoken.Encoding, packed: bytes | None) -> Iterator[bytes]:
+    """The raw bytes of packed ids, PIECE_CHARS ids at a time."""
+    ids = np.frombuffer(packed or b"", dtype="<u4")
+    for start in range(0, len(ids), PIECE_CHARS):
+        yield encoding.decode_bytes(ids[start : start + PIECE_CHARS].tolist())
+
+
+DIGESTS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+
+
+def digest_documents(docs: DataFrame, text_col: str = "text", ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep_text: bool = False) -> DataFrame:
+    """``docs`` with n_tokens and the digests of each text's packed ids and of the bytes they decode to.
+
+    A text is encoded, and its ids decoded, piece by piece in one pass: ids leave
+    the task as digests only, so a very long text takes no more memory than one of its pieces.
+    """
+    path = ranks_path or default_ranks()
+
+    def make():
+        encoding = codec(path, pattern)
+
+        def work(texts):
+            out: list[list] = [[], [], []]
+            for text in texts:
+                n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+                for piece in safe_pieces(text or ""):
+                    packed = encode_text(encoding, piece)
+                    n += len(packed) // 4
+                    of_ids.update(packed)
+                    for part in decoded(encoding, packed):
+                        of_bytes.update(part)
+                for column, value in zip(out, (n, of_ids.hexdigest(), of_bytes.hexdigest()), strict=True):
+                    column.append(value)
+            return out
+
+        return work
+
+    return append_columns(docs, text_col, DIGESTS, make, drop=() if keep_text else (text_col,))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and of their decoding."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode_documents(encode_documents(docs, keep_text=False))
-    return out.select(
-        "doc_id",
-        F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digest_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -40,20 +41,21 @@ def append_columns(
 
     ``make`` runs once in each task and returns a function from a list of texts
     (``bytes`` if ``binary``; None for null) to one list for each new field.
-    Input columns whose names clash with a new field are replaced; columns in
-    ``drop`` are left out of the result.
+    Input columns whose names clash with a new field, in any case, are replaced;
+    columns in ``drop`` are left out of the result.
     """
-    names = {f.name for f in fields}
-    kept = [c for c in df.columns if c not in names and c not in drop]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + fields)
+    names = {f.name.lower() for f in fields}
+    kept = [c for c in df.columns if c.lower() not in names and c not in drop]
+    body = unused("text")
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(body))
+    schema = T.StructType([f for f in source.schema.fields if f.name != body] + fields)
     types = to_arrow_schema(T.StructType(fields)).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                column = batch.column("__text")
+            for batch in slices(whole, body):
+                column = batch.column(body)
                 values = (column.cast(pa.binary()) if binary else column).to_pylist()
                 made = [pa.array(v, t) for v, t in zip(work(values), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=kept + [f.name for f in fields])
@@ -61,13 +63,22 @@ def append_columns(
     return source.mapInArrow(run, schema)
 
 
+def unused(name: str) -> str:
+    """A column name that no input table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share.
+    """A new path in the folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names it on a cluster; where that is unset, as in
-    local tests, a folder below the warehouse is used.
+    Where that is unset, a local master (as in tests) uses a folder below the
+    warehouse; on a cluster that could be one machine's disk, so it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{root.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
 
@@ -83,3 +94,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table of the shared folder."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that materializes a DataFrame; its tables go when the block ends, by an error too."""
+    paths: list[str] = []
+
+    def stored(df: DataFrame) -> DataFrame:
+        paths.append(shared_dir(spark))
+        return materialize(df, paths[-1])
+
+    try:
+        yield stored
+    finally:
+        for path in paths:
+            drop_path(spark, path)

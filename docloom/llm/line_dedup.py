@@ -1,8 +1,9 @@
 """Near-duplicate line removal by a deletion-neighbourhood join (operator 7), in built-in functions only.
 
-A line with at least ten words is removed if an earlier line of the corpus, by
-(document id, place in the text), is within one word edit: equal, or one word
-inserted, deleted or replaced. The earliest line of its kind is kept.
+Words are runs other than white space, lower-cased. A line is removed if an
+earlier line of the corpus, by (document id, place in the text), is within its
+edit bound: equal, or, where both have ten words or more, one word inserted,
+deleted or replaced. The earliest line of its kind is kept.
 
 1. Equal lines are one class, kept at its earliest place.
 2. One edit leaves the first or the last half of a line unchanged, so only
@@ -15,8 +16,8 @@ inserted, deleted or replaced. The earliest line of its kind is kept.
    they are unlike, as a hash was shared by chance, the line is compared with
    every earlier line that it shares a key with.
 
-Defined results: null texts stay null and have no lines; shorter lines are
-removed only as exact repeats, and only with ``short_repeats``; a null id comes first in the order; rows equal in id and text
+Defined results: null texts stay null and have no lines; lines without words
+always stay; a null id comes first in the order; rows equal in id and text
 are one document and are treated alike; other columns are carried through.
 """
 
@@ -24,28 +25,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docloom.llm.common import drop_path, materialize, shared_dir, table
+from docloom.llm.common import materialize, scratch, table, unused
 
+#: Lines of fewer words have an edit bound of none: only exact repeats go.
 MIN_WORDS = 10
 BLANK = r"[\\x20\\x09-\\x0D]+"
 WORDS = f"filter(split(lower(x), '{BLANK}'), y -> y <> '')"
-#: Half length for m words: 5, 10, 20, ... with twice that at most m.
-HALF = "CAST(5 * pow(2, floor(log2({m} / 10.0D))) AS INT)"
+#: Whether a text whose words are parted by single blanks has more words than n.
+MORE = "octet_length(substring_index(norm, ' ', {n})) < octet_length(norm)"
+#: Half length for m words: 5, 10, 20, ... with twice that at most m. Words are counted in very long lines only.
+HALF = f"CASE WHEN NOT {MORE.format(n=MIN_WORDS - 1)} THEN NULL {' '.join(f'WHEN NOT {MORE.format(n=4 * h - 1)} THEN {h}' for h in (5, 10, 20, 40))} ELSE CAST(5 * pow(2, floor(log2(size(split(norm, ' ')) / 10.0D))) AS INT) END"
 
 
-def line_keys(docs: DataFrame, short_repeats: bool = False) -> DataFrame:
-    """id, th, pos, line, halves of each long enough line; line is the hash of its words.
+def line_keys(docs: DataFrame) -> DataFrame:
+    """id, th, pos, line, halves of each line with a word; line is the hash of its words.
 
-    With ``short_repeats`` shorter lines with a word are there too, without halves. halves has (hash, whether it is the first half, its words h). A line whose
-    neighbours may be shorter has the halves of the next shorter length too.
+    halves has (hash, whether it is the first half, its words h), and is null for
+    short lines. A line whose neighbours may be shorter has the halves of the next shorter length too.
     """
-    halves = lambda h: f"named_struct('half', xxhash64(1, {h}, slice(w, 1, {h})), 'head', true, 'h', {h}), named_struct('half', xxhash64(2, {h}, slice(w, -{h}, {h})), 'head', false, 'h', {h})"
-    h, shorter = HALF.format(m="size(w)"), HALF.format(m="(size(w) - 1)")
-    short = "WHEN size(w) > 0 THEN named_struct('pos', i, 'line', xxhash64(w), 'halves', slice(array(" + halves("1") + "), 1, 0))" if short_repeats else ""
-    keys = f"CASE WHEN size(w) > {MIN_WORDS} AND {shorter} < {h} THEN array({halves(h)}, {halves(shorter)}) ELSE array({halves(h)}) END"
-    lines = f"""filter(transform(split(text, '\\n'), (x, i) -> transform(array({WORDS}), w ->
-      CASE WHEN size(w) >= {MIN_WORDS} THEN named_struct('pos', i, 'line', xxhash64(w), 'halves', {keys}) {short} END)[0]), l -> l IS NOT NULL)"""
-    return docs.select("id", "th", F.expr(f"inline({lines})"))
+    half = lambda h: f"named_struct('half', xxhash64(1, {h}, substring_index(norm, ' ', {h})), 'head', true, 'h', {h}), named_struct('half', xxhash64(2, {h}, substring_index(norm, ' ', -{h})), 'head', false, 'h', {h})"
+    other = F.expr(" OR ".join(f"contains(text, {blank})" for blank in ("'  '", "'\\t'", "'\\r'", "chr(11)", "chr(12)")))
+    inside = BLANK.replace("x09-", "x09\\\\x0B-")  # white space but for line ends
+    plain = F.when(other, F.expr(f"regexp_replace(text, '{inside}', ' ')")).otherwise(F.col("text"))
+    lines = docs.select("id", "th", F.posexplode(F.split(F.lower(plain), "\n")).alias("pos", "norm"))
+    clean = lines.withColumn("norm", F.trim("norm")).where("norm <> ''")
+    sized = clean.withColumn("h", F.expr(HALF))
+    halves = f"CASE WHEN h IS NULL THEN NULL WHEN h > 5 AND NOT {MORE.format(n='2 * h')} THEN array({half('h')}, {half('CAST(h / 2 AS INT)')}) ELSE array({half('h')}) END"
+    return sized.select("id", "th", "pos", F.xxhash64("norm").alias("line"), F.expr(halves).alias("halves"))
 
 
 def active_lines(classes: DataFrame) -> DataFrame:
@@ -54,7 +60,7 @@ def active_lines(classes: DataFrame) -> DataFrame:
     An edit lies outside of the shared half, so words in it need not be left
     out: the first skip_head ones, or the last skip_tail ones.
     """
-    halves = classes.select("line", F.inline("halves"))
+    halves = classes.where("halves IS NOT NULL").select("line", F.inline("halves"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
     found = halves.join(shared.select("half"), "half", "left_semi").groupBy("line").agg(F.bool_and("head").alias("heads"), F.bool_or("head").alias("head"), F.min("h").alias("h"))
     sides = found.select("line", F.when(F.col("heads"), F.col("h")).otherwise(0).alias("skip_head"), F.when(F.col("head"), 0).otherwise(F.col("h")).alias("skip_tail"))
@@ -114,52 +120,46 @@ def all_earlier(keys: DataFrame, lines: DataFrame) -> DataFrame:
     return keys.join(lines, "ord").join(others, "key").where("earliest < ord AND (gap = there OR gap = 0 OR there = 0)").select("ord", "earliest").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_repeats: bool = False) -> DataFrame:
-    """``docs`` with the text without removed lines, n_lines and n_removed (both long).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with the text without removed lines, and the numbers of lines and of removed lines (both long) under the names ``made``."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
+    with scratch(docs.sparkSession) as stored:
+        lines = stored(line_keys(texts))
+        classes = stored(lines.groupBy("line").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.any_value("halves").alias("halves"), F.count("*").alias("n")))
+        words = stored(with_keys(active_words(texts, active_lines(classes))))
+        keys = neighbourhood(words)
 
-    With ``short_repeats`` exact repeats of lines under MIN_WORDS words are removed too.
-    """
-    spark = docs.sparkSession
-    temporary: list[str] = []
-
-    def stored(df: DataFrame) -> DataFrame:
-        temporary.append(shared_dir(spark))
-        return materialize(df, temporary[-1])
-
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
-    lines = stored(line_keys(texts.where("text IS NOT NULL"), short_repeats))
-    classes = stored(lines.groupBy("line").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.any_value("halves").alias("halves"), F.count("*").alias("n")))
-    words = stored(with_keys(active_words(texts.where("text IS NOT NULL"), active_lines(classes))))
-    keys = neighbourhood(words)
+        def checked(found: DataFrame) -> DataFrame:
+            pairs = found.join(words.select("ord", "line", "w"), "ord").join(words.select(F.col("ord").alias("earliest"), F.col("w").alias("v")), "earliest")
+            return stored(pairs.select("ord", "line", within_one_edit("w", "v").alias("near")))
 
-    def checked(found: DataFrame) -> DataFrame:
-        pairs = found.join(words.select("ord", "line", "w"), "ord").join(words.select(F.col("ord").alias("earliest"), F.col("w").alias("v")), "earliest")
-        return stored(pairs.select("ord", "line", within_one_edit("w", "v").alias("near")))
+        first = checked(earlier_neighbours(keys))
+        near, failed = first.where("near").select("line"), first.where("NOT near").select("ord")
+        if not failed.isEmpty():  # two unlike lines had one key: their other candidates are not known
+            near = near.union(checked(all_earlier(keys, failed)).where("near").select("line")).distinct()
 
-    first = checked(earlier_neighbours(keys))
-    near, failed = first.where("near").select("line"), first.where("NOT near").select("ord")
-    if not failed.isEmpty():  # two unlike lines had one key: their other candidates are not known
-        near = near.union(checked(all_earlier(keys, failed)).where("near").select("line")).distinct()
+        doomed = classes.join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
+        removed = lines.select("id", "th", "pos", "line").join(doomed, "line").where("near OR NOT (first <=> struct(id, th, pos))")
+        gone = removed.groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
+        return materialize(without_lines(docs, gone, id_col, text_col, made))
 
-    doomed = classes.join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    removed = lines.select("id", "th", "pos", "line").join(doomed, "line").where("near OR NOT (first <=> struct(id, th, pos))")
-    removed = removed.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
 
-    clash = [c for c in ("n_lines", "n_removed") if c in docs.columns]
+def without_lines(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, made: tuple[str, str]) -> DataFrame:
+    """``docs`` without the lines at the places ``gone`` of (id, th)."""
+    of, th, places = unused("id"), unused("th"), unused("gone")
+    kept = [c for c in docs.columns if c.lower() not in {m.lower() for m in made}]
     text = F.col(f"`{text_col}`")
-    both = docs.drop(*clash).join(removed, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left")
-    left = F.expr(f"transform(array(split(`{text_col}`, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), __gone), i -> l[i]), '\\n'))[0]")
+    renamed = gone.select(F.col("id").alias(of), F.col("th").alias(th), F.col("gone").alias(places))
+    both = docs.select(*[F.col(f"`{c}`") for c in kept]).join(renamed, F.col(f"`{id_col}`").eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(th)), "left")
+    left = F.expr(f"transform(array(split(`{text_col}`, '\\n')), l -> array_join(transform(array_except(sequence(0, size(l) - 1), {places}), i -> l[i]), '\\n'))[0]")
     out = both.withColumns(
         {
-            "n_lines": F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long"),
-            "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"),
-            text_col: F.when(F.col("__gone").isNull(), text).otherwise(left),
+            made[0]: F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n"))).cast("long"),
+            made[1]: F.coalesce(F.size(places), F.lit(0)).cast("long"),
+            text_col: F.when(F.col(places).isNull(), text).otherwise(left),
         }
     )
-    out = materialize(out.select(*[c for c in docs.columns if c not in clash], "n_lines", "n_removed"))
-    for path in temporary:
-        drop_path(spark, path)
-    return out
+    return out.select(*[F.col(f"`{c}`") for c in kept], *made)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,12 +172,12 @@ OP7_SQL = rf"""
 WITH l AS (
   SELECT doc_id, pos, x, list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)),
-o AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS o, * FROM l WHERE len(w) >= {MIN_WORDS}),
-k AS (SELECT o, 0 AS gap, w AS v FROM o
-      UNION ALL SELECT o, i, list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w))) FROM (SELECT o, w, unnest(range(1, len(w) + 1)) AS i FROM o)),
-g AS (SELECT v, gap, min(o) AS m FROM k GROUP BY v, gap),
-c AS (SELECT v, min(m) FILTER (gap = 0) AS whole, min(m) FILTER (gap > 0) AS cut FROM g GROUP BY v),
-gone AS (SELECT DISTINCT k.o FROM k JOIN g USING (v, gap) JOIN c USING (v)
+o AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS o, * FROM l WHERE len(w) > 0),
+k AS (SELECT o, 0 AS gap, w AS v, len(w) >= {MIN_WORDS} AS long FROM o
+      UNION ALL SELECT o, i, list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w))), true FROM (SELECT o, w, unnest(range(1, len(w) + 1)) AS i FROM o WHERE len(w) >= {MIN_WORDS})),
+g AS (SELECT v, gap, long, min(o) AS m FROM k GROUP BY v, gap, long),
+c AS (SELECT v, min(m) FILTER (gap = 0) AS whole, min(m) FILTER (gap > 0) AS cut FROM g WHERE long GROUP BY v),
+gone AS (SELECT DISTINCT k.o FROM k JOIN g USING (v, gap, long) LEFT JOIN c ON c.v = k.v AND k.long
          WHERE g.m < k.o OR (k.gap > 0 AND c.whole < k.o) OR (k.gap = 0 AND c.cut < k.o)),
 kept AS (SELECT l.doc_id, l.pos, l.x, gone.o IS NOT NULL AS dead FROM l LEFT JOIN o USING (doc_id, pos) LEFT JOIN gone ON gone.o = o.o)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(CASE WHEN d.text IS NOT NULL THEN coalesce(t, '') END) AS text_sha256

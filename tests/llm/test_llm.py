@@ -62,8 +62,13 @@ def test_codec_round_trip_and_library(odd):
     for r in rows:
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
         assert np.frombuffer(r["ids"], "<u4").tolist() == encoding.encode_ordinary(r["text"] or "")
-    for text in ("ab  cd \n e '" * 300, " " * 5000 + "x", "don't 1a  \t b" * 100):
-        assert bpe_codec.encode_text(encoding, text, 50) == bpe_codec.encode_text(encoding, text, 10**9)
+    for text in ("word。漢字！ひら\nがな、don't " * 40, "漢字。かな" * 300, "Это мир, да!\n\nнет\nда " * 60, "a_b.c\u0301d² ½ x" * 90, "ab  cd \n e '" * 300, " " * 5000 + "x", "don't 1a  \t b" * 100):
+        for size in (1, 7, 50):
+            assert bpe_codec.encode_text(encoding, text, size) == bpe_codec.encode_text(encoding, text, 10**9)
+    assert len(bpe_codec.safe_pieces("漢字。かな" * 300, 50)) > 20
+    for r in bpe_codec.digest_documents(odd.withColumn("__text", F.lit(1)).withColumn("N_Tokens", F.lit(1)), keep_text=True).collect():
+        ids = np.asarray(encoding.encode_ordinary(r["text"] or ""), "<u4")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
 
 
 def test_counts_match_the_library_at_every_prefix(odd, docs):
@@ -150,8 +155,10 @@ def test_line_dedup_on_odd_rows(spark, odd):
     longer = line + " more"
     far = line.replace("w5", "a").replace("w9", "b")
     rows = [(1, f"{line}\nshort\n{far}"), (2, f"short\n{near}\n{longer}"), (3, None), (3, ""), (None, f"{line} null first"), (4, f"{line}\n{line}")]
-    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == {(1, f"{line}\nshort\n{far}"): 0, (2, "short"): 2, (3, None): 0, (3, ""): 0, (None, f"{line} null first"): 0, (4, ""): 2}
+    clashing = ["id", "TH", "pos", "n_lines", "N_Removed", "gone", "near"]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in clashing})
+    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in line_dedup.dedup_lines(table).collect()}
+    assert got == {(1, f"{line}\nshort\n{far}"): 0, (2, ""): 3, (3, None): 0, (3, ""): 0, (None, f"{line} null first"): 0, (4, ""): 2}
     assert line_dedup.dedup_lines(odd).count() == len(ODD)
 
 
@@ -184,6 +191,20 @@ def test_pipeline_removes_short_repeats(spark):
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("\n\nread less"[1:], 10), 4: (None, None)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_on_random_lines(spark, seed):
+    """Lines over few words and of all lengths, repeats, permutations and odd blanks."""
+    rng = np.random.default_rng(seed)
+    blank = lambda: rng.choice([" ", "  ", "\t", " \r"])
+    line = lambda: "".join(f"{blank()}{rng.choice(list('AbC'))}{blank()}x" for _ in range(rng.integers(0, 12)))
+    rows = [(int(i), "\n".join(line() for _ in range(rng.integers(1, 5)))) for i in range(120)]
+    long = " ".join(f"w{k}" for k in range(200))
+    rows += [(200, long), (201, long.replace("w7 ", "")), (202, f"{long} x"), (203, f"{long} x y"), (204, "a b\n\n a  B"), (205, None), (206, " ".join(long.split()[:160])), (207, " ".join(long.split()[:159]))]
+    got, expected = line_dedup_and_sql(spark, rows)
+    assert got == expected
+    assert {i: n for i, n, _ in got}[203] == 1 == {i: n for i, n, _ in got}[204]
+
+
 def test_line_dedup_when_keys_collide(spark, monkeypatch):
     keys = line_dedup.neighbourhood
     monkeypatch.setattr(line_dedup, "neighbourhood", lambda words: keys(words).withColumn("key", F.pmod("key", F.lit(2))))
@@ -292,10 +313,6 @@ def test_empty_tables(spark):
     assert html_extract.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
-def test_digest_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
-
-
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
