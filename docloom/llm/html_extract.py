@@ -1,48 +1,66 @@
 """Main-text extraction with a site style tree (operator 4).
 
 Each page is parsed into text blocks with the path of block elements above them
-(tag and classes). Same-host pages are merged by path: a style node is a path,
-its pages are those that hold it, its content features are the distinct texts
-found there, its presentation is the sequence of block elements it contains.
-Pages of a host that are equal in blocks and paths count as one page here.
+(tag, classes, and whether the markup hints at no article). Same-host pages are
+merged by path: a style node is a path of one host, its pages are those that
+hold it, its content features are the distinct texts found there, its
+presentation is the sequence of block elements it contains. Pages of a host
+that are equal in blocks and paths count as one page.
 
-* Content importance of a leaf: 1 - mean of log(n) / log(m) over its texts, for
+* Content importance of a node: 1 - mean of log(n) / log(m) over its texts, for
   a text on n of the node's m pages; 1 if every page has its own texts, 0 if all
   share them.
-* Presentation importance of an inner node: the entropy, to the base m, of its
-  child sequences over its m pages.
-* A branch's importance is the largest of its nodes: a branch is low only if
-  nothing in it is important.
-
-Branches below the threshold are removed from each page, besides the elements
-whose markup names them as no part of the article (menus, forms, scripts,
-comments ...), and what lies outside of an article element where there is one.
-
-Defined results: null or empty html gives an empty text; a node on fewer than
-MIN_PAGES pages is never judged by its texts; repeated rows are extracted each
-on its own; a null url, or one without a host, is a site of its own.
+* Presentation importance of a node: the entropy, to the base m, of its child
+  sequences over its m pages.
+* A node's importance is the larger of both. Where pages are few, belief takes
+  the place of evidence: (m * importance + k * belief) / (m + k), with belief 0
+  for paths whose markup hints at menus, notices, adverts and the like (k =
+  200), 1/2 if these lie inside of an article or main element (k = 50), and 1
+  for all others (k = 20).
+
+Blocks of nodes below MIN_IMPORTANCE are removed from each page. Besides, what
+markup excludes by its meaning goes without being judged: scripts, styles,
+menus, forms, page headers and footers, hidden elements, and reader comments,
+whose texts are as varied as an article's. A page of which nothing would be
+left keeps what its markup does not exclude.
+
+Statistics are aggregated over 64-bit node hashes (host and path). The low nodes
+go to every task if they are at most MAX_SENT_NODES; beyond that they are joined
+to the pages that hold them.
+
+Defined results: null or empty html gives an empty text; repeated rows are
+extracted each on its own; a null url, or one without a host, is a site of its
+own; columns named like the new ones, in any case, are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from docloom.llm.common import append_columns, drop_path, materialize, shared_dir, table
+from docloom.llm.common import append_columns, slices, table, unused
 from docloom.llm.url_filter import host_of
 
-MIN_PAGES = 8
-MIN_IMPORTANCE = 0.2
+MIN_IMPORTANCE = 0.7
+#: Pages that belief counts for: hinted paths, hinted paths in an article, others.
+HINTED, HINTED_INSIDE, PLAIN = 200, 50, 20
+#: Low nodes sent to every task, 8 bytes each; more of them are joined instead.
+MAX_SENT_NODES = 2_000_000
 #: Element names of HTML, by what they mean for a text's blocks.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button head title".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-#: Words in classes and ids of elements that are no part of an article.
-NOISE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer foot header share sharing social related recommended recommendations widget comment comments commentlist discussion disqus reply replies respond form search skip copyright legal disclaimer tags hidden".split())
+#: Words in classes and ids that name reader comments, and those that hint at no article.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies respond".split())
+HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer foot header share sharing social related recommended recommendations widget form search skip copyright legal disclaimer tags".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|$)""",
     re.S,
@@ -54,30 +72,28 @@ ENDS = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd
 
 
 def describe(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """The element's step in a style path, and whether its markup takes it out of the article."""
+    """The element's step in a style path ("!" marks a hint), and whether its meaning takes it out of the article."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-    classes = found.get("class", "").lower().split()
-    words = set(WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    out = tag in OUTSIDE or tag == "header" and not inside or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES
-    noisy = bool(words & NOISE) and tag not in ("html", "body", "main") and not (tag == "article" and not words & {"comment", "comments", "reply"}) and not (inside and words & NOISE <= {"header", "side"})
-    return ".".join([tag, *sorted(classes)]), out or noisy
+    words = set(WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())) if tag not in ("html", "body", "main") else set()
+    out = tag in OUTSIDE or tag == "header" and not inside or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or bool(words & COMMENTS)
+    return ".".join([tag, *sorted(found.get("class", "").lower().split())]) + "!" * bool(words & HINTS), out
 
 
-def parse(text: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]]:
-    """Blocks (path, text, markup says no, in an article), and path -> child sequence of inner nodes."""
-    blocks: list[tuple[str, str, bool, bool]] = []
+def parse(text: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
+    """Blocks (path, text, taken out by meaning), and path -> child sequence of inner nodes."""
+    blocks: list[tuple[str, str, bool]] = []
     children: dict[str, list[str]] = {}
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, out, in an article
     pending: list[str] = []
     text = text or ""
-    at, low = 0, None
+    at = 0
 
     def flush() -> None:
         if pending:
             clean = " ".join(html.unescape("".join(pending)).split())
             pending.clear()
             if clean:
-                blocks.append((stack[-1][1], clean, *stack[-1][2:]))
+                blocks.append((stack[-1][1], clean, stack[-1][2]))
 
     while at < len(text):
         m = TOKEN.search(text, at)
@@ -92,8 +108,8 @@ def parse(text: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[str
             continue
         tag = m[2].lower()
         if not m[1] and tag in RAW:
-            low = low or text.lower()
-            end = low.find(f"</{tag}", at)
+            found = re.compile(f"</{tag}", re.I | re.A).search(text, at)
+            end = found.start() if found else -1
             close = text.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else len(text) if tag in ("script", "style") or end >= 0 else at
             continue
@@ -120,77 +136,140 @@ def parse(text: str | None) -> tuple[list[tuple[str, str, bool, bool]], dict[str
     return blocks, runs
 
 
-def parsed_pages(pages: DataFrame, html_col: str) -> DataFrame:
-    """``pages`` with blocks (path, text, out, inside) and nodes (path, children)."""
-    block = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("out", T.BooleanType()), T.StructField("inside", T.BooleanType())])
-    node = T.StructType([T.StructField("path", T.StringType()), T.StructField("children", T.StringType())])
-    fields = [T.StructField("blocks", T.ArrayType(block)), T.StructField("nodes", T.ArrayType(node))]
+def belief(path: str) -> tuple[float, int]:
+    """What is thought of a path before any page is seen, and the number of pages that this counts for."""
+    steps = path.split("/")
+    if not any(step.endswith("!") for step in steps):
+        return 1.0, PLAIN
+    inside = next((k for k, step in enumerate(steps) if step.split(".")[0].rstrip("!") in ("article", "main")), len(steps))
+    return (0.0, HINTED) if any(step.endswith("!") for step in steps[: inside + 1]) else (0.5, HINTED_INSIDE)
 
-    def make():
-        def work(texts):
-            out: list[list] = [[], []]
-            for text in texts:
-                blocks, runs = parse(text)
-                out[0].append([dict(zip(("path", "text", "out", "inside"), b, strict=True)) for b in blocks])
-                out[1].append([{"path": p, "children": c} for p, c in runs.items()])
-            return out
 
-        return work
+def node_hash(host: int, path: str) -> int:
+    """The node of a path in a host, as a signed 64-bit integer."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(path, host % (1 << 64))).view(np.int64))
+
+
+def text_hash(text: str) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
+
 
-    return append_columns(pages, html_col, fields, make, drop=(html_col,))
+FEATURE = T.StructType([T.StructField("node", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("feature", T.LongType()), T.StructField("first", T.IntegerType())])
 
 
-def distinct_pages(parsed: DataFrame) -> DataFrame:
-    """host, texts (path, feature) and nodes (path, children) of every distinct page of a host: copies under other urls count once.
+def page_features(host: int, text: str | None) -> tuple[int, list[dict]]:
+    """A hash of a page's blocks and paths, and its features: (node, kind, feature, first).
 
-    Texts and child sequences are hashes here, so what is grouped is small.
+    kind is the path's belief (0 plain, 1 hinted in an article, 2 hinted) for a
+    text, and that plus 3 for a child sequence; first is 1 on one text of each
+    node, so that its sum counts the node's pages.
     """
-    texts = F.expr("array_distinct(transform(blocks, b -> named_struct('path', b.path, 'feature', xxhash64(b.text))))")
-    nodes = F.expr("transform(nodes, n -> named_struct('path', n.path, 'children', xxhash64(n.children)))")
-    return parsed.select("host", F.xxhash64("blocks", "nodes").alias("page_hash"), texts.alias("texts"), nodes.alias("nodes")).dropDuplicates(["host", "page_hash"])
+    blocks, runs = parse(text)
+    kinds = {PLAIN: 0, HINTED_INSIDE: 1, HINTED: 2}
+    out, seen = [], set()
+    for path, feature in dict.fromkeys((path, text_hash(clean)) for path, clean, _ in blocks):
+        out.append({"node": node_hash(host, path), "kind": kinds[belief(path)[1]], "feature": feature, "first": int(path not in seen)})
+        seen.add(path)
+    out += [{"node": node_hash(host, path), "kind": 3 + kinds[belief(path)[1]], "feature": text_hash(run), "first": 1} for path, run in runs.items()]
+    whole = xxhash.xxh3_64_intdigest(repr((blocks, runs)), host % (1 << 64))
+    return int(np.uint64(whole).view(np.int64)), out
 
 
-def style_tree(distinct: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every style node, over ``distinct_pages``."""
-    features = distinct.select("host", F.inline("texts")).groupBy("host", "path", "feature").agg(F.count("*").alias("n"))
-    leaf_pages = distinct.select("host", F.explode(F.array_distinct("texts.path")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("m"))
-    same = ["host", "path"]
-    spread = features.groupBy(*same).agg(F.avg(F.log("n")).alias("spread"))  # partial sums: a hot site does not meet in one task
+def features_of(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
+    """page (a hash of host, blocks and paths) and features of every page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64()), ("first", pa.int32())]))
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                made = [page_features(h, t) for h, t in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], types)], names=["page", "features"])
+
+    schema = T.StructType([T.StructField("page", T.LongType()), T.StructField("features", T.ArrayType(FEATURE))])
+    return pages.select(host.alias("host"), F.col(f"`{html_col}`").alias("html")).mapInArrow(run, schema)
+
+
+def style_tree(features: DataFrame) -> DataFrame:
+    """node, kind, m and importance of the content (kind 0 to 2) and the presentation (3 to 5) of every style node, from ``features_of``.
+
+    Equal pages of a host are one; partial sums keep a hot site from meeting in one task.
+    """
+    distinct = features.groupBy("page").agg(F.first("features").alias("features"))
+    counts = distinct.select(F.inline("features")).groupBy("node", "kind", "feature").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
+    nodes = counts.groupBy("node", "kind").agg(F.sum("first").alias("m"), F.avg(F.log("n")).alias("spread"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     m = F.col("m").cast("double")
-    leaves = spread.join(leaf_pages, same).select(*same, F.col("m").alias("pages"), F.when(m > 1, 1 - F.col("spread") / F.log(m)).otherwise(1.0).alias("importance"))
-    styles = distinct.select("host", F.inline("nodes")).groupBy("host", "path", "children").agg(F.count("*").alias("n"))
-    inner = styles.groupBy(*same).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    inner = inner.select(*same, F.col("m").alias("pages"), F.when(m > 1, 1 - F.col("nlogn") / (m * F.log(m))).otherwise(1.0).alias("importance"))
-    return leaves.union(inner)
-
-
-def low_leaves(tree: DataFrame, min_pages: int, min_importance: float) -> DataFrame:
-    """(host, path) of style nodes that lie in a branch of low importance."""
-    above = F.expr("transform(sequence(2, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
-    placed = tree.where("path <> ''").withColumn("branch", F.explode(above))
-    branches = placed.groupBy("host", "branch").agg(F.max("importance").alias("importance"), F.max("pages").alias("pages"))
-    low = branches.where((F.col("importance") < min_importance) & (F.col("pages") >= min_pages)).select("host", "branch")
-    return placed.join(low, ["host", "branch"], "left_semi").select("host", "path").distinct()
-
-
-def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
-    """``pages`` without html, with the main text, and n_removed: blocks that only the style tree removed."""
-    spark = pages.sparkSession
-    temporary = [shared_dir(spark), shared_dir(spark)]
-    made = ["text", "n_removed"]
-    kept = [c for c in pages.columns if c not in {*made, html_col}]
-    source = pages.select(F.monotonically_increasing_id().alias("row"), host_of(F.col(f"`{url_col}`")).alias("host"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("page"), F.col(f"`{html_col}`").alias("html"))
-    parsed = materialize(parsed_pages(source, "html"), temporary[0])
-    low = low_leaves(style_tree(materialize(distinct_pages(parsed), temporary[1])), min_pages, min_importance)
-    paths = parsed.select("row", "host", F.explode(F.expr("array_distinct(transform(filter(blocks, b -> NOT b.out), b -> b.path))")).alias("path"))
-    removed = paths.join(low, ["host", "path"], "left_semi").groupBy("row").agg(F.collect_set("path").alias("low"))
-    main = F.expr("CASE WHEN exists(blocks, b -> b.inside AND NOT b.out) THEN filter(blocks, b -> b.inside AND NOT b.out) ELSE filter(blocks, b -> NOT b.out) END")
-    both = parsed.select("row", "page", main.alias("main")).join(removed, "row", "left")
-    left = both.withColumn("left", F.expr("CASE WHEN low IS NULL THEN main ELSE filter(main, b -> NOT array_contains(low, b.path)) END"))
-    out = materialize(left.select("page.*", F.expr("array_join(transform(left, b -> b.text), '\\n')").alias("text"), (F.size("main") - F.size("left")).cast("long").alias("n_removed")))
-    for path in temporary:
-        drop_path(spark, path)
-    return out
+    importance = F.when(m < 2, 1.0).when(F.col("kind") < 3, 1 - F.col("spread") / F.log(m)).otherwise(1 - F.col("nlogn") / (m * F.log(m)))
+    return nodes.select("node", "kind", "m", importance.alias("importance"))
+
+
+def low_nodes(tree: DataFrame, min_importance: float) -> DataFrame:
+    """node: those with a text whose importance, tempered by belief, is below the threshold."""
+    kind = F.col("kind") % 3
+    k = F.when(kind == 2, HINTED).when(kind == 1, HINTED_INSIDE).otherwise(PLAIN)
+    thought = F.when(kind == 2, 0.0).when(kind == 1, 0.5).otherwise(1.0)
+    tempered = (F.col("m") * F.col("importance") + k * thought) / (F.col("m") + k)
+    nodes = tree.select("node", "kind", tempered.alias("importance")).groupBy("node").agg(F.max("importance").alias("importance"), F.min("kind").alias("kind"))
+    return nodes.where((F.col("kind") < 3) & (F.col("importance") < min_importance)).select("node")
+
+
+def main_text(host: int, text: str | None, low) -> tuple[str, int]:
+    """The blocks that are left, joined, and the number of those that the style tree removed."""
+    blocks = [(path, clean) for path, clean, out in parse(text)[0] if not out]
+    left = [clean for path, clean in blocks if node_hash(host, path) not in low] or [clean for _, clean in blocks]
+    return "\n".join(left), len(blocks) - len(left)
+
+
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_importance: float = MIN_IMPORTANCE, max_sent: int = MAX_SENT_NODES) -> DataFrame:
+    """``pages`` without html, with the main text, and n_removed: blocks that the style tree removed."""
+    host = F.xxhash64(host_of(F.col(f"`{url_col}`")))
+    features = features_of(pages, host, html_col)
+    low = low_nodes(style_tree(features), min_importance).persist()
+    try:
+        sent = low.count() <= max_sent
+        known = frozenset(low.toArrow().column("node").to_pylist()) if sent else frozenset()  # at most max_sent
+    finally:
+        low.unpersist()
+    body, of, own = unused("html"), unused("host"), unused("low")
+    names = {"text", "n_removed", html_col.lower()}
+    kept = [c for c in pages.columns if c.lower() not in names]
+    source = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias(of), F.col(f"`{html_col}`").alias(body))
+    if sent:
+        source = source.withColumn(own, F.lit(None).cast("array<bigint>"))
+    else:
+        source = with_low_nodes(source, low, of, body, own)
+    shared = pages.sparkSession.sparkContext.broadcast(known)
+    fields = [T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everywhere = shared.value
+        for whole in batches:
+            for batch in slices(whole, body):
+                columns = (batch.column(c).to_pylist() for c in (of, body, own))
+                made = [main_text(h, t, everywhere if lows is None else frozenset(lows)) for h, t, lows in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=[*kept, "text", "n_removed"])
+
+    return source.mapInArrow(run, T.StructType([source.schema[c] for c in kept] + fields))
+
+
+def with_low_nodes(source: DataFrame, low: DataFrame, of: str, body: str, own: str) -> DataFrame:
+    """``source`` with the low nodes that each page holds, joined by hashes of host and html."""
+
+    def make():
+        return lambda texts: [[list({path for path, _, out in parse(t)[0] if not out}) for t in texts]]
+
+    key, html_hash = unused("key"), F.xxhash64(of, body)
+    texts = source.select(F.col(of).alias("host"), html_hash.alias("key"), F.col(body).alias("html")).dropDuplicates(["key"])
+    paths = append_columns(texts, "html", [T.StructField("paths", T.ArrayType(T.StringType()))], make, drop=("html",))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [[node_hash(h, p) for p in found] for h, found in zip(batch.column("host").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(nodes, pa.list_(pa.int64()))], names=["key", "nodes"])
+
+    held = paths.mapInArrow(hashed, "key bigint, nodes array<bigint>").select("key", F.explode("nodes").alias("node"))
+    lows = held.join(low, "node", "left_semi").groupBy("key").agg(F.collect_set("node").alias(own)).withColumnRenamed("key", key)
+    joined = source.join(lows, html_hash == F.col(key), "left").drop(key)
+    return joined.withColumn(own, F.coalesce(F.col(own), F.array().cast("array<bigint>")))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,6 +264,54 @@ def test_html_copies_of_a_page_count_once(spark):
     assert [got[2000 + 9 * g + c] for g in range(9) for c in range(9)] == [f"Text {g} of it\nSecond {g}" for g in range(9) for c in range(9)]
 
 
+def html_table(spark, rows):
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def test_style_tree_against_brute_force(spark):
+    """Entropies by their definition, over pages parsed one by one."""
+    rng = np.random.default_rng(5)
+    part = lambda: rng.choice(["<div class=ad>Buy now</div>", f"<div class=ad>Offer {rng.integers(3)}</div>", "<p>same</p>", f"<p>own {rng.integers(99)}</p>", "<section><p>a</p><ul><li>b<li>c</ul></section>"])
+    rows = [(i, f"http://s{i % 2}.org/{i}", "<body>" + "".join(part() for _ in range(rng.integers(1, 6)))) for i in range(60)]
+    rows += [(100 + i, f"http://s0.org/copy{i}", rows[0][2]) for i in range(5)]
+    host = html_extract.F.xxhash64(url_filter.host_of(F.col("url")))
+    hosts = {r["page_id"]: r["h"] for r in html_table(spark, rows).select("page_id", host.alias("h")).collect()}
+    pages = {(hosts[i], repr(html_extract.parse(h))): html_extract.parse(h) for i, _, h in rows}
+    texts, runs = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(int))
+    for (h, key), (blocks, children) in pages.items():
+        for path, text, _ in blocks:
+            texts[html_extract.node_hash(h, path)][text].add(key)
+        for path, run in children.items():
+            runs[html_extract.node_hash(h, path)][run] += 1
+    expected = {}
+    for node, by in texts.items():
+        m = len(set().union(*by.values()))
+        expected[node, True] = (m, 1 - sum(np.log(len(p)) / np.log(m) for p in by.values()) / len(by) if m > 1 else 1.0)
+    for node, by in runs.items():
+        m = sum(by.values())
+        expected[node, False] = (m, -sum(n / m * np.log(n / m) / np.log(m) for n in by.values()) if m > 1 else 1.0)
+    tree = html_extract.style_tree(html_extract.features_of(html_table(spark, rows), host, "html")).collect()
+    assert {(r["node"], r["kind"] < 3): r["m"] for r in tree} == {k: m for k, (m, _) in expected.items()}
+    assert all(abs(r["importance"] - expected[r["node"], r["kind"] < 3][1]) < 1e-9 for r in tree)
+
+
+def test_style_tree_decides_against_and_for_hints(spark):
+    page = lambda i: f"<body><div class=promo>Only {i % 3} left</div><div>Seen on {i % 2} sites</div><article><p>Body {i}</p><div class='side-by-side'>Table {i}</div></article><div class=teaser>See more {i}</div></body>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(300)] + [(1000 + i, f"http://b.org/{i}", page(i)) for i in range(6)]
+    wide = html_table(spark, rows).withColumns({"TEXT": F.lit(1), "n_removed": F.lit("x"), "low": F.lit(1), "host": F.lit(2)})
+    ways = [{r["page_id"]: (r["text"], r["n_removed"]) for r in html_extract.extract_text(wide, max_sent=n).collect()} for n in (1000, 0)]
+    assert ways[0] == ways[1]
+    assert ways[0][7] == ("Body 7\nTable 7\nSee more 7", 2)
+    assert ways[0][1003] == ("Seen on 1 sites\nBody 3\nSee more 3", 2)  # few pages: hints decide
+
+
+def test_html_on_odd_rows(spark):
+    long = "<p>" + "word &amp; " * 200_000 + "</p>"
+    rows = [(1, "http://a.org/", long), (1, "http://a.org/", long), (2, None, "<article>x<script>y</SCRIPT>\u0130<style>z</style> t</article>"), (None, "", "<p hidden>no<p>yes"), (3, "http://a.org", "<!-- c"), (4, "http://a.org/", "<div class=comments>me</div>")]
+    got = html_extract.extract_text(html_table(spark, rows)).collect()
+    assert sorted((r["page_id"] or 0, len(r["text"]), r["text"][:20]) for r in got) == [(0, 3, "yes"), (1, 1_399_999, "word & word & word &"), (1, 1_399_999, "word & word & word &"), (2, 4, "x\u0130 t"), (3, 0, ""), (4, 0, "")]
+
+
 def test_maximal_segments_against_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):
