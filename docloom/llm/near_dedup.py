@@ -3,9 +3,12 @@
 1. Each text becomes the set of its distinct 5-word shingles (64-bit hashes),
    128 MinHash samples, 32 band keys of 4 samples each, and an odd sketch: a
    512-bit parity bitmap into which every sample is folded by XOR.
-2. Documents with equal sets form one class; only its smallest id goes on.
-3. Every member of a bucket is compared with the bucket's hub, the member that
-   shares most buckets with most documents: a linear number of pairs. A pair is
+2. Documents with equal sets form one class, named by the digest of the set;
+   only one text of each class goes on. Classes that one id has are linked.
+3. A bucket is dealt to SALTS parts by the hash of its members, so that a hot
+   bucket meets in no task. Every member of a part is compared with the part's
+   hub, the member that shares most buckets with most documents, and the hubs
+   of a bucket with the greatest of them: a linear number of pairs. A pair is
    dropped if its set sizes or its odd sketches, by the population count of
    their XOR, rule out the similarity; the full sets of all others are
    intersected. Verified pairs are joined into components.
@@ -20,22 +23,26 @@ A pair at similarity 0.75 shares no bucket with probability
 
 Defined results: texts without words (null too) have an empty set and are
 linked with nothing; fewer than five words make one shingle. Rows of equal id
-are one node. Rows without an id form no links: component_id is null, kept true.
+are one document: each of its texts counts, and all of them are in one
+component, whatever the order of the rows. Rows without an id form no links:
+component_id is null, kept true.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from docloom.llm.common import append_columns, drop_path, materialize, shared_dir, slices, table
+from docloom.llm.common import append_columns, materialize, scratch, slices, table
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
+#: Parts of a bucket; each is handled on its own, and a bucket by the hubs of its parts.
+SALTS = 64
 SKETCH_LONGS = 8
 #: Odd-sketch estimates below these drop a pair: over five standard deviations under 0.75.
 SKETCH_FLOOR, SHARP_FLOOR = 0.5, 0.65
@@ -95,8 +102,13 @@ def odd_sketch(samples: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
     return np.packbits(odd).view(">i8").astype(np.int64)
 
 
+def set_digest(shingles: np.ndarray) -> bytes | None:
+    """128 bits that name a set; None if it is empty."""
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, fp (digest of the whole set; null if empty), bands, sketch."""
+    """id, th (hash of the text), n_shingles, fp (digest of the whole set; null if empty), bands, sketch."""
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
 
     def make():
@@ -105,14 +117,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in texts:
                 found = shingle_set(text)
                 samples = min_hashes(found) if len(found) else None
-                row = (len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(samples), odd_sketch(samples)) if len(found) else (0, None, None, None)
+                row = (len(found), set_digest(found), band_keys(samples), odd_sketch(samples)) if len(found) else (0, None, None, None)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             return out
 
         return work
 
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col(f"`{text_col}`")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     return append_columns(source, "text", fields, make, binary=True, drop=("text",))
 
 
@@ -150,9 +163,10 @@ def own_shingles(sets: DataFrame) -> DataFrame:
 
 
 def mixed_buckets(entries: DataFrame) -> DataFrame:
-    """The entries (key, component and others) of buckets that hold more than one component."""
-    mixed = entries.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    return entries.join(mixed, "key", "left_semi")
+    """The entries (key, salt, component and others) of buckets that hold more than one component."""
+    parts = entries.groupBy("key", "salt").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    mixed = parts.groupBy("key").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select("key")
+    return entries.join(parts.select("key", "salt").join(mixed, "key", "left_semi"), ["key", "salt"], "left_semi")
 
 
 def sharp_sketches(sets: DataFrame) -> DataFrame:
@@ -168,21 +182,26 @@ def sharp_sketches(sets: DataFrame) -> DataFrame:
     return sets.select("id", "items").mapInArrow(run, schema)
 
 
-def id_filter(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits over the hashes of ids: of fixed size, with false positives but no false negatives."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(id), {FILTER_BITS}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+def place_slot(id_col: str, text_hash: Column) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text_hash), F.lit(FILTER_BITS))
+
+
+def place_filter(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits over the hashes of (rep, th): of fixed size, with false positives but no false negatives."""
+    slot = place_slot("rep", F.col("th"))
+    words = wanted.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, CAST(slot % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(FILTER_BITS // 64, np.int64)
     for batch in words.toArrow().to_batches():  # at most FILTER_BITS / 64 rows
         out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
     return out
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """id and the whole shingle set of the wanted ids. Texts are read in place; only sets are shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
-    key = F.col(f"`{id_col}`")
-    source = docs.where(key.isNotNull()).select(key.alias("id"), F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("slot"), F.col(f"`{text_col}`").alias("text"))
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """id (of a class) and items, the whole shingle set, of the wanted classes. Texts are read in place; only sets are shuffled."""
+    places = classes.join(wanted.select(F.col("id").alias("fp")), "fp", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(place_filter(places))
+    text = F.col(f"`{text_col}`")
+    source = docs.where(F.col(f"`{id_col}`").isNotNull()).select(place_slot(id_col, F.xxhash64(text)).alias("slot"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -190,11 +209,12 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame)
             slot = whole.column("slot").to_numpy()
             chosen = whole.filter(pa.array((bits[slot >> 6] >> (slot & 63)) & 1 == 1))
             for batch in slices(chosen, "text"):
-                sets = [shingle_set(t).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
+                sets = [shingle_set(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                names = [set_digest(x) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["id", "items"])
 
-    schema = T.StructType([source.schema["id"], T.StructField("items", T.ArrayType(T.LongType()))])
-    return source.mapInArrow(run, schema).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    found = source.mapInArrow(run, "id binary, items array<bigint>")
+    return found.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,18 +235,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(check, pairs.select("a", "b").schema)
 
 
-def components(edges: DataFrame, keep: list[str]) -> DataFrame:
+def components(edges: DataFrame, stored: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component): each linked id with the smallest id of its component.
 
     Alternates large-star and small-star steps, each a join and an aggregation,
     until no edge changes; every step is written to the shared folder.
     """
-    spark = edges.sparkSession
-
-    def stored(df: DataFrame) -> DataFrame:
-        keep.append(shared_dir(spark))
-        return materialize(df, keep[-1])
-
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
@@ -242,40 +256,49 @@ def components(edges: DataFrame, keep: list[str]) -> DataFrame:
         state = now
 
 
+def hub_pairs(reps: DataFrame, stored: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The entries (key, salt, id, size) of buckets with more than one member, and the pairs of members and hubs."""
+    entries = reps.select("id", F.explode("bands").alias("key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = entries.groupBy("key", "salt").agg(F.count("*").alias("part"))
+    sizes = parts.groupBy("key").agg(F.sum("part").alias("size")).where("size > 1")
+    grouped = stored(entries.join(parts.join(sizes, "key").select("key", "salt", "size"), ["key", "salt"]))
+    mass = grouped.groupBy("id").agg(F.sum("size").alias("mass"))
+    hubs = stored(grouped.join(mass, "id").groupBy("key", "salt").agg(F.max(F.struct("mass", "id")).alias("hub")))
+    heads = hubs.groupBy("key").agg(F.max("hub").alias("head"))
+    near = grouped.join(hubs, ["key", "salt"]).select("id", F.col("hub.id").alias("hub"))
+    across = hubs.join(heads, "key").select(F.col("hub.id").alias("id"), F.col("head.id").alias("hub"))
+    pairs = near.union(across).where("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    return grouped, pairs
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row for each row of ``docs``: id_col, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    temporary: list[str] = []
+    with scratch(docs.sparkSession) as stored:
+        return materialize(linked_rows(docs, id_col, text_col, percent, stored))
 
-    def stored(df: DataFrame) -> DataFrame:
-        temporary.append(shared_dir(spark))
-        return materialize(df, temporary[-1])
 
+def linked_rows(docs: DataFrame, id_col: str, text_col: str, percent: int, stored: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rows = stored(sketches(docs, id_col, text_col))
     linkable = rows.where("id IS NOT NULL AND fp IS NOT NULL")
-    classes = stored(linkable.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    alone = linkable.join(classes.where("n > 1").select(F.col("fp"), F.col("rep")), "fp", "left").where("rep IS NULL OR rep = id")
-    reps = alone.select("id", F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["id", "n"])
+    classes = stored(linkable.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n")).select("fp", F.col("first.id").alias("rep"), F.col("first.th").alias("th"), "n"))
+    alone = linkable.join(classes.where("n > 1").select("fp", "rep", F.col("th").alias("at")), "fp", "left").where("rep IS NULL OR (rep = id AND at = th)")
+    reps = alone.select(F.col("fp").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["id"])
+    twice = linkable.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
+    same_id = linkable.select("id", F.col("fp").alias("b")).join(twice.select("id", "a"), "id").select("a", "b").where("a <> b").distinct()
 
-    entries = reps.select("id", F.col("n"), F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    grouped = stored(entries.join(shared, "key").select("key", "id", "size"))
-    mass = grouped.groupBy("id").agg(F.sum("size").alias("mass"))
-    hubs = grouped.join(mass, "id").groupBy("key").agg(F.max_by("id", F.struct("mass", "id")).alias("hub"))
-    pairs = grouped.join(hubs, "key").where("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    grouped, pairs = hub_pairs(reps, stored)
     wanted = stored(grouped.select("id").distinct())
     traits = stored(reps.select("id", F.struct("n", "sketch").alias("traits")).join(wanted, "id", "left_semi"))
     candidates = stored(with_traits(pairs, traits).where(plausible("ta", "tb", percent)).select("a", "b"))
     paired = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(shingle_sets(docs, id_col, text_col, paired))
-    links = stored(verified(candidates, sets, percent))
-    found = components(links, temporary)
+    sets = stored(shingle_sets(docs, id_col, text_col, paired, classes))
+    found = components(verified(candidates, sets, percent).union(same_id), stored)
 
-    labelled = grouped.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    labelled = grouped.select("key", "salt", "id").join(found, "id", "left").select("key", "salt", "id", F.coalesce("component", "id").alias("component"))
     rest = stored(mixed_buckets(labelled))
-    of_rest = stored(shingle_sets(docs, id_col, text_col, rest.select("id").distinct()))
+    of_rest = stored(shingle_sets(docs, id_col, text_col, rest.select("id").distinct(), classes))
     able = stored(own_shingles(of_rest).where(f"100 * (n - own) >= {percent} * n"))
-    rest = stored(mixed_buckets(rest.join(able.select("id"), "id", "left_semi").select("key", "component", "id")))
+    rest = stored(mixed_buckets(rest.join(able.select("id"), "id", "left_semi").select("key", "salt", "component", "id")))
     sharp = sharp_sketches(of_rest.join(rest.select("id").distinct(), "id", "left_semi")).join(able, "id").join(reps.select("id", "bands"), "id")
     sharp = stored(sharp.dropDuplicates(["id"]).select("id", F.struct("n", "own", "sketch", "bands").alias("traits")))
     rest = rest.join(sharp, "id")
@@ -288,17 +311,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not late.isEmpty():  # join whole components by the links found between them
         of = found.select("id", "component")
         ends = late.join(of.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(of.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
-        merged = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), temporary)
+        merged = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), stored)
         found = found.join(merged.select(F.col("id").alias("component"), F.col("component").alias("lower")), "component", "left").select("id", F.coalesce("lower", "component").alias("component"))
         found = stored(found.union(merged.select("id", "component")).groupBy("id").agg(F.min("component").alias("component")))
 
-    of_class = classes.select("fp", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("fp").alias("class"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n_shingles", "fp").join(of_class.where("component IS NOT NULL"), F.col("fp") == F.col("class"), "left")
-    lowest = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    out = materialize(out.select(F.col("id").alias(id_col), "n_shingles", lowest.alias("component_id"), F.coalesce(lowest == F.col("id"), F.lit(True)).alias("kept")))
-    for path in temporary:
-        drop_path(spark, path)
-    return out
+    named = classes.select("fp", "rep").join(found.select(F.col("id").alias("fp"), "component"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"), F.count("*").alias("n"))
+    of_class = named.join(lowest.where("n > 1"), "component", "left").select(F.col("fp").alias("class"), F.coalesce("lowest", "rep").alias("lowest"))
+    out = rows.select("id", "n_shingles", "fp").join(of_class, F.col("fp") == F.col("class"), "left")
+    lowest = F.when(F.col("id").isNotNull(), F.coalesce("lowest", "id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", lowest.alias("component_id"), F.coalesce(lowest == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def with_traits(pairs: DataFrame, traits: DataFrame) -> DataFrame:

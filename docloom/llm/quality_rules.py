@@ -2,7 +2,8 @@
 
 Each text gives rule counts and the hashes of its normalised lines (lower case,
 white space collapsed). A line's frequency in a host is the number of distinct
-texts of that host which hold it, so exact copies of one document count once.
+documents of that host which hold it; exact copies, under whatever id, are one
+document, or else a page that was fetched often would be its own boilerplate.
 Lines above both limits are boilerplate; a document that keeps too few of its
 words without them is depleted and rejected.
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docloom.llm.common import materialize, table
+from docloom.llm.common import materialize, scratch, table
 
 #: The white space that separates words, and the symbols counted.
 BLANK = r"[\\x20\\x09-\\x0D]"
@@ -23,10 +24,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-#: A line is boilerplate in more documents of a host than this ...
-MAX_LINE_DOCS = 100
-#: ... if these are also more than this share of the host's documents.
-MAX_LINE_SHARE = 0.01
+#: A line is boilerplate if more than this share of a host's documents hold it ...
+MAX_LINE_SHARE = 0.05
+#: ... and more documents than this: in fewer, chance repeats could pass for a share.
+MAX_LINE_DOCS = 5
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT_SHARE = 0.3
 
@@ -75,7 +76,13 @@ def boilerplate_lines(counts: DataFrame, max_docs: int = MAX_LINE_DOCS, max_shar
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_LINE_DOCS, max_share: float = MAX_LINE_SHARE, min_left_share: float = MIN_LEFT_SHARE) -> DataFrame:
     """Rule counts, boilerplate found, and the verdict on every row of ``docs``."""
-    counts = materialize(rule_counts(docs, id_col, text_col, host_col))
+    with scratch(docs.sparkSession) as stored:
+        counts = stored(rule_counts(docs, id_col, text_col, host_col))
+        return materialize(judged_counts(counts, id_col, max_docs, max_share, min_left_share))
+
+
+def judged_counts(counts: DataFrame, id_col: str, max_docs: int, max_share: float, min_left_share: float) -> DataFrame:
+    """The verdict on every row of ``rule_counts``."""
     often = boilerplate_lines(counts, max_docs, max_share).withColumnRenamed("host", "of")
     found = counts.select("row", "host", F.inline("lines")).join(often, ["line"]).where(F.col("host").eqNullSafe(F.col("of")))
     removed = found.groupBy("row").agg(F.count("*").alias("n_boilerplate_lines"), F.sum("words").alias("n_boilerplate_words"))

@@ -94,9 +94,13 @@ def test_decontamination_against_brute_force(spark, odd, docs):
         for k in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[k : k + 13])].add(str(r["item_id"]))
     sizes = {len(w) for w in windows}
-    for block_bytes in (1 << 20, 3000):
-        for source in (docs, odd):
-            for r in decontaminate.find_contamination(source, items, block_bytes=block_bytes).collect():
+    for slots, bits in ((1 << 20, 1 << 26), (16, 1 << 10)):  # small ones let nearly all windows through to the join
+        for source in (docs.limit(200 if slots > 16 else 40), odd.withColumn("N_Hit", F.lit(1))):
+            clean = decontaminate.clean_documents(source, items, slots=slots, bits=bits)
+            rows = decontaminate.find_contamination(source, items, slots=slots, bits=bits).collect()
+            assert len(rows) == source.count() and clean.columns == source.columns
+            assert sorted(map(repr, (r["text"] for r in clean.collect()))) == sorted(repr(r["text"]) for r in rows if not r["contaminated"])
+            for r in rows:
                 w, hit, found = words(r["text"]), set(), set()
                 for n in sizes:
                     for k in range(len(w) - n + 1):
@@ -136,6 +140,39 @@ def test_near_duplicates_against_brute_force(docs, odd):
     assert [(r["component_id"], r["kept"]) for r in alone] == [(None, True)]
 
 
+def test_repeated_ids_keep_all_their_links(spark):
+    words = lambda k: [f"{k}{i}" for i in range(60)]
+    near = lambda k: " ".join([*words(k)[:-1], "other"])
+    texts = [(1, " ".join(words("a"))), (1, " ".join(words("b"))), (2, near("a")), (3, near("b")), (4, " ".join(words("c"))), (0, near("c")), (5, None), (5, "")]
+    for rows in (texts, texts[::-1], [texts[1], texts[0], *texts[2:]]):
+        found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 0, False), (5, 5, True), (5, 5, True)]
+
+
+def test_recall_against_all_pairs(spark):
+    """Components at sf0.01 against exact all-pairs links, by an inverted index over whole shingle sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {i: near_dedup.shingle_set(t.encode()) for i, t in texts(docs).items() if t}
+    holders, shared = defaultdict(list), defaultdict(int)
+    for i in sorted(sets):
+        for x in sets[i].tolist():
+            for j in holders[x]:
+                shared[j, i] += 1
+            holders[x].append(i)
+    links = [(i, j) for (i, j), n in shared.items() if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n)]
+    of = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(links) > 50
+    assert sum(of[i] == of[j] for i, j in links) >= 0.99 * len(links)
+    root = {i: i for i in of}
+    for i, j in sorted(links, key=lambda p: p[1]):
+        while root[i] != i:
+            i = root[i]
+        while root[j] != j:
+            j = root[j]
+        root[max(i, j)] = min(i, j)
+    assert len(set(of.values())) >= sum(root[i] == i for i in root)  # no components are joined without a link
+
+
 def test_near_copies_of_one_text_are_one_component(spark):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(200)]
@@ -232,6 +269,24 @@ def test_boilerplate_lines_count_distinct_texts(spark):
     assert by[20]["n_boilerplate_lines"] == 0 and by[20]["kept"]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_boilerplate_is_found_with_production_limits(spark, sf):
+    rows = quality_rules.op1_quality_rules(spark, f"/root/testdata/{sf}").collect()
+    assert len(rows) == {"sf0.001": 200, "sf0.01": 1000}[sf]
+    if sf == "sf0.01":
+        assert sum(r["n_boilerplate_lines"] for r in rows) > 50
+    # a site of 40 documents: its banner and footer are on all of them, and four have nothing else
+    banner, footer = "Welcome to our site and have a look around it today dear reader of all these many pages of ours here", "All rights reserved by the owners of this site and nobody else may use what is written on it in any way"
+    body = lambda i: " ".join(f"u{i}_{k}" for k in range(30))
+    docs = [(i, f"{banner}\n{body(i)}\n{footer}", "s") for i in range(36)] + [(100 + i, f"{banner}\nonly {i}\n{footer}", "s") for i in range(4)]
+    docs += [(200 + i, f"copied {body(500)}", "s") for i in range(300)] + [(600 + i, f"{banner}\n{body(i)}\n{footer}", "few") for i in range(5)]
+    by = {r["doc_id"]: r for r in quality_rules.judge_documents(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert all(by[i]["kept"] and by[i]["n_boilerplate_lines"] == 2 for i in range(36))
+    assert not any(by[100 + i]["kept"] or by[100 + i]["base_failed"] for i in range(4))
+    assert all(by[200 + i]["kept"] and by[200 + i]["n_boilerplate_lines"] == 0 for i in range(300))
+    assert all(by[600 + i]["kept"] and by[600 + i]["n_boilerplate_lines"] == 0 for i in range(5))
+
+
 def test_url_filter(spark):
     model = url_filter.train(url_filter.labelled_urls(spark))
     urls = ["HTTPS://Blog.Site.Example.COM/en/x?y#z", "a://www.example.com/en/1", "x://deep.net/es/", "http://xnet/es/", None, "none", "http://big-casino-slots.org/en/", "http://garden-library.org/en/", "http://h", "http://casino-win.net/de/"]
