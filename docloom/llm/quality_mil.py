@@ -1,10 +1,11 @@
 """Quality classifier: gated-attention multiple-instance learning (operator 10).
 
 A document is a bag of passages of 48 words. Each passage is encoded from its
-characters and words; a gated attention layer, learned from document labels
-alone, weighs the passages, and the weighted representation is scored. Whole
-texts are encoded and scored; only the labelled rows used for fitting are a
-bounded sample (MAX_TRAIN documents of at most MAX_TRAIN_BYTES bytes).
+own content alone: hashed character trigrams, kinds of characters and word
+shapes. A gated attention layer, learned from document labels alone, weighs the
+passages, and the weighted representation is scored. Whole texts are encoded
+and scored; only the labelled rows used for fitting are a bounded sample
+(MAX_TRAIN documents of at most MAX_TRAIN_BYTES bytes, one text for each id).
 
 Defined results: null and empty texts are a bag of one empty passage and get
 its score; conflicting labels of one id count by their mean; rows without a
@@ -23,7 +24,9 @@ from docloom.llm.common import append_columns, table
 
 PASSAGE_WORDS = 48
 MAX_TRAIN = 4_000
-MAX_TRAIN_BYTES = 1 << 18
+MAX_TRAIN_BYTES = 1 << 14
+#: Buckets of hashed trigrams, and the bytes of text that are hashed at once.
+GRAMS, CHUNK = 128, 1 << 20
 HIDDEN, ATTENTION = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
 
@@ -31,7 +34,7 @@ EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 1e-4
 KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".,;:", "!", "?", "*", "#", "$", "%", "&", "|", "<>", "()[]{}", "\"'`", "-_/\\=+~^@"]
 OTHER, LEAD, TRAIL = len(KINDS), len(KINDS) + 1, len(KINDS) + 2
 N_KINDS = len(KINDS) + 3
-N_FEATURES = N_KINDS + 8
+N_FEATURES = N_KINDS + GRAMS + 4
 KIND = np.full(256, OTHER, np.int64)
 for _k, _chars in enumerate(KINDS):
     KIND[list(_chars.encode())] = _k
@@ -44,16 +47,10 @@ def passages(text: bytes | None, size: int = PASSAGE_WORDS) -> np.ndarray:
     words = text.split() if text else []
     if not words:
         return np.zeros((1, N_FEATURES), np.float32)
-    raw = np.frombuffer(text, np.uint8)
-    blank = BLANKS[raw]
-    begins = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
     n = -(-len(words) // size)
-    of = np.zeros(len(raw), np.int64)
-    of[begins[size::size]] = 1
-    of = np.cumsum(of)
-    counts = np.bincount(of * N_KINDS + KIND[raw], minlength=n * N_KINDS).reshape(n, N_KINDS).astype(np.float32)
-    counts[:, TRAIL] = 0
-    chars = counts.sum(axis=1, keepdims=True)
+    raw = np.frombuffer(text.lower(), np.uint8)
+    blank = BLANKS[raw]
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))[::size]
     held = np.full(n, size, np.float32)
     held[-1] = len(words) - size * (n - 1)
     lengths = np.fromiter(map(len, words), np.float32, len(words))
@@ -61,22 +58,22 @@ def passages(text: bytes | None, size: int = PASSAGE_WORDS) -> np.ndarray:
     mean = np.add.reduceat(lengths, at) / held
     spread = np.sqrt(np.maximum(np.add.reduceat(lengths**2, at) / held - mean**2, 0))
     distinct = np.fromiter((len(set(words[i : i + size])) for i in at), np.float32, n) / held
-    lines = text.split(b"\n")
+    kinds, grams = np.zeros(n * N_KINDS, np.float32), np.zeros(n * GRAMS, np.float32)
+    cased = KIND[np.frombuffer(text, np.uint8)]
+    for begin in range(0, len(raw), CHUNK):
+        end = min(begin + CHUNK, len(raw))
+        of = np.maximum(np.searchsorted(starts, np.arange(begin, end), "right") - 1, 0)
+        first, last = of[0], of[-1] + 1
+        kinds[first * N_KINDS : last * N_KINDS] += np.bincount((of - first) * N_KINDS + cased[begin:end], minlength=(last - first) * N_KINDS)
+        part = raw[begin : end + 2].astype(np.uint32)
+        hashes = ((part[:-2] | part[1:-1] << 8 | part[2:] << 16) * np.uint32(2654435761)) >> np.uint32(32 - GRAMS.bit_length() + 1)
+        grams[first * GRAMS : last * GRAMS] += np.bincount((of[: len(hashes)] - first) * GRAMS + hashes, minlength=(last - first) * GRAMS)
+    kinds, grams = kinds.reshape(n, N_KINDS), grams.reshape(n, GRAMS)
+    kinds[:, TRAIL] = 0
     out = np.empty((n, N_FEATURES), np.float32)
-    out[:, :N_KINDS] = np.sqrt(counts / chars)
-    out[:, N_KINDS:] = np.stack(
-        [
-            np.log1p(mean),
-            np.log1p(spread),
-            distinct,
-            np.log1p(held) / 4,
-            np.full(n, len(set(words)) / len(words), np.float32),
-            np.full(n, 1 - len(set(lines)) / len(lines), np.float32),
-            np.full(n, np.log1p(len(words)) / 8, np.float32),
-            np.ones(n, np.float32),
-        ],
-        axis=1,
-    )
+    out[:, :N_KINDS] = np.sqrt(kinds / np.maximum(kinds.sum(axis=1, keepdims=True), 1))
+    out[:, N_KINDS : N_KINDS + GRAMS] = np.sqrt(grams / np.maximum(grams.sum(axis=1, keepdims=True), 1))
+    out[:, N_KINDS + GRAMS :] = np.stack([np.log1p(mean), np.log1p(spread), distinct, np.log1p(held) / 4], axis=1)
     return out
 
 
@@ -102,6 +99,27 @@ class AttentionModel:
         z = np.add.reduceat(a[:, None] * h, starts)
         return z @ w["out"] + w["bias"][0], (h, t, g, a, z, sizes)
 
+    def gradients(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Those of the mean log loss of bags."""
+        w = self.weights
+        logit, (h, t, g, a, z, sizes) = self.forward(x, starts)
+        d = (sigmoid(logit) - y) / len(y)
+        grad = {"out": z.T @ d, "bias": np.array([d.sum()])}
+        dz = np.repeat(d[:, None] * w["out"], sizes, axis=0)
+        da = (dz * h).sum(axis=1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
+        grad["attend"] = (t * g).T @ de
+        dtg = de[:, None] * w["attend"]
+        dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+        grad["tanh"], grad["gate"] = h.T @ dt, h.T @ dg
+        dh = (a[:, None] * dz + dt @ w["tanh"].T + dg @ w["gate"].T) * (h > 0)
+        grad["encode"], grad["shift"] = x.T @ dh, dh.sum(axis=0)
+        return grad
+
+    def attention(self, bag: np.ndarray) -> np.ndarray:
+        """The weight of each passage of one bag."""
+        return self.forward((bag - self.mean) / self.scale, np.array([0]))[1][3]
+
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         """The chance of label 1 of each bag of passages."""
         x = (np.concatenate(bags) - self.mean) / self.scale
@@ -128,18 +146,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, seed: int = 7, epochs: int = EPOC
             chosen = order[at : at + BATCH]
             x = np.concatenate([bags[i] for i in chosen])
             starts = np.cumsum([0] + [len(bags[i]) for i in chosen[:-1]])
-            logit, (h, t, g, a, z, sizes) = model.forward(x, starts)
-            d = (sigmoid(logit) - y[chosen]) / len(chosen)
-            grad = {"out": z.T @ d, "bias": np.array([d.sum()])}
-            dz = np.repeat(d[:, None] * w["out"], sizes, axis=0)
-            da = (dz * h).sum(axis=1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
-            grad["attend"] = (t * g).T @ de
-            dtg = de[:, None] * w["attend"]
-            dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-            grad["tanh"], grad["gate"] = h.T @ dt, h.T @ dg
-            dh = (a[:, None] * dz + dt @ w["tanh"].T + dg @ w["gate"].T) * (h > 0)
-            grad["encode"], grad["shift"] = x.T @ dh, dh.sum(axis=0)
+            grad = model.gradients(x, starts, y[chosen])
             step += 1
             rate = RATE * (1 - epoch / epochs)
             for k, v in w.items():
@@ -155,29 +162,30 @@ def mean_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.avg("y").alias("y"))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column, limit: int) -> DataFrame:
-    """id, text and y of at most ``limit`` labelled documents, taken in the order of a hash of their ids."""
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column, limit: int, max_bytes: int) -> DataFrame:
+    """id, text and y of at most ``limit`` labelled documents, taken in the order of a hash of their ids; one text of at most ``max_bytes`` for each."""
     chosen = mean_labels(labels, id_col, label_col).where(use).orderBy(F.xxhash64("id"), "id").limit(limit)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") <= MAX_TRAIN_BYTES)
-    return texts.join(F.broadcast(chosen), "id")  # at most ``limit`` ids
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.octet_length("text") <= max_bytes)
+    both = texts.join(F.broadcast(chosen), "id")  # at most ``limit`` ids
+    return both.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", use: Column | None = None, limit: int = MAX_TRAIN) -> AttentionModel | float:
     """Fit on a bounded sample of the labelled rows that ``use``, a condition on ``id``, admits."""
 
     def make():
-        return lambda texts: [[passages(t).tobytes() for t in texts]]
+        return lambda texts: [[passages(t).astype(np.float16).tobytes() for t in texts]]
 
-    sample = training_sample(docs, labels, id_col, text_col, label_col, F.lit(True) if use is None else use, limit)
+    sample = training_sample(docs, labels, id_col, text_col, label_col, F.lit(True) if use is None else use, limit, MAX_TRAIN_BYTES)
     rows = append_columns(sample, "text", [T.StructField("bag", T.BinaryType())], make, binary=True, drop=("text",)).collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["bag"])))
+    rows.sort(key=lambda r: r["id"])
     y = np.array([r["y"] for r in rows])
-    model = fit([np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in rows], y) if rows else None
+    model = fit([np.frombuffer(r["bag"], np.float16).astype(np.float32).reshape(-1, N_FEATURES) for r in rows], y) if rows else None
     return (float(y.mean()) if rows else 0.5) if model is None else model
 
 
-def score_quality(docs: DataFrame, model: AttentionModel | float, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with score, the chance of label 1, from the text alone."""
+def score_quality(docs: DataFrame, model: AttentionModel | float, text_col: str = "text", keep_text: bool = True, score_col: str = "score") -> DataFrame:
+    """``docs`` with a score, the chance of label 1, from the text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kB
 
     def make():
@@ -186,7 +194,7 @@ def score_quality(docs: DataFrame, model: AttentionModel | float, text_col: str
             return lambda texts: [[fitted] * len(texts)]
         return lambda texts: [fitted.score([passages(t) for t in texts]).tolist()]
 
-    return append_columns(docs, text_col, [T.StructField("score", T.DoubleType())], make, binary=True, drop=() if keep_text else (text_col,))
+    return append_columns(docs, text_col, [T.StructField(score_col, T.DoubleType())], make, binary=True, drop=() if keep_text else (text_col,))
 
 
 def fold(column: Column, folds: int) -> Column:

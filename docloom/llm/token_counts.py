@@ -7,7 +7,8 @@ token ``s`` of the remaining prefix if and only if encoding ``s + t`` alone
 gives back ``[s, t]``. The count of a prefix is one more than that of the
 prefix it extends. Piece results are kept in a bounded cache, so a repeated
 word costs one lookup. Counts at every prefix answer truncation and budget
-questions without encoding again.
+questions without encoding again; a prefix that ends where the pre-tokenizer
+would part the text otherwise adds the few characters since the last safe cut.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens). The string of
 a special token inside a text counts as that one token, as the library does by
@@ -19,6 +20,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +33,12 @@ from docloom.llm.common import append_columns, table
 
 #: Pieces and token pairs remembered by one Python worker.
 CACHE_ENTRIES = 400_000
+#: A place before a blank and a letter, or at the first letter of a line, always begins a piece.
+SAFE_CUT = re.compile(r" (?=[A-Za-z])|(?<=\S\n)(?=[A-Za-z])")
+#: Tokens by which a prefix that ends inside of a piece can have fewer than those that end before it.
+SLACK = 32
+#: The token budget of the registered query.
+LIMIT = 1024
 #: Unicode white space, as the library's pre-tokenizer takes it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Texts without these hold no character on which regex engines of different age differ.
@@ -143,47 +151,72 @@ class PrefixCounter:
         out, base = np.zeros(len(text) + 1, dtype=np.int64), 0
         for start, end, special in self.segments(text):
             if special:
-                for p in range(start + 1, end):  # cut inside, the string is ordinary text
-                    out[p] = self.tail(text, p)
+                cut = self.safe_cut(text, start)
+                for p in range(start + 1, end):  # cut inside, the string is ordinary text that joins what is before it
+                    out[p] = out[cut] + self.total(text[cut:p])
                 out[end] = base = base + 1
                 continue
-            before, blank_from = base, None
+            blank_from = None
             at = end_of = start
             for piece in self.split(text[start:end]):
                 at, end_of = end_of, end_of + len(piece)
                 inside = self.pieces.prefixes(piece.encode())
                 blank = not piece.strip()
+                n = 1
                 if piece[0] == "'" and len(piece) > 2 or blank_from is not None and not blank:
                     # a cut contraction, or white space that a cut joins to the run before it
                     n = len(piece) if piece[0] == "'" else 2
                     for p in range(1, n):
-                        out[at + p] = (before if blank_from is not None and p == 1 else base) + self.ordinary(text[(blank_from if blank_from is not None and p == 1 else at) : at + p])
-                    rest = range(n, len(piece) + 1)
+                        joined = blank_from is not None and p == 1
+                        out[at + p] = (out[blank_from] if joined else base) + self.ordinary(text[blank_from if joined else at : at + p])
                 elif blank and blank_from is not None:
-                    for p in range(1, len(piece) + 1):
-                        out[at + p] = before + self.ordinary(text[blank_from : at + p])
-                    rest = range(0)
-                else:
-                    rest = range(1, len(piece) + 1)
+                    n = len(piece) + 1
+                    for p in range(1, n):
+                        out[at + p] = out[blank_from] + self.pieces[text[blank_from : at + p]]
                 size = np.cumsum([len(c.encode()) for c in piece])
-                for p in rest:
+                for p in range(n, len(piece) + 1):
                     out[at + p] = base + inside[size[p - 1]]
-                if blank:
-                    before, blank_from = (base, at) if blank_from is None else (before, blank_from)
-                else:
-                    blank_from = None
+                blank_from = (at if blank_from is None else blank_from) if blank else None
                 base += inside[-1]
         return out
 
+    def safe_cut(self, text: str, end: int) -> int:
+        """The last place before ``end`` at which what precedes and what follows are encoded apart, however the text goes on."""
+        found, back = None, 256
+        while found is None and back < 2 * end:
+            for found in SAFE_CUT.finditer(text, max(0, end - back), end):
+                pass
+            back *= 2
+        return found.start() if found else 0
+
     def ordinary(self, text: str) -> int:
         return sum(map(self.pieces.__getitem__, self.split(text)))
 
-    def tail(self, text: str, end: int) -> int:
-        return self.total(text[:end])
-
     def fit(self, text: str | None, budget: int) -> int:
-        """The longest prefix, in characters, that has at most ``budget`` tokens."""
-        return int(np.flatnonzero(self.counts(text) <= budget)[-1])
+        """The longest prefix, in characters, that has at most ``budget`` tokens.
+
+        The counts at the ends of pieces are stored until they pass the budget by
+        so much that no longer prefix can come back below it. The counts of all
+        prefixes are asked for from the last safe cut before the budget only.
+        """
+        text = text or ""
+        ends, totals = [0], [0]
+        passed = None  # the start of the first piece that ends above the budget
+        for start, end, special in self.segments(text):
+            for piece in (text[start:end],) if special else self.split(text[start:end]):
+                totals.append(totals[-1] + (1 if special else self.pieces[piece]))
+                if passed is None and totals[-1] > budget:
+                    passed = ends[-1]
+                ends.append(ends[-1] + len(piece))
+                if totals[-1] > budget + SLACK:
+                    break
+            if totals[-1] > budget + SLACK:
+                break
+        if passed is None:
+            return len(text)
+        cut = self.safe_cut(text, passed)
+        base = totals[bisect_left(ends, cut)]
+        return cut + int(np.flatnonzero(base + self.counts(text[cut : ends[-1]]) <= budget)[-1])
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -229,6 +262,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = Non
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact token counts of every document, and whether they exceed 1024."""
+    """Exact token counts of every document, whether they exceed LIMIT, and the longest prefix (in characters) that does not."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, keep_text=False).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    counted = count_tokens(docs, budget=LIMIT, keep_text=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_chars")

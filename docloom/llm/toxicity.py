@@ -13,8 +13,8 @@
 * The sum over all significant segments is calibrated to a probability.
 
 Whole texts are scored; only the labelled rows used for fitting are a bounded
-sample (MAX_TRAIN documents of at most MAX_TRAIN_BYTES bytes). A quarter of the
-sample is kept from the counts and calibrates them.
+sample (MAX_TRAIN documents of at most MAX_TRAIN_BYTES bytes, MAX_TOKENS tokens).
+A quarter of the sample is kept from the counts and calibrates them.
 
 Defined results: null and empty texts have no tokens and get the score of a
 text without segments; rows without a label or an id are never learned from;
@@ -35,7 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from docloom.llm.common import append_columns, slices, table
 from docloom.llm.quality_mil import fold, training_sample
 
-MAX_TRAIN = 12_000
+MAX_TRAIN, MAX_TRAIN_BYTES = 12_000, 1 << 15
+#: Tokens and prefixes of the sample that are kept, the most frequent first; they are sent to every task.
+MAX_TOKENS = 400_000
 CALIBRATE = 4
 PREFIXES = (4, 6)
 PRIOR_WORD, PRIOR_PREFIX = 5.0, 10.0
@@ -190,14 +192,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float,
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", use: Column | None = None, limit: int = MAX_TRAIN) -> ToxicityModel | float:
     """Fit on a bounded sample of the labelled rows that ``use``, a condition on ``id``, admits."""
-    sample = training_sample(docs, labels, id_col, text_col, label_col, F.lit(True) if use is None else use, limit).cache()
+    sample = training_sample(docs, labels, id_col, text_col, label_col, F.lit(True) if use is None else use, limit, MAX_TRAIN_BYTES).cache()
     kinds = sample.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("y") >= 0.5).cast("double")), F.lit(0.0)).alias("p")).first()
     if not 0 < kinds["p"] < 1:
         sample.unpersist()
         return float(kinds["p"])
     base = kinds["p"]
     part = F.pmod(F.xxhash64("id", F.lit("calibrate")), F.lit(CALIBRATE))
-    rows = document_frequencies(sample.where(part > 0)).where("total > 1").collect()  # tokens of at most ``limit`` documents
+    rows = document_frequencies(sample.where(part > 0)).where("total > 1").orderBy(F.desc("total"), "token").limit(MAX_TOKENS).collect()
     counts = {bytes(r["token"]): (r["toxic"], r["total"]) for r in rows}
     walks = walk_statistics(sample.where(part == 0), counts, base)
     sample.unpersist()
@@ -214,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | float, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with score (the chance of label 1) and passages: start and end token and score of every significant toxic passage."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TOKENS tokens
     passage = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
     fields = [T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(passage))]
 
