@@ -13,7 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.llm import bpe_codec, decontaminate, line_dedup, near_dedup, quality_mil
-from docloom.llm.common import materialize, table
+from docloom.llm.common import drop_path, materialize, shared_dir, table, unused
+
+
+def columns(docs: DataFrame) -> list:
+    """The columns of a table, by their names whatever these hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,32 +28,37 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     whole documents table. Rows with null or empty texts are scored like others.
     """
     model = quality_mil.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), use=quality_mil.fold(F.col("id"), 3) != 1)
-    return quality_mil.score_quality(docs.withColumn("__body", F.col("text")), model, text_col="__body", keep_text=False).where("score >= 0.5").select(*docs.columns)
+    body, score = unused("body"), unused("score")
+    scored = quality_mil.score_quality(docs.withColumn(body, F.col("text")), model, text_col=body, keep_text=False, score_col=score)
+    return scored.where(F.col(score) >= 0.5).select(*columns(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines within one word of an earlier line, and exact repeats of shorter lines; n_chars follows the text. A document of which no word is left goes."""
-    out = line_dedup.dedup_lines(docs, short_repeats=True)
-    left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Remove lines within one word of an earlier line, and exact repeats of any line; n_chars follows the text. A document of which no word is left goes."""
+    n_lines, n_removed = unused("lines"), unused("removed")
+    out = line_dedup.dedup_lines(docs, made=(n_lines, n_removed))
+    left = out.where((F.col(n_removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of near duplicates; rows without an id stay."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Keep the document with the smallest id of each component of near duplicates.
+
+    Rows of equal id stay or go together; rows without an id stay.
+    """
+    key = unused("id")
+    gone = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which benchmark windows cover a twentieth of the words or more."""
-    found = decontaminate.find_contamination(docs.withColumn("__body", F.col("text")), table(spark, sf_dir, "benchmark"), text_col="__body")
-    return found.where("NOT contaminated").select(*docs.columns)
+    """Drop documents of which benchmark windows cover a twentieth of the words or more; null and empty texts stay."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of their decoding."""
-    out = bpe_codec.decode_documents(bpe_codec.encode_documents(docs.select("doc_id", "text"), keep_text=False))
-    return out.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, token count and digests of the ids and of their decoding; a null text counts as empty, repeated rows each get their own."""
+    return bpe_codec.digest_documents(docs.select("doc_id", "text"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -63,10 +73,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again.
+
+    A stage's table goes when the next one is written; the last one stays for
+    the reader of the result. Empty documents give an empty result, and null
+    texts pass through the stages as their docstrings say.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        path = shared_dir(spark)
+        docs = materialize(stage(spark, docs, sf_dir), path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
 
 
