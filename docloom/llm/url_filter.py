@@ -113,14 +113,14 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...], field: str) ->
 
 
 def buckets(host: Column, path: Column, n: int = BUCKETS, sizes: tuple[int, ...] = GRAM_SIZES) -> Column:
-    """The distinct hash buckets of the n-grams of ``^host|path$``."""
+    """The distinct hash buckets of the n-grams of ``^host|path$``, in time proportional to their length."""
     text = F.concat(F.lit("^"), host, F.lit("|"), F.lower(path), F.lit("$"))
 
-    def grams(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(size))), F.lit(n)).cast("int"))
+    def grams(chars: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - size, F.lit(0)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(*[F.get(chars, i + k) for k in range(size)]), F.lit(n)).cast("int"))
 
-    return F.array_distinct(F.concat(*map(grams, sizes)))
+    return F.transform(F.array(F.split(text, "")), lambda chars: F.array_distinct(F.concat(*[grams(chars, size) for size in sizes])))[0]
 
 
 def literal_array(values) -> Column:
@@ -163,11 +163,14 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", s
 
 
 def calibrated(model: UrlModel, held_out: DataFrame, url_col: str = "url", label_col: str = "label", max_false: float = MAX_FALSE) -> UrlModel:
-    """``model`` with the lowest score, 0.5 or less, at which at most ``max_false`` of the held-out wanted urls are blocked."""
+    """``model`` with a score to block at: half way between even odds and the score that all but ``max_false`` of the held-out wanted urls stay below.
+
+    Urls of words that the table does not have vary more than its own, hence the margin.
+    """
     url = F.col(url_col)
     wanted = held_out.where(F.col(label_col) == 0).select(model.score(host_of(url), path_of(url)).alias("score"))
     limit = wanted.agg(F.percentile("score", F.lit(1 - max_false)).alias("score")).first()["score"]
-    return replace(model, block_at=min(0.5, limit + 1e-9) if limit is not None else 0.5)
+    return replace(model, block_at=(0.5 + limit) / 2 if limit is not None else 0.5)
 
 
 def filter_urls(pages: DataFrame, model: UrlModel, rules: tuple[Rule, ...] = RULES, url_col: str = "url") -> DataFrame:
@@ -182,8 +185,9 @@ def filter_urls(pages: DataFrame, model: UrlModel, rules: tuple[Rule, ...] = RUL
 
 def labelled_urls(spark: SparkSession, held_out: bool = False) -> DataFrame:
     """url and label of the labelled table's rows for training, or of those held out."""
-    rows = [F.struct(F.lit(url).alias("url"), F.lit(label).alias("label")) for url, label, held in labelled_rows() if held == held_out]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    text = "\n".join(f"{label} {url}" for url, label, held in labelled_rows() if held == held_out)
+    rows = spark.range(1).select(F.explode(F.split(F.lit(text), "\n")).alias("row"))
+    return rows.select(F.substring_index("row", " ", -1).alias("url"), F.substring_index("row", " ", 1).cast("int").alias("label"))
 
 
 _fitted: dict[str, UrlModel] = {}
