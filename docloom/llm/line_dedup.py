@@ -18,7 +18,8 @@ deleted or replaced. The earliest line of its kind is kept.
 
 Defined results: null texts stay null and have no lines; lines without words
 always stay; a null id comes first in the order; rows equal in id and text
-are one document and are treated alike; other columns are carried through.
+are one document and are treated alike; other columns are carried through. The
+result reads the table of removed places, which stays in the shared folder.
 """
 
 from __future__ import annotations
@@ -140,8 +141,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         doomed = classes.join(near.withColumn("near", F.lit(True)), "line", "left").where("n > 1 OR near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
         removed = lines.select("id", "th", "pos", "line").join(doomed, "line").where("near OR NOT (first <=> struct(id, th, pos))")
-        gone = removed.groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
-        return materialize(without_lines(docs, gone, id_col, text_col, made))
+        gone = materialize(removed.groupBy("id", "th").agg(F.collect_set("pos").alias("gone")))
+    return without_lines(docs, gone, id_col, text_col, made)
 
 
 def without_lines(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, made: tuple[str, str]) -> DataFrame:
