@@ -5,8 +5,9 @@
    512-bit parity bitmap into which every sample is folded by XOR.
 2. Documents with equal sets form one class, named by the digest of the set;
    only one text of each class goes on. Classes that one id has are linked.
-3. A bucket is dealt to SALTS parts by the hash of its members, so that a hot
-   bucket meets in no task. Every member of a part is compared with the part's
+   Classes and buckets are dealt to SALTS parts by the hash of their members, so
+   that neither thousands of copies nor a hot bucket meet in one task.
+3. Every member of a part is compared with the part's
    hub, the member that shares most buckets with most documents, and the hubs
    of a bucket with the greatest of them: a linear number of pairs. A pair is
    dropped if its set sizes or its odd sketches, by the population count of
@@ -41,7 +42,7 @@ from docloom.llm.common import append_columns, materialize, scratch, slices, tab
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
-#: Parts of a bucket; each is handled on its own, and a bucket by the hubs of its parts.
+#: Parts of a class or bucket; each is handled on its own, and a bucket by the hubs of its parts.
 SALTS = 64
 SKETCH_LONGS = 8
 #: Odd-sketch estimates below these drop a pair: over five standard deviations under 0.75.
@@ -278,10 +279,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def linked_rows(docs: DataFrame, id_col: str, text_col: str, percent: int, stored: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    rows = stored(sketches(docs, id_col, text_col))
+    rows = stored(sketches(docs, id_col, text_col)).withColumn("salt", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)).cast("int"))
     linkable = rows.where("id IS NOT NULL AND fp IS NOT NULL")
-    classes = stored(linkable.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n")).select("fp", F.col("first.id").alias("rep"), F.col("first.th").alias("th"), "n"))
-    alone = linkable.join(classes.where("n > 1").select("fp", "rep", F.col("th").alias("at")), "fp", "left").where("rep IS NULL OR (rep = id AND at = th)")
+    parts = stored(linkable.groupBy("fp", "salt").agg(F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("n")))
+    whole = parts.groupBy("fp").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    classes = stored(whole.select("fp", F.col("first.id").alias("rep"), F.col("first.th").alias("th"), "n"))
+    of_parts = parts.select("fp", "salt").join(classes.where("n > 1").select("fp", "rep", F.col("th").alias("at")), "fp")
+    alone = linkable.join(of_parts, ["fp", "salt"], "left").where("rep IS NULL OR (rep = id AND at = th)")
     reps = alone.select(F.col("fp").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["id"])
     twice = linkable.groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
     same_id = linkable.select("id", F.col("fp").alias("b")).join(twice.select("id", "a"), "id").select("a", "b").where("a <> b").distinct()
@@ -317,8 +321,9 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, percent: int, store
 
     named = classes.select("fp", "rep").join(found.select(F.col("id").alias("fp"), "component"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"), F.count("*").alias("n"))
-    of_class = named.join(lowest.where("n > 1"), "component", "left").select(F.col("fp").alias("class"), F.coalesce("lowest", "rep").alias("lowest"))
-    out = rows.select("id", "n_shingles", "fp").join(of_class, F.col("fp") == F.col("class"), "left")
+    of_class = named.join(lowest.where("n > 1"), "component", "left").select("fp", F.coalesce("lowest", "rep").alias("lowest"))
+    of_part = parts.select("fp", "salt").join(of_class, "fp").withColumnsRenamed({"fp": "class", "salt": "part"})
+    out = rows.select("id", "n_shingles", "fp", "salt").join(of_part, (F.col("fp") == F.col("class")) & (F.col("salt") == F.col("part")), "left")
     lowest = F.when(F.col("id").isNotNull(), F.coalesce("lowest", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", lowest.alias("component_id"), F.coalesce(lowest == F.col("id"), F.lit(True)).alias("kept"))
 
