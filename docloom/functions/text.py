@@ -180,3 +180,9 @@ def needs_rewrite(message: Column, min_bytes: int = 60) -> Column:
 def token_estimate(text: Column) -> Column:
     """Rounded-up token estimate of a client-side limiter: four bytes a token and a tenth more."""
     return F.ceil(F.octet_length(text) / F.lit(4.0) * F.lit(1.1)).cast("bigint")
+
+
+def question_lines(text: Column, limit: int = 3, most: int = 200) -> Column:
+    """The first lines that end in a question mark and have at most ``most`` bytes."""
+    lines = F.transform(F.split(text, "\n"), strip)
+    return F.slice(F.filter(lines, lambda q: q.endswith("?") & (F.octet_length(q) <= most)), 1, limit)

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from docloom.operators import lifecycle as L
 from docloom.plans import model as M
 from docloom.plans.model import MODEL_SQL
+from docloom.functions import text as X
 from docloom.plans.registry import query, table
 
 AS_OF = "TIMESTAMP '2024-01-12 00:00:00'"
@@ -182,10 +183,10 @@ def w10(spark, d):
 
 @query("w7_carry_forward_heading", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS pos FROM documents)
-SELECT doc_id, pos, last_value(CASE WHEN pos % 4 = 0 THEN substr(line, 1, 12) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS heading FROM l""")
+SELECT doc_id, pos, last_value(nullif(trim(regexp_extract(CASE WHEN pos % 4 = 0 THEN '## ' || line ELSE line END, '^\s*#{1,4} (.*)$', 1)), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS heading FROM l""")
 def w7(spark, d):
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    mark = F.when(F.col("pos") % 4 == 0, F.substring("line", 1, 12))
+    mark = X.heading(F.when(F.col("pos") % 4 == 0, F.concat(F.lit("## "), F.col("line"))).otherwise(F.col("line")))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return lines.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.last(mark, ignorenulls=True).over(w).alias("heading"))
 

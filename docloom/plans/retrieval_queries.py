@@ -96,33 +96,63 @@ def p2(spark, d):
     return R.all_terms(text_chunks(spark, d), text_questions(spark, d))
 
 
-HYBRID_SQL = f"""{LEX_SQL},
-short AS (SELECT question, chunk_id, round(count(*) / max(n), 6) AS score FROM (SELECT question, chunk_id FROM hits JOIN terms USING (term)) JOIN (SELECT question, count(*) AS n FROM terms GROUP BY question) USING (question) GROUP BY question, chunk_id),
-ra AS (SELECT question, chunk_id, {RANK} AS rank FROM short QUALIFY rank <= {POOL}),
+#: Chunks with a text and a vector of one snapshot: documents and the vectors of equal id; the questions' texts are benchmark items.
+MIN_FUSED = 0.004
+SNAP_SQL = rf"""
+hc AS (SELECT doc_id AS chunk_id, CAST(label AS BIGINT) AS scope, doc_id // 4 AS parent, embedding::DOUBLE[] AS e, {TOK_SQL.format('text')} AS tokens FROM documents JOIN embeddings ON vec_id = doc_id),
+hq AS (SELECT chunk_id AS question, scope, e, {TOK_SQL.format('b.text')} AS tokens FROM hc JOIN benchmark b ON b.item_id = chunk_id // 100 WHERE chunk_id % 100 = 0),
+sim AS (SELECT question, chunk_id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM hc c JOIN hq q USING (scope)),
+terms AS (SELECT question, scope, term, count(*) AS times FROM (SELECT question, scope, unnest(tokens) AS term FROM hq) GROUP BY ALL),
+st AS (SELECT count(*) AS n, greatest(avg(len(tokens)), 1.0) AS mean FROM hc),
+hits AS (SELECT term, chunk_id, scope, length, count(*) AS tf FROM (SELECT chunk_id, scope, len(tokens) AS length, unnest(tokens) AS term FROM hc) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
+bm AS (SELECT question, chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 0) * times * tf * ({R.K1} + 1) / (tf + {R.K1} * (1 - {R.B} + {R.B} * length / mean))), 6) AS score
+  FROM hits JOIN terms USING (term, scope) JOIN df USING (term), st GROUP BY question, chunk_id),
+ra AS (SELECT question, chunk_id, {RANK} AS rank FROM sim QUALIFY rank <= {POOL}),
 rb AS (SELECT question, chunk_id, {RANK} AS rank FROM bm QUALIFY rank <= {POOL}),
 fused AS (SELECT question, chunk_id, round(sum(part), 6) AS score FROM (SELECT question, chunk_id, 1.0::DOUBLE / (60 + rank) AS part FROM ra UNION ALL SELECT question, chunk_id, 0.25::DOUBLE / (60 + rank) FROM rb) GROUP BY question, chunk_id),
-final AS (SELECT question, chunk_id, score, CAST({RANK} AS INT) AS rank FROM fused QUALIFY rank <= {LIMIT})"""
+found AS (SELECT question, chunk_id, score, CAST({RANK} AS INT) AS rank FROM fused)"""
+
+
+def snapshot(spark, d):
+    vectors_of = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("scope"), "embedding")
+    docs = table(spark, d, "documents").select("doc_id", X.lexical_tokens(F.col("text")).alias("tokens"))
+    return docs.join(vectors_of, "doc_id").select(F.col("doc_id").alias("chunk_id"), "scope", F.floor(F.col("doc_id") / 4).alias("parent"), "embedding", "tokens")
 
 
-def overlap_scores(spark, d):
-    """question, chunk_id, score: the share of a question's distinct words that a chunk holds."""
-    terms = text_questions(spark, d).select("question", F.explode(F.array_distinct("tokens")).alias("term"))
-    n = terms.groupBy("question").agg(F.count("*").alias("n"))
-    words = text_chunks(spark, d).select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    have = words.join(terms, "term").groupBy("question", "chunk_id").agg(F.count("*").alias("have"))
-    return have.join(n, "question").select("question", "chunk_id", F.round(F.col("have") / F.col("n"), 6).alias("score"))
+def snapshot_questions(spark, d, chunks):
+    items = table(spark, d, "benchmark").select((F.col("item_id") * 100).alias("chunk_id"), X.lexical_tokens(F.col("text")).alias("asked"))
+    return chunks.join(items, "chunk_id").select(F.col("chunk_id").alias("question"), "scope", "embedding", F.col("asked").alias("tokens"))
 
 
-def hybrid(spark, d, limit=LIMIT):
-    """The flagship: two rankings of every question over all documents, fused."""
-    a = R.top(overlap_scores(spark, d), POOL)
-    b = R.top(R.bm25(text_chunks(spark, d), text_questions(spark, d)), POOL)
-    return R.fuse(a, b, limit)
+def hybrid(spark, d, limit=LIMIT, min_relevance=0.0):
+    """The flagship: a vector and a lexical ranking over one snapshot of chunks, fused by rank."""
+    chunks = snapshot(spark, d)
+    return R.hybrid_search(chunks, snapshot_questions(spark, d, chunks), POOL, limit, min_relevance)
 
 
-@query("r3_hybrid_search", f"WITH {HYBRID_SQL} SELECT * FROM final")
+@query("r3_hybrid_search", f"WITH {SNAP_SQL} SELECT * FROM found WHERE rank <= {LIMIT} AND score >= {MIN_FUSED}")
 def r3(spark, d):
-    return hybrid(spark, d).select("question", "chunk_id", "score", "rank")
+    return hybrid(spark, d, LIMIT, MIN_FUSED).select("question", "chunk_id", "score", "rank")
+
+
+@query("r2_lexical_search", f"WITH {SNAP_SQL} SELECT question, chunk_id, score, CAST({RANK} AS INT) AS rank FROM bm WHERE (question, chunk_id) IN (SELECT question, chunk_id FROM (SELECT DISTINCT question, scope, term FROM terms) JOIN hits USING (term, scope) JOIN (SELECT question, count(*) AS need FROM terms GROUP BY question) USING (question) GROUP BY question, chunk_id, need HAVING count(*) = need) QUALIFY rank <= {LIMIT}")
+def r2(spark, d):
+    chunks = snapshot(spark, d)
+    questions = snapshot_questions(spark, d, chunks)
+    return R.top(R.bm25(chunks, questions).join(R.all_terms(chunks, questions), ["question", "chunk_id"], "left_semi"), LIMIT).select("question", "chunk_id", "score", "rank")
+
+
+@query("r6_retrieval_pipeline", f"""WITH {SNAP_SQL},
+one AS (SELECT question, min_by(chunk_id, f.rank) AS chunk_id, min_by(f.score, f.rank) AS score FROM found f JOIN hc USING (chunk_id) GROUP BY question, hc.parent),
+o AS (SELECT question, chunk_id, score, CASE WHEN scope % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN chunk_id % 3 = 0 THEN 1 ELSE 0 END AS tier FROM one JOIN hc USING (chunk_id)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, tier DESC, chunk_id) AS INT) AS rank, count(*) OVER (PARTITION BY question) AS candidates FROM o),
+s AS (SELECT *, count(*) OVER (PARTITION BY question) AS n FROM ranked WHERE rank <= {LIMIT})
+SELECT question, chunk_id, score, rank, CAST(CASE WHEN n < 3 OR rank = 1 THEN rank WHEN rank = 2 THEN n ELSE rank - 1 END AS BIGINT) AS position,
+  CASE WHEN n < {LIMIT} AND candidates > n THEN 'underfilled' ELSE 'sufficient' END AS verdict FROM s""")
+def r6(spark, d):
+    chunks = snapshot(spark, d)
+    return R.retrieve(hybrid(spark, d, 2 * POOL), chunks.select("chunk_id", "parent", "scope"), F.col("scope") % 2 == 0, F.col("chunk_id") % 3 == 0, LIMIT)
 
 
 EVAL_SQL = f"""{VEC_SQL}, res AS (SELECT question, chunk_id, parent, rank FROM dense WHERE rank <= 20),

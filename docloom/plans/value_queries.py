@@ -9,21 +9,21 @@ from docloom.functions.text import word_tokens
 from docloom.plans.registry import query, table
 
 
-@query("s18_vector_codec", "SELECT vec_id, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+@query("s18_vector_codec", "SELECT vec_id, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total, true AS same FROM embeddings")
 def s18(spark, d):
     back = V.decode_vector(V.encode_vector(F.col("embedding")))
     total = F.aggregate(back, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", F.size(back).cast("bigint").alias("width"), F.round(total, 4).alias("total"))
+    return table(spark, d, "embeddings").select("vec_id", F.size(back).cast("bigint").alias("width"), F.round(total, 4).alias("total"), (back == F.col("embedding")).alias("same"))
 
 
 @query("s5_ocr_merge", """
 WITH p AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS page, unnest(string_split(text, chr(10))) AS native FROM documents),
 o AS (SELECT doc_id, page + 1 AS page, 'ocr ' || page AS ocr FROM p WHERE page % 3 = 2)
-SELECT doc_id, page, left(coalesce(ocr, native), 30) AS content FROM p FULL JOIN o USING (doc_id, page)""")
+SELECT doc_id, page, sha256(coalesce(ocr, native)) AS content FROM p FULL JOIN o USING (doc_id, page)""")
 def s5(spark, d):
     native = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "native"))
     ocr = native.where("page % 3 = 2").select("doc_id", (F.col("page") + 1).alias("page"), F.concat(F.lit("ocr "), F.col("page")).alias("ocr"))
-    return V.overlay(native, ocr, ["doc_id", "page"], "native", "ocr").select("doc_id", "page", F.substring("content", 1, 30).alias("content"))
+    return V.overlay(native, ocr, ["doc_id", "page"], "native", "ocr").select("doc_id", "page", F.sha2("content", 256).alias("content"))
 
 
 @query("d9_batches", "SELECT vec_id, CAST((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 16 AS BIGINT) AS batch FROM embeddings")
@@ -70,9 +70,9 @@ def u4(spark, d):
 @query("u3_missing_categories", "SELECT user_id, e.event_type FROM (SELECT DISTINCT user_id FROM events) u JOIN (SELECT DISTINCT event_type FROM events) e ON true WHERE (user_id, e.event_type) NOT IN (SELECT user_id, event_type FROM events WHERE value > 50)")
 def u3(spark, d):
     events = table(spark, d, "events")
-    kinds = F.array(*(F.lit(r["event_type"]) for r in events.select("event_type").distinct().orderBy("event_type").collect()))  # the closed list of event types
+    kinds = events.agg(F.collect_set("event_type").alias("kinds"))  # one row: the closed list of event types
     held = events.groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 50, F.col("event_type"))).alias("held"))
-    return held.select("user_id", F.explode(F.array_except(kinds, "held")).alias("event_type"))
+    return held.join(F.broadcast(kinds)).select("user_id", F.explode(F.array_except("kinds", "held")).alias("event_type"))
 
 
 @query("a13_reason_histogram", "SELECT reason, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(lower(role || ' ' || CASE WHEN turn % 2 = 0 THEN 'even' ELSE 'odd' END), ' '))) AS reason FROM conversations) GROUP BY reason")
@@ -82,12 +82,12 @@ def a13(spark, d):
 
 
 @query("r22_best_passage", r"""
-WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3)) AS w FROM benchmark WHERE item_id < 10),
+WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3)) AS w FROM benchmark),
 t AS (SELECT item_id, unnest(w) AS term FROM q), p AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM conversations),
 m AS (SELECT item_id, conv_id, turn, count(*) AS matched FROM t JOIN p USING (term) GROUP BY ALL)
 SELECT item_id, conv_id, turn, matched FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, conv_id, turn) = 1""")
 def r22(spark, d):
-    terms = table(spark, d, "benchmark").where("item_id < 10").select("item_id", F.explode(F.array_distinct(F.filter(word_tokens(F.col("text")), lambda w: F.length(w) >= 3))).alias("term"))
+    terms = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(word_tokens(F.col("text")), lambda w: F.length(w) >= 3))).alias("term"))
     passages = table(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
     matched = passages.join(terms, "term").groupBy("item_id", "conv_id", "turn").agg(F.count("*").alias("matched"))
     best = Window.partitionBy("item_id").orderBy(F.desc("matched"), "conv_id", "turn")
@@ -100,12 +100,12 @@ def k9(spark, d):
     return table(spark, d, "documents").select("source", "doc_id", F.row_number().over(order).alias("r")).where("r <= 6").drop("r")
 
 
-@query("c30_sse_frames", r"""SELECT conv_id, turn, len(list_filter(string_split('data: ' || replace(text, chr(10), chr(13) || chr(10) || 'data: ') || chr(10) || ': ping', chr(10)), lambda l: starts_with(l, 'data: '))) AS frames FROM conversations""")
+@query("c30_sse_frames", r"""SELECT conv_id, turn, len(list_filter(string_split('data: ' || replace(text, chr(10), chr(13) || chr(10) || 'data: ') || chr(10) || ': ping', chr(10)), lambda l: starts_with(l, 'data: '))) AS frames, sha256(text) AS payload FROM conversations""")
 def c30(spark, d):
     wire = F.concat(F.lit("data: "), F.replace("text", F.lit("\n"), F.lit("\r\ndata: ")), F.lit("\n: ping"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(V.sse_data(wire)).cast("bigint").alias("frames"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(V.sse_data(wire)).cast("bigint").alias("frames"), F.sha2(F.array_join(V.sse_data(wire), "\n"), 256).alias("payload"))
 
 
-@query("c11_byte_truncate")
+@query("c11_byte_truncate", "SELECT doc_id, substr(text, 1, list_max(list_filter(range(0, 101), lambda k: strlen(substr(text, 1, k)) <= 100))) AS head FROM documents")
 def c11(spark, d):
     return table(spark, d, "documents").select("doc_id", V.truncate_bytes(F.col("text"), 100).alias("head"))
