@@ -249,11 +249,12 @@ def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = Non
         model = counter(path)
 
         def work(texts):
-            out = [[len((t or "").encode()) for t in texts], [model.total(t) for t in texts]]
+            totals = [model.total(t) for t in texts]
+            out = [[len((t or "").encode()) for t in texts], totals]
             if store_prefixes:
                 out.append([model.counts(t).tolist() for t in texts])
             if budget is not None:
-                out.append([model.fit(t, budget) for t in texts])
+                out.append([len(t or "") if n <= budget else model.fit(t, budget) for t, n in zip(texts, totals, strict=True)])
             return out
 
         return work
