@@ -30,3 +30,47 @@ def supported(claim: Column, evidence: Column) -> Column:
     shared = F.size(F.filter(meaningful, lambda w: F.array_contains(base, w)))
     enough = shared >= F.ceil(2 * F.size(meaningful) / 3)
     return (F.size(F.array_except(numbers(claim), numbers(evidence))) == 0) & (F.size(F.array_except(turning, base)) == 0) & enough
+
+
+#: The sentences that say that nothing was found.
+ABSTENTIONS = [
+    "Aucune source n'est disponible dans ce notebook.",
+    "Les sources disponibles ne permettent pas de répondre avec suffisamment de confiance.",
+    "No source is available in this notebook.",
+    "The available sources do not support a confident answer.",
+    "In diesem Notizbuch ist keine Quelle verfügbar.",
+    "Die verfügbaren Quellen erlauben keine hinreichend sichere Antwort.",
+    "No hay ninguna fuente disponible en este cuaderno.",
+    "Las fuentes disponibles no permiten responder con suficiente confianza.",
+    "no source was retrieved",
+]
+MARK = r"\[(\d{1,18})\]"
+
+
+def abstains(answer: Column) -> Column:
+    """Whether an answer holds one of the documented sentences, in any case."""
+    low = F.lower(answer)
+    return F.coalesce(F.exists(F.array(*map(F.lit, (s.lower() for s in ABSTENTIONS))), lambda s: F.contains(low, s)), F.lit(False))
+
+
+def preceding_claim(prefix: Column) -> Column:
+    """What follows the last line end, ! or ?, or full stop that is no decimal point; without list marks and outer blanks."""
+    claim = F.regexp_extract(prefix, r"(?s)^(?:.*(?:[\n!?]|(?<![0-9])\.|\.(?![0-9])))?(.*)$", 1)
+    return F.regexp_replace(F.regexp_replace(claim, r"^\s*(?:[-*] )?\s*[:;]*\s*", ""), r"\s+$", "")
+
+
+def hide_code(answer: Column) -> Column:
+    """The answer with the brackets of its code spans and fences changed, so that these hold no markers."""
+    outside = F.split(answer, CODE)
+    inside = F.transform(F.regexp_extract_all(answer, F.lit(CODE), 0), lambda c: F.translate(c, "[", "\u0001"))
+    return F.array_join(F.zip_with(outside, inside, lambda x, y: F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit("")))), "")
+
+
+def located_markers(answer: Column) -> Column:
+    """array<struct<n, claim>>: the markers outside of code in their order, each with the claim before it."""
+    shown = hide_code(answer)
+    pieces, numbers_ = F.split(shown, MARK), F.regexp_extract_all(shown, F.lit(MARK), 1)
+    before = lambda i: F.concat(
+        F.array_join(F.zip_with(F.slice(pieces, 1, i), F.slice(numbers_, 1, i), lambda p, n: F.concat(p, F.lit("["), n, F.lit("]"))), ""), F.element_at(pieces, i + 1)
+    )
+    return F.transform(numbers_, lambda n, i: F.struct(n.cast("bigint").alias("n"), preceding_claim(before(i)).alias("claim")))

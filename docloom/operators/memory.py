@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docloom.functions.text import strip, strip_fences
+
 
 def decayed(salience: Column, days: Column) -> Column:
     """Salience after whole weeks of rest: 5 % less each week, unchanged in the first."""
@@ -82,3 +84,30 @@ def fit_evidence(rows: DataFrame, key: str, limit: int) -> DataFrame:
       ELSE named_struct('used', s.used, 'admitted', s.admitted, 'stopped', true) END"""
     state = F.expr(f"aggregate(e, named_struct('used', 0L, 'admitted', 0L, 'stopped', false), {step})")
     return entries.select(key, state.alias("s")).select(key, "s.admitted", "s.used")
+
+
+#: The kinds of memory.
+KINDS = ["fact", "preference", "summary", "expertise", "goal", "conversation_summary"]
+
+
+def parsed_memories(replies: DataFrame, key: str, raw: str) -> DataFrame:
+    """key, pos, content, memory_type, salience, metadata of the valid memories in replies of JSON.
+
+    Valid is a content of 1 to 500 bytes after trimming, and a known kind.
+    Salience is 0.7 by default and held in 0 to 1; a context of 1 to 200 bytes
+    goes to the metadata. Replies that are no JSON give no row.
+    """
+    schema = "struct<memories: array<struct<content: string, memory_type: string, salience: double, context: string>>>"
+    each = replies.select(key, F.posexplode(F.from_json(strip_fences(F.col(raw)), schema)["memories"]).alias("pos", "m"))
+    content, context = strip(F.col("m.content")), strip(F.col("m.context"))
+    topic = F.when(F.octet_length(context).between(1, 200), context)
+    metadata = F.to_json(F.struct(F.lit("chat_extraction").alias("source"), topic.alias("extracted_from_topic")))
+    salience = F.least(F.greatest(F.coalesce("m.salience", F.lit(0.7)), F.lit(0.0)), F.lit(1.0))
+    valid = F.octet_length(content).between(1, 500) & F.col("m.memory_type").isin(*KINDS)
+    return each.where(valid).select(key, "pos", content.alias("content"), "m.memory_type", salience.alias("salience"), metadata.alias("metadata"))
+
+
+def preferred_sources(logs: DataFrame, key: str, retrieved: str) -> DataFrame:
+    """key, source_id: the distinct sources in the retrieved JSON of logs with positive feedback."""
+    each = logs.where("feedback = 1").select(key, F.explode(F.from_json(F.col(retrieved), "array<struct<source_id: string>>")).alias("chunk"))
+    return each.select(key, "chunk.source_id").where("source_id IS NOT NULL").distinct()
