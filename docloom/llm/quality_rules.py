@@ -83,8 +83,8 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def judged_counts(counts: DataFrame, id_col: str, max_docs: int, max_share: float, min_left_share: float) -> DataFrame:
     """The verdict on every row of ``rule_counts``."""
-    often = boilerplate_lines(counts, max_docs, max_share).withColumnRenamed("host", "of")
-    found = counts.select("row", "host", F.inline("lines")).join(often, ["line"]).where(F.col("host").eqNullSafe(F.col("of")))
+    often = boilerplate_lines(counts, max_docs, max_share).select(F.col("host").alias("of"), F.col("line").alias("often"))
+    found = counts.select("row", "host", F.inline("lines")).join(often, F.col("host").eqNullSafe(F.col("of")) & (F.col("line") == F.col("often")))
     removed = found.groupBy("row").agg(F.count("*").alias("n_boilerplate_lines"), F.sum("words").alias("n_boilerplate_words"))
     judged = counts.drop("lines", "text_hash").join(removed, "row", "left").fillna(0, ["n_boilerplate_lines", "n_boilerplate_words"])
     base_failed = F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
