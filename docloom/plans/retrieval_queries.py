@@ -143,6 +143,25 @@ def r2(spark, d):
     return R.top(R.bm25(chunks, questions).join(R.all_terms(chunks, questions), ["question", "chunk_id"], "left_semi"), LIMIT).select("question", "chunk_id", "score", "rank")
 
 
+#: Places of the words of each question in each chunk that has them all, then the earliest of the words' last places at each place.
+COVER_SQL = f"""WITH {SNAP_SQL},
+qt AS (SELECT DISTINCT question, scope, unnest(list_distinct(tokens[1:2])) AS term FROM hq),
+occ AS (SELECT question, chunk_id, term, pos FROM (SELECT chunk_id, scope, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM hc) JOIN qt USING (term, scope)),
+held AS (SELECT o.*, row_number() OVER (PARTITION BY question, chunk_id ORDER BY pos) AS i, n FROM occ o JOIN (SELECT question, count(*) AS n FROM qt GROUP BY question) USING (question)),
+seen AS (SELECT a.question, a.chunk_id, a.i, a.pos, a.n, b.term, max(b.i) AS last FROM held a JOIN held b ON a.question = b.question AND a.chunk_id = b.chunk_id AND b.i <= a.i GROUP BY ALL),
+beg AS (SELECT question, chunk_id, i, pos, CASE WHEN count(*) = n THEN min(last) ELSE 0 END AS b FROM seen GROUP BY question, chunk_id, i, pos, n),
+cov AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY question, chunk_id ORDER BY i) AS before FROM beg)
+SELECT c.question, c.chunk_id, round(sum(0.1::DOUBLE / (1 + c.pos - h.pos - (c.i - h.i))), 6) AS score
+FROM cov c JOIN held h ON h.question = c.question AND h.chunk_id = c.chunk_id AND h.i = c.b WHERE c.b > c.before GROUP BY c.question, c.chunk_id"""
+
+
+@query("m4_cover_density", COVER_SQL)
+def m4(spark, d):
+    chunks = snapshot(spark, d)
+    asked = snapshot_questions(spark, d, chunks).withColumn("tokens", F.slice("tokens", 1, 2))
+    return R.cover_density(chunks, asked.where(F.size("tokens") > 0))
+
+
 @query("r6_retrieval_pipeline", f"""WITH {SNAP_SQL},
 one AS (SELECT question, min_by(chunk_id, f.rank) AS chunk_id, min_by(f.score, f.rank) AS score FROM found f JOIN hc USING (chunk_id) GROUP BY question, hc.parent),
 o AS (SELECT question, chunk_id, score, CASE WHEN scope % 2 = 0 THEN 2 ELSE 0 END + CASE WHEN chunk_id % 3 = 0 THEN 1 ELSE 0 END AS tier FROM one JOIN hc USING (chunk_id)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions import text as X
+from docloom.functions import cleaning as CL, text as X
 from docloom.plans.registry import query, table
 
 
@@ -105,3 +105,25 @@ def w9_consecutive_lines(spark, sf_dir):
     lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
     kept = F.expr("size(filter(l, (x, i) -> x = '' OR i = 0 OR l[i - 1] <> x))")
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", lines.alias("l")).select("doc_id", F.size("l").cast("bigint").alias("n_lines"), kept.cast("bigint").alias("n_kept"))
+
+
+def cleaning_sql(text: str) -> str:
+    """The steps of page cleaning as nested calls."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    for kind, what, by in CL.steps():
+        text = f"replace({text}, {quoted(what)}, {quoted(by)})" if kind == "text" else f"regexp_replace({text}, {quoted(what)}, '{chr(92) + by if by else ''}', 'g')"
+    return text
+
+
+PAGE_SQL = "'[Home](/) > docs' || chr(10) || '![logo](a.png)' || chr(10) || text || chr(10) || '[More](/more)' || chr(10) || '## ' || chr(10) || 'See [this page](/x) at 12:30.' || chr(10) || 'Same' || chr(10) || ' Same'"
+
+
+@query("c1_scraped_cleaning", rf"""
+WITH s AS (SELECT doc_id, string_split(replace({cleaning_sql(PAGE_SQL)}, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM s),
+k AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS bare FROM u),
+d AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM (SELECT * FROM k QUALIFY bare = '' OR i = 1 OR lag(bare) OVER (PARTITION BY doc_id ORDER BY i) <> bare) GROUP BY doc_id)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^\s+$', '', 'g'), '^\s+|\s+$', '', 'g')) AS h FROM d""")
+def c1_scraped_cleaning(spark, sf_dir):
+    page = F.concat(F.lit("[Home](/) > docs\n![logo](a.png)\n"), F.col("text"), F.lit("\n[More](/more)\n## \nSee [this page](/x) at 12:30.\nSame\n Same"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(CL.clean_scraped(page), 256).alias("h"))
