@@ -101,6 +101,35 @@ def x11(spark, d):
     return EV.tumbling_counts(table(spark, d, "events"), 86_400)
 
 
+@query("x4_stale_channels", f"WITH c AS (SELECT user_id, min(ts) AS created, max(ts) AS last_event, user_id % 3 AS subscribers FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT user_id FROM c WHERE {SQL_AS_OF} - created > INTERVAL 20 DAY OR (subscribers = 0 AND {SQL_AS_OF} - last_event > INTERVAL 1 DAY)")
+def x4(spark, d):
+    channels = table(spark, d, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("created"), F.max("ts").alias("last_event")).withColumn("subscribers", F.col("user_id") % 3)
+    return EV.stale_channels(channels, F.expr(AS_OF), 86_400, 20 * 86_400).select("user_id")
+
+
+DAY_US = 86_400_000_000
+
+
+@query("x12_circuit_breaker", f"""
+WITH RECURSIVE t AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, epoch_us(ts) AS tick, event_type NOT IN ('error', 'view') AS ok FROM events),
+f AS (SELECT user_id, 0::BIGINT AS r, 0::BIGINT AS event_id, 'closed' AS state, 0::BIGINT AS opened, NULL::BIGINT AS since, 0 AS failed, 0 AS passed, true AS allowed FROM (SELECT DISTINCT user_id FROM t)
+ UNION ALL
+ SELECT user_id, r, event_id,
+  CASE WHEN s = 'open' THEN 'open' WHEN s = 'half_open' THEN CASE WHEN NOT ok THEN 'open' WHEN p + 1 >= 2 THEN 'closed' ELSE 'half_open' END WHEN NOT ok AND n >= 2 THEN 'open' ELSE 'closed' END,
+  CASE WHEN s <> 'open' AND NOT ok AND (s = 'half_open' OR n >= 2) THEN tick ELSE opened END,
+  CASE WHEN s = 'closed' AND ok OR s = 'half_open' AND ok AND p + 1 >= 2 THEN NULL WHEN s = 'closed' THEN w ELSE since END,
+  CASE WHEN s = 'closed' THEN CASE WHEN ok THEN 0 ELSE n END WHEN s = 'half_open' THEN 0 ELSE failed END,
+  CASE WHEN s = 'half_open' AND ok AND p + 1 < 2 THEN p + 1 WHEN s = 'open' THEN passed ELSE 0 END,
+  s <> 'open'
+ FROM (SELECT *, CASE WHEN half THEN 'half_open' ELSE state END AS s, CASE WHEN half THEN 0 ELSE passed END AS p,
+   CASE WHEN since IS NULL OR tick - since > 3 * {DAY_US} THEN tick ELSE since END AS w, CASE WHEN since IS NULL OR tick - since > 3 * {DAY_US} THEN 1 ELSE failed + 1 END AS n
+  FROM (SELECT f.user_id, t.r, t.event_id, t.tick, t.ok, f.state, f.opened, f.since, f.failed, f.passed, f.state = 'open' AND t.tick - f.opened >= {DAY_US} AS half FROM f JOIN t ON t.user_id = f.user_id AND t.r = f.r + 1)))
+SELECT user_id, event_id, state, allowed FROM f WHERE r > 0""")
+def x12(spark, d):
+    calls = table(spark, d, "events").select("user_id", "event_id", EV.micros("ts").alias("at"), (~F.col("event_type").isin("error", "view")).alias("ok"))
+    return EV.circuit_states(calls, "user_id", EV.Breaker(failures=2, successes=2, open_for=86_400, window=3 * 86_400))
+
+
 @query("x8_turn_rules", "SELECT conv_id, bool_or(role = 'assistant' AND before = 'assistant') AS repeated, max_by(role, turn) = 'assistant' AS ended FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY conv_id")
 def x8(spark, d):
     from pyspark.sql import Window

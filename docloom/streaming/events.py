@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 GAP_SECONDS = 1800
@@ -64,6 +68,92 @@ def latest_status(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
 
 
+def stale_channels(channels: DataFrame, now: F.Column, idle: int = 300, age: int = 3600) -> DataFrame:
+    """The channels (created, last_event, subscribers) older than ``age`` seconds, or without subscribers and idle for more than ``idle``."""
+    passed = lambda since: micros(now) - micros(since)
+    return channels.where((passed("created") > age * 1_000_000) | ((F.col("subscribers") == 0) & (passed("last_event") > idle * 1_000_000)))
+
+
+class Breaker(NamedTuple):
+    """When a service's circuit opens, in seconds and calls."""
+
+    failures: int = 5
+    successes: int = 3
+    open_for: int = 30
+    window: int = 60
+
+
+class Circuit(NamedTuple):
+    """What is known of one service: times in microseconds from 1970 on, -1 for none."""
+
+    state: str = "closed"
+    opened: int = -1
+    since: int = -1
+    failed: int = 0
+    passed: int = 0
+
+
+def call(circuit: Circuit, at: int, ok: bool, rule: Breaker) -> tuple[Circuit, bool]:
+    """The circuit after a call, and whether the call was let through; a refused call has no outcome."""
+    if circuit.state == "open" and at - circuit.opened >= rule.open_for * 1_000_000:
+        circuit = circuit._replace(state="half_open", failed=0, passed=0)
+    if circuit.state == "open":
+        return circuit, False
+    if circuit.state == "half_open":
+        if not ok:
+            return circuit._replace(state="open", opened=at, passed=0), True
+        recovered = circuit.passed + 1 >= rule.successes
+        return (Circuit() if recovered else circuit._replace(passed=circuit.passed + 1)), True
+    if ok:
+        return circuit._replace(failed=0, since=-1), True
+    if circuit.since < 0 or at - circuit.since > rule.window * 1_000_000:
+        circuit = circuit._replace(failed=0, since=at)
+    circuit = circuit._replace(failed=circuit.failed + 1)
+    return (circuit._replace(state="open", opened=at) if circuit.failed >= rule.failures else circuit), True
+
+
+def circuit_states(calls: DataFrame, key: str, rule: Breaker = Breaker()) -> DataFrame:
+    """key, event_id, state, allowed of every call (key, event_id, at in microseconds, ok), in the order of at and event_id.
+
+    The state of a service depends on all its calls before, so these pass one
+    task in their order, batch by batch; a task holds one batch and one state.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service, circuit = None, Circuit()
+        for frame in frames:
+            states, allowed = [], []
+            for name, at, ok in zip(frame[key], frame["at"], frame["ok"], strict=True):
+                if name != service:
+                    service, circuit = name, Circuit()
+                circuit, let = call(circuit, at, ok, rule)
+                states.append(circuit.state)
+                allowed.append(let)
+            yield pd.DataFrame({key: frame[key], "event_id": frame["event_id"], "state": states, "allowed": allowed})
+
+    ordered_calls = calls.select(key, "event_id", "at", "ok").repartition(key).sortWithinPartitions(key, "at", "event_id")
+    return ordered_calls.mapInPandas(run, f"{key} {calls.schema[key].dataType.simpleString()}, event_id bigint, state string, allowed boolean")
+
+
+def stream_circuit_states(source: DataFrame, path: str, checkpoint: str, key: str, rule: Breaker = Breaker()):
+    """Start a query that appends the state of each service after every call of ``source``, across micro-batches."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(keys, frames, state: GroupState):
+        circuit = Circuit(*state.get) if state.exists else Circuit()
+        frame = pd.concat(frames).sort_values(["at", "event_id"])  # the calls of one micro-batch
+        out = []
+        for event_id, at, ok in zip(frame["event_id"], frame["at"], frame["ok"], strict=True):
+            circuit, let = call(circuit, at, ok, rule)
+            out.append((keys[0], event_id, circuit.state, let))
+        state.update(tuple(circuit))
+        yield pd.DataFrame(out, columns=[key, "event_id", "state", "allowed"])
+
+    schema = f"{key} {source.schema[key].dataType.simpleString()}, event_id bigint, state string, allowed boolean"
+    found = source.groupBy(key).applyInPandasWithState(run, schema, "state string, opened bigint, since bigint, failed int, passed int", "append", GroupStateTimeout.NoTimeout)
+    return found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def stream_tumbling_counts(source: DataFrame, path: str, checkpoint: str, seconds: int = 60, late: str = "10 minutes"):
     """Start a query that appends finished windows of ``source``, a streaming DataFrame of events, to Parquet at ``path``."""
     out = tumbling_counts(source, seconds, late)
@@ -72,7 +162,6 @@ def stream_tumbling_counts(source: DataFrame, path: str, checkpoint: str, second
 
 def stream_sequence(source: DataFrame, path: str, checkpoint: str, key: str = "user_id"):
     """Start a query that numbers the events of each key across micro-batches, in order of arrival and time."""
-    import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def number(keys, frames, state: GroupState):
