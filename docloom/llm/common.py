@@ -110,3 +110,22 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         for path in paths:
             drop_path(spark, path)
+
+
+#: A table of at most so many rows, each of a few short columns, may be broadcast.
+SMALL_ROWS = 20_000
+
+
+def lookup(facts: DataFrame, dims: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """``facts`` joined with ``dims``, a stored table with one row a key.
+
+    ``dims`` is counted first: up to SMALL_ROWS rows are broadcast. Beyond that
+    every key is split into ``salts`` parts by a hash of the fact row, so one
+    key with a third of all rows is dealt to that many tasks.
+    """
+    if dims.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return facts.join(F.broadcast(dims), on, how)
+    salt = unused("salt")
+    dealt = facts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int"))
+    parts = dims.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(parts, [*on, salt], how).drop(salt)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.bpe_codec import op5_bpe_codec
+from docloom.llm.collocations import OP13_SQL, op13_collocations
 from docloom.llm.decontaminate import op6_decontaminate
+from docloom.llm.divergence import OP12_SQL, op12_source_divergence
 from docloom.llm.html_extract import op4_html_extract
 from docloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from docloom.llm.near_dedup import op9_near_dedup
@@ -16,6 +18,7 @@ from docloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from docloom.llm.token_counts import op8_token_counts
 from docloom.llm.toxicity import op3_toxicity
 from docloom.llm.url_filter import op2_url_filter
+from docloom.llm.warc_archive import OP11_SQL, op11_warc_archive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_near_dedup": op9_near_dedup,
         "op10_quality_mil": op10_quality_mil,
+        "op11_warc_archive": op11_warc_archive,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -37,4 +43,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": OP1_SQL,
         "op7_line_dedup": OP7_SQL,
+        "op11_warc_archive": OP11_SQL,
+        "op12_source_divergence": OP12_SQL,
+        "op13_collocations": OP13_SQL,
     }
