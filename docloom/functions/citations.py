@@ -4,12 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from docloom.functions.text import word_tokens
-
-CODE = r"(?s)```.*?(?:```|$)|`[^`\n]*`"
-#: Words that turn a statement around.
-POLARITY = ["not", "no", "never", "without", "cannot", "pas", "jamais", "aucun", "sans"]
-MIN_TOKEN = 4
+from docloom.functions.claims import CODE
 
 
 def markers(answer: Column, chunks: Column) -> Column:
@@ -18,20 +13,6 @@ def markers(answer: Column, chunks: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(found, lambda x: x.cast("int"))), lambda n: (n >= 1) & (n <= chunks))
 
 
-def numbers(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)*"), 0))
-
-
-def supported(claim: Column, evidence: Column) -> Column:
-    """Whether evidence holds all numbers and polarity words of a claim and two thirds of its longer words."""
-    words, base = word_tokens(claim), word_tokens(evidence)
-    turning = F.array_intersect(words, F.array(*map(F.lit, POLARITY)))
-    meaningful = F.filter(words, lambda w: F.length(w) >= MIN_TOKEN)
-    shared = F.size(F.filter(meaningful, lambda w: F.array_contains(base, w)))
-    enough = shared >= F.ceil(2 * F.size(meaningful) / 3)
-    return (F.size(F.array_except(numbers(claim), numbers(evidence))) == 0) & (F.size(F.array_except(turning, base)) == 0) & enough
-
-
 #: The sentences that say that nothing was found.
 ABSTENTIONS = [
     "Aucune source n'est disponible dans ce notebook.",
@@ -74,3 +55,17 @@ def located_markers(answer: Column) -> Column:
         F.array_join(F.zip_with(F.slice(pieces, 1, i), F.slice(numbers_, 1, i), lambda p, n: F.concat(p, F.lit("["), n, F.lit("]"))), ""), F.element_at(pieces, i + 1)
     )
     return F.transform(numbers_, lambda n, i: F.struct(n.cast("bigint").alias("n"), preceding_claim(before(i)).alias("claim")))
+
+
+def marker_places(answer: Column) -> Column:
+    """array<struct<n, start, stop>>: markers outside of code with the characters before them and up to their end."""
+    shown = hide_code(answer)
+    pieces, found = F.split(shown, MARK), F.regexp_extract_all(shown, F.lit(MARK), 0)
+    sizes = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), F.regexp_extract(m, MARK, 1).cast("bigint").alias("n")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<n:bigint,start:int,stop:int>>").alias("found"))
+
+    def add(s: Column, x: Column) -> Column:
+        stop = s["at"] + x["gap"] + x["size"]
+        return F.struct(stop.alias("at"), F.array_append(s["found"], F.struct(x["n"].alias("n"), (s["at"] + x["gap"]).alias("start"), stop.alias("stop"))).alias("found"))
+
+    return F.aggregate(sizes, none, add, lambda s: s["found"])

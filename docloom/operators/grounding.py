@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docloom.functions import citations as C
-from docloom.functions.text import strip, word_tokens, xml_escape
+from docloom.functions.claims import code_ranges, supported
+from docloom.functions.text import strip, xml_escape
 
 
 def verify_citations(answers: DataFrame, context: DataFrame, active: DataFrame) -> DataFrame:
     """One row for each marker outside of code: answer_id, pos, n, reason.
 
-    ``context`` (answer_id, n, source_id, generation_id, content) numbers the
-    chunks of each answer from 1; ``active`` has (source_id,
-    active_generation_id). The first rule that a marker breaks is its reason,
-    in this order: missing_chunk, no_generation, stale, unsupported; then
+    ``context`` (answer_id, n, source_id, generation_id, content, owned) numbers
+    the chunks of each answer from 1, owned where their provenance can be
+    theirs (``claims.owns_chunk``); ``active`` has (source_id,
+    active_generation_id). The first rule that a marker breaks is its reason, in
+    this order: missing_chunk, no_generation, stale, unowned, unsupported; then
     duplicate (neither cited nor rejected) and cited. An answer without markers
     has no row; a null answer counts as empty.
     """
     found = answers.select("answer_id", F.posexplode(C.located_markers(F.coalesce("answer", F.lit("")))).alias("pos", "mark")).select("answer_id", "pos", "mark.*")
     held = found.join(context, ["answer_id", "n"], "left").join(active, "source_id", "left")
-    meaningful = F.size(F.filter(word_tokens(F.col("claim")), lambda w: F.length(w) >= C.MIN_TOKEN)) > 0
     broken = (
         F.when(F.col("source_id").isNull(), "missing_chunk")
         .when(F.col("generation_id").isNull(), "no_generation")
         .when(~F.col("generation_id").eqNullSafe(F.col("active_generation_id")), "stale")
-        .when(~F.coalesce(meaningful & C.supported(F.col("claim"), F.col("content")), F.lit(False)), "unsupported")
+        .when(~F.coalesce("owned", F.lit(False)), "unowned")
+        .when(~F.coalesce(supported(F.col("claim"), F.col("content")), F.lit(False)), "unsupported")
     )
     judged = held.withColumn("broken", broken)
     earlier = Window.partitionBy("answer_id", "n", F.col("broken").isNull()).orderBy("pos")
@@ -76,3 +78,41 @@ def time_range(text: Column) -> Column:
 def mean_relevance(domain: Column, score: Column, scales: tuple[str, ...] = ("dense", "reranker")) -> Column:
     """The mean score of a group whose scores lie on a relevance scale, else null; an aggregate."""
     return F.avg(F.when(domain.isin(*scales), score))
+
+
+def resolve_native(answers: DataFrame, native: DataFrame, documents: DataFrame, context: DataFrame, active: DataFrame) -> DataFrame:
+    """What becomes of each citation that a provider made itself: answer_id, pos, document_index, number, reason.
+
+    ``native`` (answer_id, pos, document_index, cited_text, marker_start in
+    characters) names documents by their place in ``documents`` (answer_id,
+    document_index, source_id, generation_id, chunk_index, metadata), of which
+    ``context`` has what was retrieved in the same place, with content and
+    ``owned``. A citation is refused, in this order, as missing (no such
+    document), not_quoted (another chunk, or a text that the chunk does not
+    hold), unlinked (the claim before the marker is not supported by the quote),
+    in_code, or unowned (metadata other than the chunk's, so also a shifted
+    span of the same width). Of those left the first of a document counts, the
+    others are ``repeated``; it is ``stale`` unless its generation is active,
+    else cited. Documents are numbered by their first citation, from 1.
+    """
+    key = ["answer_id", "document_index"]
+    held = context.select(*key, *[F.col(c).alias(f"chunk_{c}") for c in ("source_id", "generation_id", "chunk_index", "content", "metadata", "owned")])
+    first = native.join(documents.select(*key), key).groupBy(*key).agg(F.min("pos").alias("first"))
+    numbers = first.withColumn("number", F.row_number().over(Window.partitionBy("answer_id").orderBy("first")))
+    all_ = native.join(answers, "answer_id").join(documents, key, "left").join(held, key, "left").join(numbers.select(*key, "number"), key, "left").join(active, "source_id", "left")
+    same = (F.col("source_id") == F.col("chunk_source_id")) & (F.col("generation_id") == F.col("chunk_generation_id")) & (F.col("chunk_index") == F.col("chunk_chunk_index"))
+    quote = strip(F.col("cited_text"))
+    before = F.left("answer", F.col("marker_start"))
+    in_code = F.exists(code_ranges(F.col("answer")), lambda r: (F.octet_length(before) >= r["start"]) & (F.octet_length(before) < r["stop"]))
+    no = lambda condition: ~F.coalesce(condition, F.lit(False))
+    broken = (
+        F.when(F.col("source_id").isNull(), "missing")
+        .when(no(same & (quote != "") & F.contains("chunk_content", quote)), "not_quoted")
+        .when(no(supported(C.preceding_claim(before), F.col("cited_text"))), "unlinked")
+        .when(in_code, "in_code")
+        .when(no(F.col("chunk_owned") & F.col("metadata").eqNullSafe(F.col("chunk_metadata"))), "unowned")
+    )
+    judged = all_.withColumn("broken", broken)
+    again = F.row_number().over(Window.partitionBy(*key, F.col("broken").isNull()).orderBy("pos")) > 1
+    left = F.when(again, "repeated").when(no(F.col("generation_id") == F.col("active_generation_id")), "stale").otherwise("cited")
+    return judged.select("answer_id", "pos", "document_index", "number", F.coalesce("broken", left).alias("reason"))

@@ -58,25 +58,12 @@ ANSWER_SQL = "SELECT conv_id, turn, text || ' [' || turn || '] `[1]` then [3][2]
 @query("c19_citation_markers", rf"""
 SELECT conv_id, turn, array_to_string(list_filter([CAST(x AS INT) FOR x IN m], lambda n: n BETWEEN 1 AND 5), ',') AS cited FROM (
  SELECT conv_id, turn, list_filter(f, lambda x, i: list_position(f, x) = i) AS m FROM (
-  SELECT conv_id, turn, regexp_extract_all(regexp_replace(a, '(?s)```.*?(?:```|$)|`[^`\n]*`', '', 'g'), '\[(\d{{1,6}})\]', 1) AS f FROM ({ANSWER_SQL})))""")
+  SELECT conv_id, turn, regexp_extract_all(regexp_replace(a, '{CI.CODE}', '', 'g'), '\[(\d{{1,6}})\]', 1) AS f FROM ({ANSWER_SQL})))""")
 def c19(spark, d):
     answer = F.concat(F.col("text"), F.lit(" ["), F.col("turn"), F.lit("] `[1]` then [3][2] and [99] ```\n[4]"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(CI.markers(answer, F.lit(5)), lambda n: n.cast("string")), ",").alias("cited"))
 
 
-@query("c21_claim_support", rf"""
-WITH c AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w, text AS claim, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS evidence FROM conversations),
-e AS (SELECT *, regexp_extract_all(lower(evidence), '[\p{{L}}\p{{N}}]+') AS b, list_filter(w, lambda x: length(x) >= {CI.MIN_TOKEN}) AS m FROM c WHERE evidence IS NOT NULL)
-SELECT conv_id, turn, len(list_filter(regexp_extract_all(claim, '\d+(?:[.,]\d+)*'), lambda n: NOT list_contains(regexp_extract_all(evidence, '\d+(?:[.,]\d+)*'), n))) = 0
- AND len(list_filter(w, lambda x: list_contains([{', '.join(f"'{p}'" for p in CI.POLARITY)}], x) AND NOT list_contains(b, x))) = 0
- AND len(list_filter(m, lambda x: list_contains(b, x))) >= ceil(2 * len(m) / 3.0::DOUBLE) AS supported FROM e""")
-def c21(spark, d):
-    from pyspark.sql import Window
-
-    c = table(spark, d, "conversations").withColumn("evidence", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("evidence IS NOT NULL")
-    return c.select("conv_id", "turn", CI.supported(F.col("text"), F.col("evidence")).alias("supported"))
-
-
 @query("r28_ann_benchmark")
 def r28(spark, d):
     """Recall and fill of the inverted-file index against exact search, for every hundredth vector."""

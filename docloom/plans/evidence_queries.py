@@ -181,17 +181,6 @@ def r23(spark, d):
     return table(spark, d, "documents").select("doc_id", C.abstains(answer).alias("abstained"))
 
 
-@query("r20_citation_verification")
-def r20(spark, d):
-    """Answers are turns of which each sentence cites the turn's own text and the turn before; a third of the sources have moved on."""
-    turns = table(spark, d, "conversations").withColumn("answer_id", F.concat_ws("-", "conv_id", "turn"))
-    answers = turns.select("answer_id", F.regexp_replace("text", r"\.", " [1]. As said [2].").alias("answer"))
-    own = turns.select("answer_id", F.lit(1).cast("bigint").alias("n"), F.col("conv_id").alias("source_id"), F.lit("g1").alias("generation_id"), F.col("text").alias("content"))
-    before = turns.select(F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("answer_id"), F.lit(2).cast("bigint").alias("n"), F.col("conv_id").alias("source_id"), F.lit("g1").alias("generation_id"), F.col("text").alias("content"))
-    active = turns.select(F.col("conv_id").alias("source_id"), F.when(F.col("conv_id") % 3 == 0, "g2").otherwise("g1").alias("active_generation_id")).distinct()
-    return G.citation_summary(answers, G.verify_citations(answers, own.unionByName(before), active))
-
-
 @query("d8_pointer_presence", """SELECT event_id, contains(props, '"k":') AS held, contains(props, '"absent":') AS absent FROM events""")
 def d8(spark, d):
     present = lambda path: F.get_json_object("props", path).isNotNull()

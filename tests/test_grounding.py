@@ -16,16 +16,16 @@ def test_preceding_claim(spark):
 
 def test_citations_by_first_broken_rule(spark):
     answers = spark.createDataFrame([
-        ("a", "The harbour opened again in 1999 [1]. `code [1]` The harbour opened again in 1998 [1]. The harbour opened again in 1999 [1]. Harbour opened again [9]. Harbour opened [2]. Harbour opened [3]. [1]"),
+        ("a", "The harbour opened again in 1999 [1]. `code [1]` The harbour opened again in 1998 [1]. The harbour opened again in 1999 [1]. Harbour opened again [9]. Harbour opened [2]. Harbour opened [3]. [1] Harbour opened [4]."),
         ("b", "no SOURCE was retrieved"), ("c", None),
     ], "answer_id string, answer string")
     text = "The harbour opened again in 1999."
-    context = spark.createDataFrame([("a", 1, 10, "g", text), ("a", 2, 11, None, text), ("a", 3, 12, "old", text)], "answer_id string, n long, source_id long, generation_id string, content string")
+    context = spark.createDataFrame([("a", 1, 10, "g", text, True), ("a", 2, 11, None, text, True), ("a", 3, 12, "old", text, True), ("a", 4, 10, "g", text, False)], "answer_id string, n long, source_id long, generation_id string, content string, owned boolean")
     active = spark.createDataFrame([(10, "g"), (11, "g"), (12, "g")], "source_id long, active_generation_id string")
     found = G.verify_citations(answers, context, active)
-    assert [r["reason"] for r in found.orderBy("pos").collect()] == ["cited", "unsupported", "duplicate", "missing_chunk", "no_generation", "stale", "unsupported"]
+    assert [r["reason"] for r in found.orderBy("pos").collect()] == ["cited", "unsupported", "duplicate", "missing_chunk", "no_generation", "stale", "unsupported", "unowned"]
     got = {r["answer_id"]: tuple(r)[1:] for r in G.citation_summary(answers, found).collect()}
-    assert got == {"a": (1, 6, False), "b": (0, 0, True), "c": (0, 0, False)}
+    assert got == {"a": (1, 7, False), "b": (0, 0, True), "c": (0, 0, False)}
     assert G.verify_citations(answers.limit(0), context, active).count() == 0
 
 
