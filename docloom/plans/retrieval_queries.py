@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 from docloom.operators import evaluate as E, retrieval as R
+from docloom.operators.stored import stored
 from docloom.plans.registry import query, table
 
 #: Questions: every vector whose id is divisible by 100, against all vectors.
@@ -96,12 +97,12 @@ def p2(spark, d):
     return R.all_terms(text_chunks(spark, d), text_questions(spark, d))
 
 
-#: Chunks with a text and a vector of one snapshot: documents and the vectors of equal id; the questions' texts are benchmark items.
+#: One snapshot of chunks: all documents, with the vectors of equal id where there are some. The questions are all benchmark items.
 MIN_FUSED = 0.004
 SNAP_SQL = rf"""
-hc AS (SELECT doc_id AS chunk_id, CAST(label AS BIGINT) AS scope, doc_id // 4 AS parent, embedding::DOUBLE[] AS e, {TOK_SQL.format('text')} AS tokens FROM documents JOIN embeddings ON vec_id = doc_id),
-hq AS (SELECT chunk_id AS question, scope, e, {TOK_SQL.format('b.text')} AS tokens FROM hc JOIN benchmark b ON b.item_id = chunk_id // 100 WHERE chunk_id % 100 = 0),
-sim AS (SELECT question, chunk_id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM hc c JOIN hq q USING (scope)),
+hc AS (SELECT doc_id AS chunk_id, coalesce(label, doc_id) % 3 AS scope, doc_id // 4 AS parent, embedding::DOUBLE[] AS e, {TOK_SQL.format('text')} AS tokens FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+hq AS (SELECT item_id AS question, coalesce(label, item_id) % 3 AS scope, embedding::DOUBLE[] AS e, {TOK_SQL.format('text')} AS tokens FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+sim AS (SELECT question, chunk_id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM hc c JOIN hq q USING (scope) WHERE c.e IS NOT NULL AND q.e IS NOT NULL),
 terms AS (SELECT question, scope, term, count(*) AS times FROM (SELECT question, scope, unnest(tokens) AS term FROM hq) GROUP BY ALL),
 st AS (SELECT count(*) AS n, greatest(avg(len(tokens)), 1.0) AS mean FROM hc),
 hits AS (SELECT term, chunk_id, scope, length, count(*) AS tf FROM (SELECT chunk_id, scope, len(tokens) AS length, unnest(tokens) AS term FROM hc) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
@@ -115,39 +116,42 @@ found AS (SELECT question, chunk_id, score, CAST({RANK} AS INT) AS rank FROM fus
 
 
 def snapshot(spark, d):
-    vectors_of = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("scope"), "embedding")
+    """All documents as chunks, stored once as both rankings and what follows them read it."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("label"), "embedding")
     docs = table(spark, d, "documents").select("doc_id", X.lexical_tokens(F.col("text")).alias("tokens"))
-    return docs.join(vectors_of, "doc_id").select(F.col("doc_id").alias("chunk_id"), "scope", F.floor(F.col("doc_id") / 4).alias("parent"), "embedding", "tokens")
+    return stored(docs.join(v, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), (F.coalesce("label", "doc_id") % 3).alias("scope"), F.floor(F.col("doc_id") / 4).alias("parent"), "embedding", "tokens"))
 
 
-def snapshot_questions(spark, d, chunks):
-    items = table(spark, d, "benchmark").select((F.col("item_id") * 100).alias("chunk_id"), X.lexical_tokens(F.col("text")).alias("asked"))
-    return chunks.join(items, "chunk_id").select(F.col("chunk_id").alias("question"), "scope", "embedding", F.col("asked").alias("tokens"))
+def snapshot_questions(spark, d):
+    """All benchmark items, with the vectors of equal id."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").cast("bigint").alias("label"), "embedding")
+    items = table(spark, d, "benchmark").select("item_id", X.lexical_tokens(F.col("text")).alias("tokens"))
+    return stored(items.join(v, "item_id", "left").select(F.col("item_id").alias("question"), (F.coalesce("label", "item_id") % 3).alias("scope"), "embedding", "tokens"))
 
 
-def hybrid(spark, d, limit=LIMIT, min_relevance=0.0):
+def hybrid(spark, d, chunks, limit=LIMIT, min_relevance=0.0):
     """The flagship: a vector and a lexical ranking over one snapshot of chunks, fused by rank."""
-    chunks = snapshot(spark, d)
-    return R.hybrid_search(chunks, snapshot_questions(spark, d, chunks), POOL, limit, min_relevance)
+    return R.hybrid_search(chunks, snapshot_questions(spark, d), POOL, limit, min_relevance)
 
 
 @query("r3_hybrid_search", f"WITH {SNAP_SQL} SELECT * FROM found WHERE rank <= {LIMIT} AND score >= {MIN_FUSED}")
 def r3(spark, d):
-    return hybrid(spark, d, LIMIT, MIN_FUSED).select("question", "chunk_id", "score", "rank")
+    return hybrid(spark, d, snapshot(spark, d), LIMIT, MIN_FUSED).select("question", "chunk_id", "score", "rank")
 
 
 @query("r2_lexical_search", f"WITH {SNAP_SQL} SELECT question, chunk_id, score, CAST({RANK} AS INT) AS rank FROM bm WHERE (question, chunk_id) IN (SELECT question, chunk_id FROM (SELECT DISTINCT question, scope, term FROM terms) JOIN hits USING (term, scope) JOIN (SELECT question, count(*) AS need FROM terms GROUP BY question) USING (question) GROUP BY question, chunk_id, need HAVING count(*) = need) QUALIFY rank <= {LIMIT}")
 def r2(spark, d):
-    chunks = snapshot(spark, d)
-    questions = snapshot_questions(spark, d, chunks)
+    chunks, questions = snapshot(spark, d), snapshot_questions(spark, d)
     return R.top(R.bm25(chunks, questions).join(R.all_terms(chunks, questions), ["question", "chunk_id"], "left_semi"), LIMIT).select("question", "chunk_id", "score", "rank")
 
 
 #: Places of the words of each question in each chunk that has them all, then the earliest of the words' last places at each place.
-COVER_SQL = f"""WITH {SNAP_SQL},
-qt AS (SELECT DISTINCT question, scope, unnest(list_distinct(tokens[1:2])) AS term FROM hq),
-occ AS (SELECT question, chunk_id, term, pos FROM (SELECT chunk_id, scope, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM hc) JOIN qt USING (term, scope)),
-held AS (SELECT o.*, row_number() OVER (PARTITION BY question, chunk_id ORDER BY pos) AS i, n FROM occ o JOIN (SELECT question, count(*) AS n FROM qt GROUP BY question) USING (question)),
+COVER_SQL = f"""WITH {LEX_SQL},
+qt AS (SELECT DISTINCT question, term FROM qs),
+need AS (SELECT question, count(*) AS n FROM qt GROUP BY question),
+full_ AS (SELECT question, chunk_id, n FROM hits JOIN qt USING (term) JOIN need USING (question) GROUP BY question, chunk_id, n HAVING count(*) = n),
+occ AS (SELECT question, chunk_id, n, term, pos FROM full_ JOIN (SELECT chunk_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM ch) USING (chunk_id) JOIN qt USING (question, term)),
+held AS (SELECT *, row_number() OVER (PARTITION BY question, chunk_id ORDER BY pos) AS i FROM occ),
 seen AS (SELECT a.question, a.chunk_id, a.i, a.pos, a.n, b.term, max(b.i) AS last FROM held a JOIN held b ON a.question = b.question AND a.chunk_id = b.chunk_id AND b.i <= a.i GROUP BY ALL),
 beg AS (SELECT question, chunk_id, i, pos, CASE WHEN count(*) = n THEN min(last) ELSE 0 END AS b FROM seen GROUP BY question, chunk_id, i, pos, n),
 cov AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY question, chunk_id ORDER BY i) AS before FROM beg)
@@ -157,9 +161,8 @@ FROM cov c JOIN held h ON h.question = c.question AND h.chunk_id = c.chunk_id AN
 
 @query("m4_cover_density", COVER_SQL)
 def m4(spark, d):
-    chunks = snapshot(spark, d)
-    asked = snapshot_questions(spark, d, chunks).withColumn("tokens", F.slice("tokens", 1, 2))
-    return R.cover_density(chunks, asked.where(F.size("tokens") > 0))
+    """Cover density of all words of every benchmark item in every document that holds them all."""
+    return R.cover_density(text_chunks(spark, d), text_questions(spark, d).where(F.size("tokens") > 0))
 
 
 @query("r6_retrieval_pipeline", f"""WITH {SNAP_SQL},
@@ -171,7 +174,7 @@ SELECT question, chunk_id, score, rank, CAST(CASE WHEN n < 3 OR rank = 1 THEN ra
   CASE WHEN n < {LIMIT} AND candidates > n THEN 'underfilled' ELSE 'sufficient' END AS verdict FROM s""")
 def r6(spark, d):
     chunks = snapshot(spark, d)
-    return R.retrieve(hybrid(spark, d, 2 * POOL), chunks.select("chunk_id", "parent", "scope"), F.col("scope") % 2 == 0, F.col("chunk_id") % 3 == 0, LIMIT)
+    return R.retrieve(hybrid(spark, d, chunks, 2 * POOL), chunks.select("chunk_id", "parent", "scope"), F.col("scope") % 2 == 0, F.col("chunk_id") % 3 == 0, LIMIT)
 
 
 EVAL_SQL = f"""{VEC_SQL}, res AS (SELECT question, chunk_id, parent, rank FROM dense WHERE rank <= 20),
