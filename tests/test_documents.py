@@ -3,11 +3,12 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions import chunking as CH, citations as CI, text as X
-from docloom.operators import ann
+from docloom.functions import chunking as CH, citations as CI, claims as CL, text as X
+from docloom.operators import ann, retrieval as R
 from docloom.plans import document_queries, registry  # noqa: F401
 from docloom.sources import extract as S
 
@@ -58,8 +59,21 @@ def test_hash_embedding_is_unit_length():
     assert not any(ann.hash_embedding(None))
 
 
+def test_filtered_search_is_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, [float(x) for x in rng.normal(size=33) + (i % 5)]) for i in range(900)] + [(900, 0, None), (901, 5, [0.0] * 33), (902, None, [1.0] * 33)]
+    rows += [(1000 + i, 1, rows[1][2]) for i in range(30)]  # ties
+    vectors = spark.createDataFrame(rows, "chunk_id bigint, scope bigint, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, s, rows[i][2]) for i, s in ((1, 1), (2, 2), (7, 0), (8, 5), (9, 77), (900, 0))], "question bigint, scope bigint, embedding array<double>")
+    found, work = ann.filtered_search(ann.encode(vectors), vectors, asked, 7)
+    exact = R.dense_topk(vectors, asked, 7)
+    assert sorted(map(tuple, found.select("question", "chunk_id", "rank").collect())) == sorted(map(tuple, exact.select("question", "chunk_id", "rank").collect()))
+    read = {r["question"]: r["read"] for r in work.collect()}
+    assert read[2] < 60 and read[7] < 60 and read[8] == 1 and 9 not in read
+
+
 def test_markers_and_support(spark):
-    row = spark.range(1).select(CI.markers(F.lit("a [2] `[3]` [2][9] [1]"), F.lit(4)).alias("m"), CI.supported(F.lit("It grew 12 percent quickly"), F.lit("It quickly grew by 12 percent")).alias("s"), CI.supported(F.lit("It never grew"), F.lit("It grew")).alias("n")).first()
+    row = spark.range(1).select(CI.markers(F.lit("a [2] `[3]` [2][9] [1]"), F.lit(4)).alias("m"), CL.supported(F.lit("It grew 12 percent quickly"), F.lit("It quickly grew by 12 percent")).alias("s"), CL.supported(F.lit("It never grew"), F.lit("It grew")).alias("n")).first()
     assert (row["m"], row["s"], row["n"]) == ([2, 1], True, False)
 
 
