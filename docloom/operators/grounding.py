@@ -43,18 +43,27 @@ def citation_summary(answers: DataFrame, verified: DataFrame) -> DataFrame:
     return both.select("answer_id", "cited", (F.col("marks") - F.col("cited") - F.col("again")).alias("rejected"), "abstained")
 
 
+#: The tags around a region of evidence.
+REGION_OPEN, REGION_CLOSE = "<untrusted_source_data>", "</untrusted_source_data>"
+
+
+def evidence_entry(rank: Column, source_id: Column, title: Column, page: Column, body: Column) -> Column:
+    """One escaped source element."""
+    place = F.when(page.isNotNull(), F.concat(F.lit(' page="'), page, F.lit('"'))).otherwise("")
+    return F.concat(
+        F.lit('<source index="'), rank, F.lit('" source_id="'), xml_escape(source_id.cast("string")), F.lit('" title="'), xml_escape(title), F.lit('"'), place,
+        F.lit(">\n<content>\n"), xml_escape(strip(body)), F.lit("\n</content>\n</source>\n\n"),
+    )
+
+
 def evidence(rows: DataFrame, key: str) -> DataFrame:
     """key, evidence: the results (rank, source_id, title, page, body) of each key as one escaped region, in rank order.
 
     The results of a key are a retrieval's top k, so its text is bounded.
     """
-    page = F.when(F.col("page").isNotNull(), F.concat(F.lit(' page="'), F.col("page"), F.lit('"'))).otherwise("")
-    entry = F.concat(
-        F.lit('<source index="'), F.col("rank"), F.lit('" source_id="'), xml_escape(F.col("source_id").cast("string")), F.lit('" title="'), xml_escape(F.col("title")), F.lit('"'), page,
-        F.lit(">\n<content>\n"), xml_escape(strip(F.col("body"))), F.lit("\n</content>\n</source>\n\n"),
-    )
+    entry = evidence_entry(F.col("rank"), F.col("source_id"), F.col("title"), F.col("page"), F.col("body"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry"))))
-    return rows.groupBy(key).agg(F.concat(F.lit("<untrusted_source_data>\n"), F.array_join(ordered["entry"], ""), F.lit("</untrusted_source_data>")).alias("evidence"))
+    return rows.groupBy(key).agg(F.concat(F.lit(f"{REGION_OPEN}\n"), F.array_join(ordered["entry"], ""), F.lit(REGION_CLOSE)).alias("evidence"))
 
 
 def page_lookup(pages: DataFrame, offsets: DataFrame, key: str) -> DataFrame:

@@ -50,8 +50,9 @@ def test_no_span_violations(spark):
 
 
 def test_index_recall(spark):
-    row = registry.QUERIES["r28_ann_benchmark"](spark, SF).first()
-    assert row["recall"] >= 0.9 and row["fill"] >= 0.99
+    rows = registry.QUERIES["r28_ann_benchmark"](spark, SF).collect()
+    assert [r["selectivity"] for r in sorted(rows, reverse=True)] == [1, 0.1, 0.01]
+    assert all(r["hits"] == r["expected"] == r["returned"] and r["misplaced"] == 0 and r["under_fifth"] for r in rows)
 
 
 def test_hash_embedding_is_unit_length():
@@ -69,7 +70,7 @@ def test_filtered_search_is_exact(spark):
     exact = R.dense_topk(vectors, asked, 7)
     assert sorted(map(tuple, found.select("question", "chunk_id", "rank").collect())) == sorted(map(tuple, exact.select("question", "chunk_id", "rank").collect()))
     read = {r["question"]: r["read"] for r in work.collect()}
-    assert read[2] < 60 and read[7] < 60 and read[8] == 1 and 9 not in read
+    assert read[2] < 250 and read[7] < 250 and read[8] == 1 and 9 not in read
 
 
 def test_markers_and_support(spark):
