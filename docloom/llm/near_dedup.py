@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from docloom.llm.common import append_columns, materialize, scratch, slices, table
+from docloom.llm.common import append_columns, lookup, materialize, scratch, slices, table
 
 SHINGLE_WORDS = 5
 BANDS, ROWS = 32, 4
@@ -322,8 +322,14 @@ def linked_rows(docs: DataFrame, id_col: str, text_col: str, percent: int, store
     named = classes.select("fp", "rep").join(found.select(F.col("id").alias("fp"), "component"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"), F.count("*").alias("n"))
     of_class = named.join(lowest.where("n > 1"), "component", "left").select("fp", F.coalesce("lowest", "rep").alias("lowest"))
-    of_part = parts.select("fp", "salt").join(of_class, "fp").withColumnsRenamed({"fp": "class", "salt": "part"})
-    out = rows.select("id", "n_shingles", "fp", "salt").join(of_part, (F.col("fp") == F.col("class")) & (F.col("salt") == F.col("part")), "left")
+    of_part = stored(parts.select("fp", "salt").join(of_class, "fp").withColumnsRenamed({"fp": "class", "salt": "part"}))
+    out = rows.select("id", "n_shingles", "fp", "salt").join(of_part, (F.col("fp") == F.col("class")) & (F.col("salt") == F.col("part")), "left").select("id", "n_shingles", "lowest")
+    # an empty text of an id that has others too is in their component: all classes of an id are linked, so any of them tells it
+    bare = rows.where("id IS NOT NULL AND fp IS NULL").select("id").distinct()
+    held = linkable.join(bare, "id", "left_semi").groupBy("id").agg(F.min(F.struct("fp", "salt")).alias("of"))
+    of_bare = stored(held.join(of_part, (F.col("of.fp") == F.col("class")) & (F.col("of.salt") == F.col("part"))).select("id", F.col("lowest").alias("low")))
+    if not of_bare.isEmpty():
+        out = lookup(out, of_bare, ["id"], "left").select("id", "n_shingles", F.coalesce("lowest", "low").alias("lowest"))
     lowest = F.when(F.col("id").isNotNull(), F.coalesce("lowest", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", lowest.alias("component_id"), F.coalesce(lowest == F.col("id"), F.lit(True)).alias("kept"))
 
