@@ -207,7 +207,7 @@ def audit_sources(docs: DataFrame, top: int = TOP_TERMS, min_docs: int = MIN_DOC
         out = sparse.where("p > q").select("lang", "source", divergence("p", "q").alias("value"), F.col("term").alias("item"))
         ranked = radix_top_k(stored(out), ["lang", "source"], top, stored)
         columns = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank"))
-        return materialize(columns(pairs, "pair").unionByName(columns(ranked, "term")))
+        return materialize(stored(columns(pairs, "pair")).unionByName(stored(columns(ranked, "term"))))
 
 
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
