@@ -13,10 +13,13 @@ rarest word, so under exact containment the necessary prefix is one token.
    it are bounded by position and length; those whose hash is in a bitmap of all
    windows' hashes become candidates.
 4. Candidates are joined with the windows by their words, which is exact, and
-   grouped by document.
+   grouped by text. Texts with a hit are a table of their own, which is counted:
+   a small one is sent to the documents, a larger one is joined with split keys,
+   so neither copies of a text nor null texts meet in one task.
 
 Counters, places and bitmap have a fixed size, whatever the benchmark's; false
-positives of theirs end in step 4. Documents and windows meet in joins only.
+positives of theirs end in step 4. Documents and windows meet in joins only. The
+windows and the texts with a hit stay in the shared folder, as results read them.
 
 Defined results: null or empty texts have no words, are never hit and are not
 contaminated; items without words or without an id are ignored; repeated items
@@ -33,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docloom.llm.common import slices, table, unused
+from docloom.llm.common import lookup, materialize, slices, table, unused
 
 WINDOW = 13
 #: Counters of word frequencies, and bits of the bitmap over window hashes: both are sent to every task.
@@ -164,7 +167,7 @@ def text_key(text_col: str) -> Column:
 
 def window_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, item_text_col: str, window: int, slots: int, bits: int) -> DataFrame:
     """key (of ``text_key``), n_words, n_hit and item_ids of every text that holds a window."""
-    windows = item_windows(items, item_id_col, item_text_col, window)
+    windows = materialize(item_windows(items, item_id_col, item_text_col, window))
     index = prefix_index(windows, slot_frequencies(docs, text_col, windows, slots), window, bits)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # 8 bytes a slot, and the bits
 
@@ -184,9 +187,9 @@ def window_hits(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: s
 
     source = docs.select(text_key(text_col).alias("key"), F.col(f"`{text_col}`").alias("t"))
     found = source.mapInArrow(run, "key struct<one: bigint, two: bigint>, n_words bigint, start bigint, size bigint, window binary")
-    hit = found.join(windows, "window").groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("item_ids"))
+    hit = lookup(found, windows, ["window"]).groupBy("key").agg(F.first("n_words").alias("n_words"), F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("item_ids"))
     covered = "aggregate(spans, named_struct('n', 0L, 'end', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.start + s.size - greatest(s.start, a.end)), 'end', greatest(a.end, s.start + s.size)), a -> a.n)"
-    return hit.select("key", "n_words", F.expr(covered).alias("n_hit"), "item_ids")
+    return materialize(hit.select("key", "n_words", F.expr(covered).alias("n_hit"), "item_ids"))
 
 
 CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
@@ -199,20 +202,20 @@ def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text"
     A document is contaminated if windows cover a twentieth of its words or more.
     """
     kept = [c for c in docs.columns if c.lower() not in MADE]
-    of, key, hit, ids = (unused(c) for c in ("of", "key", "hit", "ids"))
+    key, hit, ids = (unused(c) for c in ("key", "hit", "ids"))
     hits = window_hits(docs, items, text_col, item_id_col, item_text_col, window, slots, bits).select(F.col("key").alias(key), F.col("n_hit").alias(hit), F.col("item_ids").alias(ids))
     n_words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], text_key(text_col).alias(of), n_words.alias("n_words"))
-    both = source.join(hits, F.col(of) == F.col(key), "left")
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], text_key(text_col).alias(key), n_words.alias("n_words"))
+    both = lookup(source, hits, [key], "left")
     made = both.select(*[F.col(f"`{c}`") for c in kept], "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"))
     return made.withColumn("contaminated", F.expr(CONTAMINATED))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slots: int = SLOTS, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    of, key = unused("of"), unused("key")
+    key = unused("key")
     hits = window_hits(docs, items, text_col, item_id_col, item_text_col, window, slots, bits).where(CONTAMINATED).select(F.col("key").alias(key))
-    return docs.withColumn(of, text_key(text_col)).join(hits, F.col(of) == F.col(key), "left_anti").drop(of)
+    return lookup(docs.withColumn(key, text_key(text_col)), hits, [key], "left_anti").drop(key)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
