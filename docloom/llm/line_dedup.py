@@ -2,8 +2,9 @@
 
 Words are runs other than white space, lower-cased. A line is removed if an
 earlier line of the corpus, by (document id, place in the text), is within its
-edit bound: equal, or, where both have ten words or more, one word inserted,
-deleted or replaced. The earliest line of its kind is kept.
+edit bound: equal, or, where the longer one has ten words or more, one word
+inserted, deleted or replaced (one edit in ten words; in shorter lines one word
+is a tenth of the line or more). The earliest line of its kind is kept.
 
 1. Equal lines are one class, kept at its earliest place.
 2. One edit leaves the first or the last half of a line unchanged, so only
@@ -28,14 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docloom.llm.common import materialize, scratch, table, unused
 
-#: Lines of fewer words have an edit bound of none: only exact repeats go.
+#: The edit bound is one word where the longer of two lines has so many words, else none.
 MIN_WORDS = 10
 BLANK = r"[\\x20\\x09-\\x0D]+"
 WORDS = f"filter(split(lower(x), '{BLANK}'), y -> y <> '')"
 #: Whether a text whose words are parted by single blanks has more words than n.
 MORE = "octet_length(substring_index(norm, ' ', {n})) < octet_length(norm)"
-#: Half length for m words: 5, 10, 20, ... with twice that at most m. Words are counted in very long lines only.
-HALF = f"CASE WHEN NOT {MORE.format(n=MIN_WORDS - 1)} THEN NULL {' '.join(f'WHEN NOT {MORE.format(n=4 * h - 1)} THEN {h}' for h in (5, 10, 20, 40))} ELSE CAST(5 * pow(2, floor(log2(size(split(norm, ' ')) / 10.0D))) AS INT) END"
+#: Half length for m words: 5, 10, 20, ... with twice that at most m, and 5 for lines that a line of MIN_WORDS may be cut to. Words are counted in very long lines only.
+HALF = f"CASE WHEN NOT {MORE.format(n=MIN_WORDS - 2)} THEN NULL {' '.join(f'WHEN NOT {MORE.format(n=4 * h - 1)} THEN {h}' for h in (5, 10, 20, 40))} ELSE CAST(5 * pow(2, floor(log2(size(split(norm, ' ')) / 10.0D))) AS INT) END"
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def active_words(docs: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def with_keys(words: DataFrame) -> DataFrame:
-    """``words`` with keys: that of the line itself, then of the line without each word that may be left out.
+    """``words`` with keys: that of the line itself, then of the line without each word that may be left out (none in lines under MIN_WORDS).
 
     A key is the exclusive or of the hashes of all words with their places, so
     it has 64 bits and depends on order. From one gap to the next a single
@@ -89,7 +90,7 @@ def with_keys(words: DataFrame) -> DataFrame:
     changes = f"transform(w, (x, i) -> CASE WHEN i = 0 THEN {first} ELSE {at('i', 'w[i - 1]')} ^ {at('i', 'x')} END)"
     steps = "transform(sequence(0, CAST(floor(log2(greatest(size(w) - 1, 1))) AS INT)), k -> shiftleft(1, k))"
     cut = f"aggregate({steps}, {changes}, (a, k) -> transform(a, (x, i) -> x ^ coalesce(get(a, i - k), 0L)))"
-    keys = f"transform(array({cut}), g -> concat(array(g[size(w) - 1] ^ {at('size(w)', 'w[size(w) - 1]')}), slice(g, 1 + skip_head, size(w) - skip_head - skip_tail)))[0]"
+    keys = f"transform(array({cut}), g -> concat(array(g[size(w) - 1] ^ {at('size(w)', 'w[size(w) - 1]')}), CASE WHEN size(w) < {MIN_WORDS} THEN CAST(array() AS ARRAY<BIGINT>) ELSE slice(g, 1 + skip_head, size(w) - skip_head - skip_tail) END))[0]"
     return words.withColumn("keys", F.expr(keys))
 
 
@@ -174,7 +175,7 @@ WITH l AS (
   SELECT doc_id, pos, x, list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)),
 o AS (SELECT row_number() OVER (ORDER BY doc_id, pos) AS o, * FROM l WHERE len(w) > 0),
-k AS (SELECT o, 0 AS gap, w AS v, len(w) >= {MIN_WORDS} AS long FROM o
+k AS (SELECT o, 0 AS gap, w AS v, len(w) >= {MIN_WORDS - 1} AS long FROM o
       UNION ALL SELECT o, i, list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w))), true FROM (SELECT o, w, unnest(range(1, len(w) + 1)) AS i FROM o WHERE len(w) >= {MIN_WORDS})),
 g AS (SELECT v, gap, long, min(o) AS m FROM k GROUP BY v, gap, long),
 c AS (SELECT v, min(m) FILTER (gap = 0) AS whole, min(m) FILTER (gap > 0) AS cut FROM g WHERE long GROUP BY v),

@@ -145,10 +145,10 @@ def test_near_duplicates_against_brute_force(docs, odd):
 def test_repeated_ids_keep_all_their_links(spark):
     words = lambda k: [f"{k}{i}" for i in range(60)]
     near = lambda k: " ".join([*words(k)[:-1], "other"])
-    texts = [(1, " ".join(words("a"))), (1, " ".join(words("b"))), (2, near("a")), (3, near("b")), (4, " ".join(words("c"))), (0, near("c")), (5, None), (5, "")]
+    texts = [(1, " ".join(words("a"))), (1, " ".join(words("b"))), (2, near("a")), (3, near("b")), (4, " ".join(words("c"))), (0, near("c")), (5, None), (5, ""), (6, " ".join(words("c"))), (6, ""), (6, None)]
     for rows in (texts, texts[::-1], [texts[1], texts[0], *texts[2:]]):
         found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 0, False), (5, 5, True), (5, 5, True)]
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 0, False), (5, 5, True), (5, 5, True), (6, 0, False), (6, 0, False), (6, 0, False)]
 
 
 def test_recall_against_all_pairs(spark):
@@ -244,6 +244,15 @@ def test_line_dedup_on_random_lines(spark, seed):
     assert {i: n for i, n, _ in got}[203] == 1 == {i: n for i, n, _ in got}[204]
 
 
+def test_line_dedup_across_the_shortest_bound(spark):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join(words[:9])), (2, " ".join(words[:10])), (3, " ".join([*words[:4], *words[5:10]])), (4, " ".join([*words[:8], "x"])), (5, " ".join(words[:8])), (6, " ".join(["y", *words[1:9]])), (7, " ".join(["z", *words[:8]])), (8, " ".join(["z", "y", *words[:8]]))]
+    got, expected = line_dedup_and_sql(spark, rows)
+    assert got == expected
+    # ten words near nine, nine near ten (in both orders of length), but no edit between two lines of nine or fewer
+    assert [n for _, n, _ in got] == [0, 1, 1, 0, 0, 0, 0, 1]
+
+
 def test_line_dedup_when_keys_collide(spark, monkeypatch):
     keys = line_dedup.neighbourhood
     monkeypatch.setattr(line_dedup, "neighbourhood", lambda words: keys(words).withColumn("key", F.pmod("key", F.lit(2))))
