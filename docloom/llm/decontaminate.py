@@ -34,9 +34,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from docloom.llm.common import lookup, materialize, slices, table, unused
+from docloom.llm.common import append_columns, lookup, materialize, slices, table, unused
 
 WINDOW = 13
 #: Counters of word frequencies, and bits of the bitmap over window hashes: both are sent to every task.
@@ -45,7 +45,6 @@ SLOTS, BITS = 1 << 20, 1 << 26
 CACHE_ENTRIES = 400_000
 #: A word is a run of these bytes: ASCII letters and digits, and all of UTF-8 beyond ASCII.
 WORD_BYTES = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256)).lower()
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -196,16 +195,16 @@ CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 MADE = ("n_words", "n_hit", "item_ids", "contaminated")
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slots: int = SLOTS, bits: int = BITS) -> DataFrame:
-    """``docs`` with n_words, n_hit, item_ids (sorted as strings) and contaminated.
+def find_contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slots: int = SLOTS, bits: int = BITS, keep_text: bool = True) -> DataFrame:
+    """``docs``, with its text or without, with n_words, n_hit, item_ids (sorted as strings) and contaminated.
 
     A document is contaminated if windows cover a twentieth of its words or more.
     """
-    kept = [c for c in docs.columns if c.lower() not in MADE]
-    key, hit, ids = (unused(c) for c in ("key", "hit", "ids"))
+    kept = [c for c in docs.columns if c.lower() not in MADE and (keep_text or c != text_col)]
+    key, hit, ids, body = (unused(c) for c in ("key", "hit", "ids", "body"))
     hits = window_hits(docs, items, text_col, item_id_col, item_text_col, window, slots, bits).select(F.col("key").alias(key), F.col("n_hit").alias(hit), F.col("item_ids").alias(ids))
-    n_words = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], text_key(text_col).alias(key), n_words.alias("n_words"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], text_key(text_col).alias(key), F.col(f"`{text_col}`").alias(body))
+    source = append_columns(source, body, [T.StructField("n_words", T.LongType())], lambda: lambda texts: [[len(words_of(t)) for t in texts]], binary=True, drop=(body,))
     both = lookup(source, hits, [key], "left")
     made = both.select(*[F.col(f"`{c}`") for c in kept], "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("item_ids"))
     return made.withColumn("contaminated", F.expr(CONTAMINATED))
@@ -221,7 +220,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", i
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged against all benchmark items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select(
         "doc_id",
         "n_words",
