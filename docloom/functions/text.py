@@ -167,6 +167,20 @@ def video_id(url: Column) -> Column:
     return F.when(found.rlike(r"^[A-Za-z0-9_-]{11}$"), found)
 
 
+def citation_url(video: Column, start: Column) -> Column:
+    """The address of a video at a time in seconds; null without either."""
+    return F.concat(F.lit("https://youtube.com/watch?v="), video, F.lit("&t="), F.floor(start).cast("string"))
+
+
+#: How files of the kinds begin that are taken; zip holds documents and books.
+MAGIC = {"pdf": b"%PDF-", "zip": b"PK\x03\x04"}
+
+
+def file_kind(data: Column) -> Column:
+    """The kind that the first bytes of a file tell, or null."""
+    return F.coalesce(*[F.when(F.substring(data, 1, len(first)) == F.lit(first), kind) for kind, first in MAGIC.items()])
+
+
 def is_trivial(message: Column, min_bytes: int = 20) -> Column:
     letters = F.lower(F.trim(F.regexp_replace(message, r"[^\p{L}\s]", "")))
     return (F.octet_length(strip(message)) < min_bytes) | letters.isin(*TRIVIAL)

@@ -33,10 +33,13 @@ def i3(spark, d):
     return CH.chunk_documents(table(spark, d, "documents"))
 
 
-@query("i8_span_violations", "SELECT doc_id, 0 AS chunk_index FROM documents WHERE false")
+@query("i8_span_violations", r"SELECT doc_id, 0 AS chunk_index FROM documents WHERE doc_id % 50 = 7 AND regexp_matches(text, '\S')")
 def i8(spark, d):
+    """Chunks whose span does not give back their content: none but the first ones of a fiftieth of the documents, whose spans are moved by a byte here."""
     docs = table(spark, d, "documents")
-    return CH.span_violations(docs, CH.chunk_documents(docs))
+    moved = ((F.col("doc_id") % 50 == 7) & (F.col("chunk_index") == 0)).cast("int")
+    chunks = CH.chunk_documents(docs).withColumns({"start": F.col("start") + moved, "end": F.col("end") + moved})
+    return CH.span_violations(docs, chunks)
 
 
 @query("i4_flat_index", r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import cleaning as CL, text as X
+from docloom.operators.stored import join_small, stored
 from docloom.plans.registry import query, table
 
 
@@ -61,10 +62,23 @@ over("p17_question_lines", "conv_id", "text", questions=(lambda c: F.array_join(
 over("m13_token_estimate", "doc_id", "text", tokens=(X.token_estimate, "CAST(ceil(strlen(x) / 4.0::DOUBLE * 1.1::DOUBLE) AS BIGINT)"))
 over("c28_locale", "doc_id", "lang", locale=(X.locale, "CASE WHEN x LIKE 'fr%' THEN 'fr' WHEN x LIKE 'de%' THEN 'de' WHEN x LIKE 'es%' THEN 'es' ELSE 'en' END"))
 over("c29_error_category", "conv_id", "text", category=(X.error_category, "CASE " + " ".join(f"WHEN {sql_any('lower(x)', w)} THEN '{n}'" for n, w in X.ERRORS) + " ELSE 'unknown_error' END"))
-over("p14_magic_bytes", "page_id", "html", html=(lambda c: F.substring(F.encode(c, "UTF-8"), 1, 5) == F.encode(F.lit("<!DOC"), "UTF-8"), "left(x, 5) = '<!DOC'"))
 over("s4_ocr_pages", "doc_id", "text", pages=(lambda c: F.size(F.filter(F.split(c, "\n"), lambda p: F.length(X.strip(p)) < 50)).cast("bigint"), f"CAST(len(list_filter(string_split(x, chr(10)), lambda p: length({STRIP.format('p')}) < 50)) AS BIGINT)"))
 over("s6_ocr_codec", "doc_id", "text", back=(lambda c: F.size(F.split(F.array_join(F.transform(F.split(c, "\n"), lambda p: F.replace(p, F.lit("\f"), F.lit(""))), "\f"), "\f")).cast("bigint"), "CAST(len(string_split(array_to_string(list_transform(string_split(x, chr(10)), lambda p: replace(p, chr(12), '')), chr(12)), chr(12))) AS BIGINT)"))
-over("c27_citation_url", "page_id", "url", video=(lambda c: X.video_id(F.concat(F.lit("https://www.youtube.com/watch?v="), F.substring(F.sha2(c, 256), 1, 11), F.lit("&t=3"))), "left(sha256(x), 11)"), none=(X.video_id, "CAST(NULL AS VARCHAR)"))
+@query("p14_magic_bytes", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' END AS kind FROM pages")
+def p14_magic_bytes(spark, sf_dir):
+    """The kind of files that begin like a PDF, like an archive, like one with a byte missing, and like a page."""
+    first = F.element_at(F.array(*map(F.lit, (b"%PDF-1.7 ", b"PK\x03\x04", b"PK\x03", b""))), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", X.file_kind(F.concat(first, F.encode(F.coalesce("html", F.lit("")), "UTF-8"))).alias("kind"))
+
+
+@query("c27_citation_url", """
+SELECT page_id, CASE WHEN page_id % 5 <> 4 THEN 'https://youtube.com/watch?v=' || left(sha256(url), 11) || '&t=' || CAST(page_id * 7 // 2 AS VARCHAR) END AS link FROM pages""")
+def c27_citation_url(spark, sf_dir):
+    """Links to a place in a video, for five ways of writing its address; the fifth is no video."""
+    code = F.substring(F.sha2("url", 256), 1, 11)
+    ways = [("https://www.youtube.com/watch?v=", "&t=3"), ("https://youtu.be/", "?si=x"), ("https://m.youtube.com/shorts/", ""), ("http://youtube.com/embed/", "#a"), ("https://example.com/watch?v=", "")]
+    made = F.element_at(F.array(*[F.concat(F.lit(x), code, F.lit(y)) for x, y in ways]), (F.col("page_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", X.citation_url(X.video_id(made), F.col("page_id") * 3.5).alias("link"))
 
 
 @query("c15_headings", r"""
@@ -78,12 +92,21 @@ def c15_headings(spark, sf_dir):
 
 
 @query("c17_topic_overlap", r"""
-WITH k AS (SELECT list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), lambda t: strlen(t) >= 9) AS words FROM benchmark WHERE item_id = 0)
-SELECT doc_id, len(list_filter(words, lambda w: contains(lower(text), w))) > 0 AS hit FROM documents, k""")
+WITH k AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), lambda t: strlen(t) >= 9) AS words FROM benchmark)
+SELECT doc_id, count(DISTINCT item_id) FILTER (len(list_filter(words, lambda w: contains(lower(text), w))) > 0) AS items FROM documents, k GROUP BY doc_id""")
 def c17_topic_overlap(spark, sf_dir):
-    item = table(spark, sf_dir, "benchmark").where("item_id = 0").first()  # one row: the question asked
-    words = F.filter(F.array_distinct(X.word_tokens(F.lit(item["text"]))), lambda t: F.octet_length(t) >= 9)
-    return table(spark, sf_dir, "documents").select("doc_id", X.topic_overlap(words, F.col("text")).alias("hit"))
+    """With how many benchmark items each document shares a topic: a word of nine bytes or more that its text holds.
+
+    The items are the questions asked; each of their distinct words is looked
+    for once in a document, then words are joined with the items that have them.
+    """
+    long_words = F.filter(F.array_distinct(X.word_tokens(F.col("text"))), lambda t: F.octet_length(t) >= 9)
+    asked = stored(table(spark, sf_dir, "benchmark").select("item_id", F.explode(long_words).alias("word")).distinct())
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
+    words = asked.select("word").distinct().withColumn("block", F.pmod(F.xxhash64("word"), F.lit(16))).groupBy("block").agg(F.collect_list("word").alias("words"))
+    held = docs.join(F.broadcast(words)).select("doc_id", F.explode(F.filter("words", lambda w: F.contains("low", w))).alias("word"))  # the words of the stated questions, in 16 rows
+    found = join_small(held, asked, ["word"], "doc_id").groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("items", F.lit(0)).alias("items"))
 
 
 @query("c24_contextualized", "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || chr(10) || text ELSE text END) AS h FROM documents")
