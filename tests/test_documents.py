@@ -46,7 +46,10 @@ def test_spans_cover_all_but_white_space(spark, size):
 
 
 def test_no_span_violations(spark):
-    assert registry.QUERIES["i8_span_violations"](spark, SF).isEmpty()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert CH.span_violations(docs, CH.chunk_documents(docs)).isEmpty()
+    planted = docs.where(r"doc_id % 50 = 7 AND text RLIKE '\\S'").count()
+    assert registry.QUERIES["i8_span_violations"](spark, SF).count() == planted > 0
 
 
 def test_index_recall(spark):
