@@ -24,6 +24,17 @@ menus, forms, page headers and footers, hidden elements, and reader comments,
 whose texts are as varied as an article's. A page of which nothing would be
 left keeps what its markup does not exclude.
 
+With ``names_decide`` (as op4 does) a hint never outweighs a text, whatever the
+number of pages. The tree judges every node without regard to names. What it
+leaves goes by meaning in boxes with a class or id made of hint words alone,
+outside of article and main elements, and in those named as adverts anywhere;
+other hints count for nothing. The belief in a node is then the importance of
+the branch that it hangs from, which is that of its most important node: the
+largest m * importance / (m + k) of the nodes with text below, plus k / (M + k)
+for what M, the most pages of one of them, leave open (k = PLAIN). So a rare
+node shares its branch's fate, and a branch of low nodes goes as a whole. A node of which every
+page has its own text stays. What was taken out by meaning never comes back.
+
 Statistics are aggregated over 64-bit node hashes (host and path). The low nodes
 go to every task if they are at most MAX_SENT_NODES; beyond that they are joined
 to the pages that hold them.
@@ -61,6 +72,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 #: Words in classes and ids that name reader comments, and those that hint at no article.
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies respond".split())
 HINTS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer foot header share sharing social related recommended recommendations widget form search skip copyright legal disclaimer tags".split())
+#: Those hints that name an advert.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|$)""",
     re.S,
@@ -72,11 +85,16 @@ ENDS = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd
 
 
 def describe(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
-    """The element's step in a style path ("!" marks a hint), and whether its meaning takes it out of the article."""
+    """The element's step in a style path, and whether its meaning takes it out of the article.
+
+    "!" marks a hint, "!!" a name made of hints alone, "!!!" one with an advert among them.
+    """
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-    words = set(WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())) if tag not in ("html", "body", "main") else set()
+    names = [set(WORD.findall(name)) for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split()] if tag not in ("html", "body", "main") else []
+    words = set().union(*names)
+    sure = [name for name in names if name and name <= HINTS]
     out = tag in OUTSIDE or tag == "header" and not inside or "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or bool(words & COMMENTS)
-    return ".".join([tag, *sorted(found.get("class", "").lower().split())]) + "!" * bool(words & HINTS), out
+    return ".".join([tag, *sorted(found.get("class", "").lower().split())]) + "!" * (bool(words & HINTS) + bool(sure) + any(name & ADVERTS for name in sure)), out
 
 
 def parse(text: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, str]]:
@@ -145,6 +163,16 @@ def belief(path: str) -> tuple[float, int]:
     return (0.0, HINTED) if any(step.endswith("!") for step in steps[: inside + 1]) else (0.5, HINTED_INSIDE)
 
 
+def named_out(path: str) -> bool:
+    """Whether a box above is named as no part of an article: an advert anywhere, other names outside of article and main."""
+    for step in path.split("/"):
+        if step.endswith("!!"):
+            return True
+        if step.split(".")[0].rstrip("!") in ("article", "main"):
+            return "!!!" in path
+    return False
+
+
 def node_hash(host: int, path: str) -> int:
     """The node of a path in a host, as a signed 64-bit integer."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(path, host % (1 << 64))).view(np.int64))
@@ -162,7 +190,8 @@ def page_features(host: int, text: str | None) -> tuple[int, list[dict]]:
 
     kind is the path's belief (0 plain, 1 hinted in an article, 2 hinted) for a
     text, and that plus 3 for a child sequence; first is 1 on one text of each
-    node, so that its sum counts the node's pages.
+    node, so that its sum counts the node's pages. Kind 6 gives the branches that
+    a node with text hangs from, and first marks the nearest.
     """
     blocks, runs = parse(text)
     kinds = {PLAIN: 0, HINTED_INSIDE: 1, HINTED: 2}
@@ -171,6 +200,11 @@ def page_features(host: int, text: str | None) -> tuple[int, list[dict]]:
         out.append({"node": node_hash(host, path), "kind": kinds[belief(path)[1]], "feature": feature, "first": int(path not in seen)})
         seen.add(path)
     out += [{"node": node_hash(host, path), "kind": 3 + kinds[belief(path)[1]], "feature": text_hash(run), "first": 1} for path, run in runs.items()]
+    for path in seen:
+        above = path
+        while above:
+            above = above.rpartition("/")[0]
+            out.append({"node": node_hash(host, path), "kind": 6, "feature": node_hash(host, above), "first": int(above == path.rpartition("/")[0])})
     whole = xxhash.xxh3_64_intdigest(repr((blocks, runs)), host % (1 << 64))
     return int(np.uint64(whole).view(np.int64)), out
 
@@ -189,17 +223,22 @@ def features_of(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
     return pages.select(host.alias("host"), F.col(f"`{html_col}`").alias("html")).mapInArrow(run, schema)
 
 
+def style_nodes(features: DataFrame) -> DataFrame:
+    """``style_tree`` with a row of kind 6 for each node with text: all branches that it hangs from, and the nearest."""
+    distinct = features.groupBy("page").agg(F.first("features").alias("features"))
+    counts = distinct.select(F.inline("features")).groupBy("node", "kind", "feature").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
+    nodes = counts.groupBy("node", "kind").agg(F.sum("first").alias("m"), F.avg(F.log("n")).alias("spread"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.collect_set(F.when(F.col("kind") == 6, F.col("feature"))).alias("above"), F.max(F.when((F.col("kind") == 6) & (F.col("first") > 0), F.col("feature"))).alias("nearest"))
+    m = F.col("m").cast("double")
+    importance = F.when(m < 2, 1.0).when(F.col("kind") < 3, 1 - F.col("spread") / F.log(m)).otherwise(1 - F.col("nlogn") / (m * F.log(m)))
+    return nodes.select("node", "kind", "m", importance.alias("importance"), "above", "nearest")
+
+
 def style_tree(features: DataFrame) -> DataFrame:
     """node, kind, m and importance of the content (kind 0 to 2) and the presentation (3 to 5) of every style node, from ``features_of``.
 
     Equal pages of a host are one; partial sums keep a hot site from meeting in one task.
     """
-    distinct = features.groupBy("page").agg(F.first("features").alias("features"))
-    counts = distinct.select(F.inline("features")).groupBy("node", "kind", "feature").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
-    nodes = counts.groupBy("node", "kind").agg(F.sum("first").alias("m"), F.avg(F.log("n")).alias("spread"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    m = F.col("m").cast("double")
-    importance = F.when(m < 2, 1.0).when(F.col("kind") < 3, 1 - F.col("spread") / F.log(m)).otherwise(1 - F.col("nlogn") / (m * F.log(m)))
-    return nodes.select("node", "kind", "m", importance.alias("importance"))
+    return style_nodes(features).where("kind < 6").select("node", "kind", "m", "importance")
 
 
 def low_nodes(tree: DataFrame, min_importance: float) -> DataFrame:
@@ -212,23 +251,51 @@ def low_nodes(tree: DataFrame, min_importance: float) -> DataFrame:
     return nodes.where((F.col("kind") < 3) & (F.col("importance") < min_importance)).select("node")
 
 
-def main_text(host: int, text: str | None, low) -> tuple[str, int]:
+def low_branches(nodes: DataFrame, min_importance: float) -> DataFrame:
+    """node: those with a text whose importance, tempered by that of their branch, is below the threshold, from ``style_nodes``.
+
+    A node has as many branches as its path has steps, so nothing grows with the pages here.
+    """
+    is_text, is_edge = F.col("kind") < 3, F.col("kind") == 6
+    leaves = nodes.groupBy("node").agg(
+        F.max(F.when(~is_edge, F.col("importance"))).alias("importance"),
+        F.max(F.when(is_text, F.col("m"))).alias("m"),
+        F.max(F.when(is_edge, F.col("above"))).alias("above"),
+        F.max("nearest").alias("nearest"),
+    ).where("m IS NOT NULL")
+    branches = leaves.select(F.explode("above").alias("branch"), "m", "importance").groupBy("branch").agg((F.max(F.col("m") * F.col("importance") / (F.col("m") + PLAIN)) + PLAIN / (F.max("m") + PLAIN)).alias("trust"))
+    judged = leaves.where("importance < 1").join(branches, F.col("nearest") == F.col("branch"), "left")
+    tempered = (F.col("m") * F.col("importance") + PLAIN * F.coalesce("trust", F.lit(1.0))) / (F.col("m") + PLAIN)
+    return judged.where(tempered < min_importance).select("node")
+
+
+def main_text(host: int, text: str | None, low, names_decide: bool = False) -> tuple[str, int]:
     """The blocks that are left, joined, and the number of those that the style tree removed."""
     blocks = [(path, clean) for path, clean, out in parse(text)[0] if not out]
+    if names_decide:
+        stay = [(path, clean) for path, clean in blocks if not named_out(path)]
+        left = [clean for path, clean in stay if node_hash(host, path) not in low]
+        return "\n".join(left or [clean for _, clean in stay]), sum(node_hash(host, path) in low for path, _ in blocks) if left else 0
     left = [clean for path, clean in blocks if node_hash(host, path) not in low] or [clean for _, clean in blocks]
     return "\n".join(left), len(blocks) - len(left)
 
 
-def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_importance: float = MIN_IMPORTANCE, max_sent: int = MAX_SENT_NODES) -> DataFrame:
-    """``pages`` without html, with the main text, and n_removed: blocks that the style tree removed."""
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_importance: float = MIN_IMPORTANCE, max_sent: int = MAX_SENT_NODES, names_decide: bool = False) -> DataFrame:
+    """``pages`` without html, with the main text, and n_removed: blocks that the style tree removed.
+
+    ``names_decide``: boxes go by whole names of their meaning at once, and hints
+    weigh against no text; otherwise hints are beliefs that pages must outweigh.
+    """
     host = F.xxhash64(host_of(F.col(f"`{url_col}`")))
     features = features_of(pages, host, html_col)
-    low = low_nodes(style_tree(features), min_importance).persist()
+    nodes = style_nodes(features).persist()
+    low = (low_branches(nodes, min_importance) if names_decide else low_nodes(nodes.where("kind < 6"), min_importance)).persist()
     try:
         sent = low.count() <= max_sent
         known = frozenset(low.toArrow().column("node").to_pylist()) if sent else frozenset()  # at most max_sent
     finally:
         low.unpersist()
+        nodes.unpersist()
     body, of, own = unused("html"), unused("host"), unused("low")
     names = {"text", "n_removed", html_col.lower()}
     kept = [c for c in pages.columns if c.lower() not in names]
@@ -245,7 +312,7 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html",
         for whole in batches:
             for batch in slices(whole, body):
                 columns = (batch.column(c).to_pylist() for c in (of, body, own))
-                made = [main_text(h, t, everywhere if lows is None else frozenset(lows)) for h, t, lows in zip(*columns, strict=True)]
+                made = [main_text(h, t, everywhere if lows is None else frozenset(lows), names_decide) for h, t, lows in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=[*kept, "text", "n_removed"])
 
     return source.mapInArrow(run, T.StructType([source.schema[c] for c in kept] + fields))
@@ -275,4 +342,4 @@ def with_low_nodes(source: DataFrame, low: DataFrame, of: str, body: str, own: s
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
+    return extract_text(pages, names_decide=True).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
