@@ -177,38 +177,65 @@ def r6(spark, d):
     return R.retrieve(hybrid(spark, d, chunks, 2 * POOL), chunks.select("chunk_id", "parent", "scope"), F.col("scope") % 2 == 0, F.col("chunk_id") % 3 == 0, LIMIT)
 
 
-EVAL_SQL = f"""{VEC_SQL}, res AS (SELECT question, chunk_id, parent, rank FROM dense WHERE rank <= 20),
-rel AS (SELECT q.chunk_id AS question, v.chunk_id FROM v q JOIN v ON v.scope = q.scope AND v.chunk_id % 7 = 0 WHERE q.chunk_id % 100 = 0),
-m AS (SELECT question, n, count(*) FILTER (hit AND rank <= 5) AS h5, count(*) FILTER (hit AND rank <= 10) AS h10, count(*) FILTER (hit AND rank <= 20) AS h20, min(rank) FILTER (hit) AS first,
-  coalesce(sum(1 / log2(rank + 1)) FILTER (hit AND rank <= 10), 0) AS dcg, count(rank) AS returned, count(DISTINCT parent) AS parents
-  FROM (SELECT question, count(*) AS n FROM rel GROUP BY question) LEFT JOIN (SELECT res.*, rel.chunk_id IS NOT NULL AS hit FROM res LEFT JOIN rel USING (question, chunk_id)) USING (question) GROUP BY question, n),
-metrics AS (SELECT question, round(h5 / n, 6) AS recall_5, round(h10 / n, 6) AS recall_10, round(h20 / n, 6) AS recall_20, round(coalesce(1 / first, 0), 6) AS rr,
-  round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_10,
-  round(CASE WHEN returned = 0 THEN 0 ELSE (returned - parents) / returned END, 6) AS duplicate_parents, round(least(returned / 20.0::DOUBLE, 1), 6) AS fill FROM m)"""
+#: Judgments are planted within blocks of 500 vectors, so their number grows with the questions; a fifth of the questions has none, a quarter no sources.
+_MEANS = ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {c}" for c in E.MEANS)
+EVAL_SQL = f"""{VEC_SQL}, res AS (SELECT question, chunk_id, parent, chunk_id // 32 AS source, rank FROM dense WHERE rank <= 20),
+qs AS (SELECT chunk_id AS question, scope, chunk_id // 100 AS n, ['factual', 'multi_hop', 'unanswerable'][chunk_id // 100 % 3 + 1] AS category FROM v WHERE chunk_id % 100 = 0),
+rel AS (SELECT question, n, chunk_id, chunk_id // 32 AS source FROM qs JOIN v USING (scope) WHERE chunk_id // 500 = question // 500 AND chunk_id % 7 = 0 AND n % 5 <> 4),
+src AS (SELECT DISTINCT question, source FROM rel WHERE n % 4 <> 3),
+bar AS (SELECT question, question // 32 + unnest([1, 2, 3]) AS source FROM qs WHERE n % 3 = 0),
+marked AS (SELECT question, chunk_id, source, parent, rank, (question, chunk_id) IN (SELECT question, chunk_id FROM rel) AS hit, (question, source) IN (SELECT question, source FROM src) AS wanted, (question, source) IN (SELECT question, source FROM bar) AS barred FROM res),
+m AS (SELECT question, category, n_relevant, n_sources, count(*) FILTER (hit AND rank <= 5) AS h5, count(*) FILTER (hit AND rank <= 10) AS h10, count(*) FILTER (hit AND rank <= 20) AS h20, min(rank) FILTER (hit) AS first,
+  coalesce(sum(1 / log2(rank + 1)) FILTER (hit AND rank <= 10), 0) AS dcg, count(rank) AS returned, count(DISTINCT parent) AS parents, count(DISTINCT source) FILTER (wanted) AS sources, count(*) FILTER (barred) AS breaches
+  FROM qs LEFT JOIN marked USING (question) LEFT JOIN (SELECT question, count(DISTINCT chunk_id) AS n_relevant FROM rel GROUP BY question) USING (question) LEFT JOIN (SELECT question, count(*) AS n_sources FROM src GROUP BY question) USING (question) GROUP BY ALL),
+metrics AS (SELECT question, category, round(h5 / n_relevant, 6) AS recall_5, round(h10 / n_relevant, 6) AS recall_10, round(h20 / n_relevant, 6) AS recall_20, CASE WHEN n_relevant > 0 THEN round(coalesce(1 / first, 0), 6) END AS rr,
+  CASE WHEN n_relevant > 0 THEN round(dcg / list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1))), 6) END AS ndcg_10, round(sources / n_sources, 6) AS source_recall,
+  round(CASE WHEN returned = 0 THEN 0 ELSE (returned - parents) / returned END, 6) AS duplicate_parents, round(least(returned / 20.0::DOUBLE, 1), 6) AS fill, breaches > 0 AS isolation_breach,
+  list_filter([CASE WHEN returned = 0 THEN 'no_candidates' END, CASE WHEN returned > 0 AND returned < 20 THEN 'underfilled_top_k' END, CASE WHEN parents < returned THEN 'dedup_shortfall' END, CASE WHEN category <> 'unanswerable' AND n_relevant IS NULL THEN 'missing_judgment' END, CASE WHEN breaches > 0 THEN 'isolation_breach' END], lambda x: x IS NOT NULL) AS l FROM m),
+pops AS (SELECT population, count(*) AS queries, count(recall_10) AS judged_queries, {_MEANS}, count(*) FILTER (isolation_breach) AS isolation_failures FROM (SELECT *, unnest(['overall', 'category.' || category]) AS population FROM metrics) GROUP BY population)"""
 
 
 def retrieval_metrics(spark, d):
     v = vectors(spark, d)
-    relevant = v.where("chunk_id % 7 = 0").select("scope", "chunk_id").join(vector_questions(spark, d).select("question", "scope"), "scope").select("question", "chunk_id")
-    return E.question_metrics(R.select_final(dense(spark, d), 20), relevant, 20)
-
-
-@query("r25_retrieval_metrics", f"WITH {EVAL_SQL} SELECT * FROM metrics")
+    n = F.floor(F.col("question") / 100)
+    questions = vector_questions(spark, d).select("question", "scope", n.alias("n"), F.get(F.array(*map(F.lit, ("factual", "multi_hop", "unanswerable"))), (n % 3).cast("int")).alias("category"))
+    chunks = v.where("chunk_id % 7 = 0").select("scope", "chunk_id", F.floor(F.col("chunk_id") / 500).alias("block"))
+    relevant = questions.where("n % 5 <> 4").withColumn("block", F.floor(F.col("question") / 500)).join(chunks, ["scope", "block"])
+    source = lambda c: F.floor(F.col(c) / 32)
+    sources = relevant.where("n % 4 <> 3").select("question", source("chunk_id").alias("source"))
+    forbidden = questions.where("n % 3 = 0").select("question", F.explode(F.array(*(source("question") + k for k in (1, 2, 3)))).alias("source"))
+    asked = questions.select("question", "category", (F.col("category") != "unanswerable").alias("answerable"), F.lit(20).alias("requested"))
+    results = R.select_final(dense(spark, d), 20).withColumn("source", source("chunk_id"))
+    return E.evaluate(asked, results, relevant.select("question", "chunk_id"), sources, forbidden)
+
+
+@query("r25_retrieval_metrics", f"WITH {EVAL_SQL} SELECT * EXCLUDE (l), CASE WHEN len(l) = 0 THEN 'ok' ELSE array_to_string(l, ',') END AS reasons FROM metrics")
 def r25(spark, d):
     return retrieval_metrics(spark, d)
 
 
-@query("a12_mean_metrics", f"WITH {EVAL_SQL} SELECT count(*) AS queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('recall_5', 'recall_10', 'recall_20', 'rr', 'ndcg_10', 'duplicate_parents', 'fill'))} FROM metrics")
+@query("a12_mean_metrics", f"WITH {EVAL_SQL} SELECT * FROM pops")
 def a12(spark, d):
-    return E.mean_metrics(retrieval_metrics(spark, d))
-
-
-@query("r26_regression_gate", f"""WITH {EVAL_SQL}, a AS (SELECT round(avg(recall_10), 6) AS recall_10, round(avg(rr), 6) AS rr, round(avg(ndcg_10), 6) AS ndcg_10 FROM metrics),
-b AS (SELECT recall_10 + 0.01 AS recall_10, rr - 0.05 AS rr, ndcg_10 FROM a), l AS (UNPIVOT a ON recall_10, rr, ndcg_10 INTO NAME metric VALUE before), r AS (UNPIVOT b ON recall_10, rr, ndcg_10 INTO NAME metric VALUE after)
-SELECT metric, before, after, after < before - 0.02 AS regressed FROM l JOIN r USING (metric)""")
+    return E.populations(retrieval_metrics(spark, d))
+
+
+@query("r26_regression_gate", f"""WITH {EVAL_SQL},
+later AS (SELECT population, judged_queries, isolation_failures, recall_10 + CASE WHEN population = 'category.factual' THEN 0.1 ELSE 0 END AS recall_10, ndcg_10 - CASE WHEN population = 'overall' THEN 0.05 ELSE 0 END AS ndcg_10 FROM pops WHERE population <> 'category.multi_hop'),
+d AS (SELECT population, unnest([{{'m': 'recall_10', 'x': a.recall_10, 'y': b.recall_10}}, {{'m': 'ndcg_10', 'x': a.ndcg_10, 'y': b.ndcg_10}}], recursive := true) FROM pops a JOIN later b USING (population) WHERE population = 'overall' OR a.judged_queries > 0 OR b.judged_queries > 0)
+SELECT 'incomparable' AS kind, 'requested_limit' AS metric, NULL::DOUBLE AS previous, NULL::DOUBLE AS current, NULL::DOUBLE AS delta, true AS blocking
+UNION ALL SELECT 'missing_metric', population, NULL, NULL, NULL, true FROM pops WHERE population = 'category.multi_hop'
+UNION ALL SELECT CASE WHEN y < x THEN 'regression' ELSE 'improvement' END, population || '.' || m, x, y, round(y - x, 6), y < x FROM d WHERE abs(round(y - x, 6)) > {E.TOLERANCE}
+UNION ALL SELECT 'isolation_failure', population, NULL, isolation_failures, NULL, true FROM later WHERE isolation_failures > 0
+UNION ALL SELECT 'unmet_target', 'overall.recall_10', {E.TARGETS['recall_10']}, recall_10, round(recall_10 - {E.TARGETS['recall_10']}, 6), false FROM later WHERE population = 'overall' AND recall_10 < {E.TARGETS['recall_10']}
+UNION ALL SELECT 'unmet_target', 'overall.ndcg_10', {E.TARGETS['ndcg_10']}, ndcg_10, round(ndcg_10 - {E.TARGETS['ndcg_10']}, 6), false FROM later WHERE population = 'overall' AND ndcg_10 < {E.TARGETS['ndcg_10']}""")
 def r26(spark, d):
-    now = E.mean_metrics(retrieval_metrics(spark, d)).select("recall_10", "rr", "ndcg_10")
-    return E.regressions(now, now.select((F.col("recall_10") + 0.01).alias("recall_10"), (F.col("rr") - 0.05).alias("rr"), "ndcg_10"))
+    """The run against itself with planted changes: a fall, a rise, a population that is gone and another limit."""
+    now = stored(E.populations(retrieval_metrics(spark, d)))
+    change = lambda c, by, name: (F.col(c) + F.when(F.col("population") == name, by).otherwise(0.0)).alias(c)
+    later = now.where("population <> 'category.multi_hop'").withColumns({"recall_10": change("recall_10", 0.1, "category.factual"), "ndcg_10": change("ndcg_10", -0.05, "overall")})
+    size = vectors(spark, d).agg(F.count("*").cast("string").alias("size"))
+    settings = lambda limit: size.select(F.inline(F.array(F.struct(F.lit("corpus_size").alias("field"), F.col("size").alias("value")), F.struct(F.lit("requested_limit").alias("field"), F.lit(limit).alias("value")))))
+    return E.compare(now, later, settings("20"), settings("10"))
 
 
 @query("r8_sufficiency", f"WITH {VEC_SQL} SELECT question, CASE WHEN count(*) FILTER (score > 0.3) = 0 THEN 'no_candidates' WHEN least(count(*) FILTER (score > 0.3), 3) < 5 AND count(*) FILTER (score > 0.3) > 3 THEN 'underfilled' ELSE 'sufficient' END AS verdict FROM dense GROUP BY question")
