@@ -76,6 +76,16 @@ def _one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def coded_words(data: bytes, part: int = 1 << 20) -> pa.DictionaryArray:
+    """The words and line ends of a block as numbers of distinct ones; only ``part`` bytes and the line they end in are Python objects at a time."""
+    found, start = [], 0
+    while start < len(data):
+        end = data.find(b"\n", start + part) + 1 or len(data)
+        found.append(pa.array(TOKEN.findall(data, start, end), pa.binary()))
+        start = end
+    return pa.chunked_array(found, pa.binary()).dictionary_encode().unify_dictionaries().combine_chunks()
+
+
 def _word_lists(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("deltas", pa.list_(pa.int32()))])
     block = TaskContext.get().partitionId() << 32
@@ -83,7 +93,7 @@ def _word_lists(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator
 
     def flush(lang: str, data: bytes) -> Iterator[pa.RecordBatch]:
         nonlocal block
-        coded = pa.array(TOKEN.findall(data), pa.binary()).dictionary_encode()
+        coded = coded_words(data)
         codes, words = coded.indices.to_numpy(), coded.dictionary
         gap = words.index(pa.scalar(b"\n", pa.binary())).as_py()
         order = np.argsort(codes, kind="stable")
