@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from docloom.plans import context_queries, document_queries, evidence_queries, grounding_queries, log_queries, registry, relational_queries, retrieval_queries, routing_queries, text_queries, value_queries  # noqa: F401
+from docloom.plans import context_queries, document_queries, evidence_queries, grounding_queries, log_queries, registry, relational_queries, retrieval_queries, routing_queries, text_queries, transcript_queries, value_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
