@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -195,30 +196,43 @@ def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, stored: Ca
     A phrase has lang, id, f, its words' ids, heads (frequencies of its first
     1, 2, ... words) and tails (of its last 1, 2, ...); single words have their
     word, longer phrases the ids prefix and suffix of what they are without
-    their last and first word.
+    their last and first word. Lists and keys are tables of their own, which go
+    as soon as those of the next level are written; what is returned is ``stored``.
     """
-    blocks = stored(word_lists(docs, block_bytes))
-    words = frequent_keys(blocks.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("lang", "block", "i", F.col("x.words").alias("word"), F.col("x.counts").alias("n")), ["lang", "word"], min_count)
-    found = stored(words)
-    none = F.array().cast("array<bigint>")
-    levels = [stored(found.where("once").select("lang", "id", "f", F.col("word").cast("string").alias("word"), F.array("id").alias("ids"), none.alias("heads"), none.alias("tails")))]
-    lists = stored(by_block(blocks.select("block", "counts", "deltas"), found))
-    for length in range(2, max_words + 1):
-        keys = lists.mapInArrow(_keys, KEYS)
-        if length < max_words:
-            found = stored(frequent_keys(keys, ["prefix", "suffix"], min_count))
-            lists = stored(by_block(lists, found))
-            phrases = found.where("once").select("prefix", "suffix", "id", "f")
-        else:
-            counted = keys.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-            phrases = stored(counted.withColumn("id", F.monotonically_increasing_id()))
-        part = levels[-1].select("id", "f", "ids", "heads", "tails")
-        head = part.select(F.col("id").alias("prefix"), F.col("ids").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
-        tail = part.select(F.col("id").alias("suffix"), F.element_at("ids", -1).alias("last"), F.concat("tails", F.array("f")).alias("tails"))
-        lang = levels[-1].select(F.col("id").alias("suffix"), "lang")
-        joined = lookup(lookup(phrases, stored(head), ["prefix"]), stored(tail.join(lang, "suffix")), ["suffix"])
-        levels.append(stored(joined.select("lang", "id", "f", "prefix", "suffix", F.concat("first", F.array("last")).alias("ids"), "heads", "tails")))
-    return levels, stored(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
+    with ExitStack() as every:
+
+        def tables() -> tuple[ExitStack, Callable[[DataFrame], DataFrame]]:
+            own = every.enter_context(ExitStack())
+            return own, own.enter_context(scratch(docs.sparkSession))
+
+        past, kept = tables()
+        blocks = kept(word_lists(docs, block_bytes))
+        sizes = stored(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
+        words = frequent_keys(blocks.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("lang", "block", "i", F.col("x.words").alias("word"), F.col("x.counts").alias("n")), ["lang", "word"], min_count)
+        found = kept(words)
+        none = F.array().cast("array<bigint>")
+        levels = [stored(found.where("once").select("lang", "id", "f", F.col("word").cast("string").alias("word"), F.array("id").alias("ids"), none.alias("heads"), none.alias("tails")))]
+        now, kept = tables()
+        lists = kept(by_block(blocks.select("block", "counts", "deltas"), found))
+        past.close()
+        for length in range(2, max_words + 1):
+            past, (now, kept) = now, tables()
+            keys = lists.mapInArrow(_keys, KEYS)
+            if length < max_words:
+                found = kept(frequent_keys(keys, ["prefix", "suffix"], min_count))
+                lists = kept(by_block(lists, found))
+                phrases = found.where("once").select("prefix", "suffix", "id", "f")
+            else:
+                counted = keys.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+                phrases = stored(counted.withColumn("id", F.monotonically_increasing_id()))
+            past.close()
+            part = levels[-1].select("id", "f", "ids", "heads", "tails")
+            head = part.select(F.col("id").alias("prefix"), F.col("ids").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
+            tail = part.select(F.col("id").alias("suffix"), F.element_at("ids", -1).alias("last"), F.concat("tails", F.array("f")).alias("tails"))
+            lang = levels[-1].select(F.col("id").alias("suffix"), "lang")
+            joined = lookup(lookup(phrases, stored(head), ["prefix"]), stored(tail.join(lang, "suffix")), ["suffix"])
+            levels.append(stored(joined.select("lang", "id", "f", "prefix", "suffix", F.concat("first", F.array("last")).alias("ids"), "heads", "tails")))
+        return levels, sizes
 
 
 def with_score(phrases: DataFrame) -> DataFrame:
