@@ -230,7 +230,7 @@ def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, stored: Ca
             head = part.select(F.col("id").alias("prefix"), F.col("ids").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
             tail = part.select(F.col("id").alias("suffix"), F.element_at("ids", -1).alias("last"), F.concat("tails", F.array("f")).alias("tails"))
             lang = levels[-1].select(F.col("id").alias("suffix"), "lang")
-            joined = lookup(lookup(phrases, stored(head), ["prefix"]), stored(tail.join(lang, "suffix")), ["suffix"])
+            joined = lookup(lookup(phrases, stored(head), ["prefix"]), stored(tail.join(lang.hint("merge"), "suffix")), ["suffix"])
             levels.append(stored(joined.select("lang", "id", "f", "prefix", "suffix", F.concat("first", F.array("last")).alias("ids"), "heads", "tails")))
         return levels, sizes
 
@@ -250,7 +250,7 @@ def not_absorbed(phrases: DataFrame, longer: DataFrame | None, share: int) -> Da
     if longer is None:
         return phrases
     inside = longer.select(F.explode(F.array("prefix", "suffix")).alias("id"), F.col("f").alias("longest")).groupBy("id").agg(F.max("longest").alias("longest"))
-    return phrases.join(inside, "id", "left").where(F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("f"))).drop("longest")
+    return phrases.join(inside.hint("merge"), "id", "left").where(F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("f"))).drop("longest")
 
 
 def mine_collocations(docs: DataFrame, top: int = TOP_PHRASES, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, share: int = ABSORBED, block_bytes: int = BLOCK_BYTES) -> DataFrame:

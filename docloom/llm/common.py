@@ -121,11 +121,12 @@ def lookup(facts: DataFrame, dims: DataFrame, on: list[str], how: str = "inner",
 
     ``dims`` is counted first: up to SMALL_ROWS rows are broadcast. Beyond that
     every key is split into ``salts`` parts by a hash of the fact row, so one
-    key with a third of all rows is dealt to that many tasks.
+    key with a third of all rows is dealt to that many tasks. These are merged:
+    Spark judges ``dims`` by its file and would broadcast all parts of every key.
     """
     if dims.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         return facts.join(F.broadcast(dims), on, how)
     salt = unused("salt")
     dealt = facts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int"))
     parts = dims.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(parts, [*on, salt], how).drop(salt)
+    return dealt.join(parts.hint("merge"), [*on, salt], how).drop(salt)

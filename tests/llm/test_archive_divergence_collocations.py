@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Row, functions as F
 
 from docloom.llm import collocations, divergence, warc_archive
-from docloom.llm.common import scratch, shared_dir
+from docloom.llm.common import SMALL_ROWS, lookup, scratch, shared_dir
 
 PAGE = "page_id bigint, url string, html string"
 BODY = "<html><body>" + "one page that many urls serve " * 8 + "</body></html>"
@@ -145,3 +145,12 @@ def test_longer_collocations_against_counting(spark):
 
 def test_collocations_of_nothing(spark):
     assert collocations.mine_collocations(spark.createDataFrame([], DOC)).collect() == []
+
+
+def test_lookup_of_a_large_table_broadcasts_nothing(spark):
+    facts = spark.range(50).withColumnRenamed("id", "key")
+    with scratch(spark) as stored:
+        dims = stored(spark.range(SMALL_ROWS + 1).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value")))
+        found = lookup(facts, dims, ["key"])
+        assert sorted(map(tuple, found.collect())) == [(i, 2 * i) for i in range(50)]
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
