@@ -56,11 +56,8 @@ def routed_search(chunks: DataFrame, routed: DataFrame, pool: int) -> tuple[Data
     modes = routed.where("mode IS NOT NULL").select("question", "mode", F.coalesce("min_relevance", F.lit(0.0)).alias("least"))
     near_asked = routed.where("mode IN ('dense', 'hybrid') AND embedding IS NOT NULL")
     said_asked = routed.where("mode IN ('lexical', 'hybrid') AND lexical_ok AND size(tokens) > 0")
-    strict = said_asked.where("mode = 'lexical'")
     near = stored(R.dense_topk(chunks.where("embedding IS NOT NULL"), near_asked, pool))
-    scored = R.bm25(chunks, said_asked).join(modes.select("question", "mode"), "question")
-    whole = R.all_terms(chunks, strict).withColumn("whole", F.lit(True))
-    said = stored(R.top(scored.join(whole, ["question", "chunk_id"], "left").where("mode = 'hybrid' OR whole").select("question", "chunk_id", "score"), pool))
+    said = stored(R.lexical_topk(chunks, said_asked.withColumn("strict", F.col("mode") == "lexical"), pool))
     of = lambda ranked, mode: ranked.join(modes.where(F.col("mode") == mode).select("question"), "question", "left_semi")
     fused = R.fuse(of(near, "hybrid"), of(said, "hybrid"), 2 * pool)
     named = lambda rows, mode: rows.select("question", "chunk_id", "score", "rank", F.lit(DOMAINS[mode]).alias("domain"))

@@ -76,8 +76,8 @@ def corrective(spark, d):
     corpus = chunks.groupBy("scope").agg(F.count("*").alias("held"))
 
     def search(questions):
-        found = R.bm25(chunks, questions).join(R.all_terms(chunks, questions), ["question", "chunk_id"], "left_semi")
-        return R.top(found, LIMIT).withColumn("parent", F.floor(F.col("chunk_id") / 4))
+        found = R.lexical_topk(chunks, questions.withColumn("strict", F.lit(True)), LIMIT)
+        return found.withColumn("parent", F.floor(F.col("chunk_id") / 4))
 
     return C.corrective_retrieval(first, rewritten, corpus, search, LIMIT, ENOUGH)
 

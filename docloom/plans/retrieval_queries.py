@@ -80,7 +80,7 @@ def k4(spark, d):
 
 @query("m5_bm25", f"WITH {LEX_SQL} SELECT question, chunk_id, score FROM bm QUALIFY {RANK} <= {LIMIT}")
 def m5(spark, d):
-    return R.top(R.bm25(text_chunks(spark, d), text_questions(spark, d)), LIMIT).select("question", "chunk_id", "score")
+    return R.lexical_topk(text_chunks(spark, d), text_questions(spark, d), LIMIT).select("question", "chunk_id", "score")
 
 
 @query("a9_document_frequency", f"WITH {LEX_SQL} SELECT term, df, n, round(mean, 6) AS mean FROM df, st")
@@ -141,8 +141,7 @@ def r3(spark, d):
 
 @query("r2_lexical_search", f"WITH {SNAP_SQL} SELECT question, chunk_id, score, CAST({RANK} AS INT) AS rank FROM bm WHERE (question, chunk_id) IN (SELECT question, chunk_id FROM (SELECT DISTINCT question, scope, term FROM terms) JOIN hits USING (term, scope) JOIN (SELECT question, count(*) AS need FROM terms GROUP BY question) USING (question) GROUP BY question, chunk_id, need HAVING count(*) = need) QUALIFY rank <= {LIMIT}")
 def r2(spark, d):
-    chunks, questions = snapshot(spark, d), snapshot_questions(spark, d)
-    return R.top(R.bm25(chunks, questions).join(R.all_terms(chunks, questions), ["question", "chunk_id"], "left_semi"), LIMIT).select("question", "chunk_id", "score", "rank")
+    return R.lexical_topk(snapshot(spark, d), snapshot_questions(spark, d).withColumn("strict", F.lit(True)), LIMIT).select("question", "chunk_id", "score", "rank")
 
 
 #: Places of the words of each question in each chunk that has them all, then the earliest of the words' last places at each place.
