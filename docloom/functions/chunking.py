@@ -17,10 +17,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from docloom.functions.batches import portions
 from docloom.functions.layout import span_pages
 
 PARENT_SIZES = {"markdown": 2048, "docx": 2048, "epub": 2048, "youtube": 2048}
 PARENT_DEFAULT, CHILD, OVERLAP = 1024, 256, 25
+#: Bytes of text that a task cuts at once: its chunks are Python objects of many times that.
+TEXT_BYTES = 1 << 20
 #: Source types that hold Markdown.
 MARKDOWN_TYPES = ("markdown", "docx", "epub", "youtube")
 LEVELS = [re.compile(r"\n[ \t]*\n\s*"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+")]
@@ -135,8 +138,9 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [chunk_rows(body, parent_size) for body in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(rows, CHUNK_ARROW)], names=["key", "chunks"])
+            for part in portions(batch, "text", TEXT_BYTES):
+                rows = [chunk_rows(body, parent_size) for body in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(rows, CHUNK_ARROW)], names=["key", "chunks"])
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     made = source.mapInArrow(run, T.StructType([source.schema["key"], T.StructField("chunks", T.ArrayType(CHUNK))]))
@@ -153,10 +157,11 @@ def chunk_sources(layouts: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True)
-            rows = [chunk_rows(body, PARENT_SIZES.get(kind, PARENT_DEFAULT), kind in MARKDOWN_TYPES) for body, kind in pairs]
-            kept = [batch.column(c) for c in ("key", "kind", "paginated", "page_starts")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, CHUNK_ARROW)], names=["key", "kind", "paginated", "page_starts", "chunks"])
+            for part in portions(batch, "text", TEXT_BYTES):
+                pairs = zip(part.column("text").to_pylist(), part.column("kind").to_pylist(), strict=True)
+                rows = [chunk_rows(body, PARENT_SIZES.get(kind, PARENT_DEFAULT), kind in MARKDOWN_TYPES) for body, kind in pairs]
+                kept = [part.column(c) for c in ("key", "kind", "paginated", "page_starts")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, CHUNK_ARROW)], names=["key", "kind", "paginated", "page_starts", "chunks"])
 
     source = layouts.select(F.col(key).alias("key"), "kind", "paginated", "page_starts", "text")
     made = source.mapInArrow(run, T.StructType([*source.schema.fields[:4], T.StructField("chunks", T.ArrayType(CHUNK))]))

@@ -3,10 +3,12 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions.batches import portions
 from docloom.functions import chunking as CH, citations as CI, claims as CL, text as X
 from docloom.operators import ann, retrieval as R
 from docloom.plans import document_queries, registry  # noqa: F401
@@ -100,3 +102,14 @@ def test_transcripts_hold_whole_turns(spark):
     made = {r["conv_id"]: r["markdown"] for r in QUERIES["s12_transcript_sections"](spark, sf).collect()}
     turns = spark.read.parquet(f"{sf}/conversations.parquet").where("text IS NOT NULL").collect()
     assert all(r["text"] in made[r["conv_id"]] for r in turns if made[r["conv_id"]] is not None)
+
+
+def test_texts_are_cut_in_portions_of_a_bounded_size(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(["one two. " * 100] * 399 + ["x" * 50_000])], names=["key", "text"])
+    parts = list(portions(batch, "text", 20_000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert all(p.column("text").nbytes <= 25_000 or p.num_rows == 1 for p in parts[:-1]) and len(parts) > 20
+    docs = spark.createDataFrame([(i, f"{i} some words. " * 200) for i in range(600)], "doc_id bigint, text string").coalesce(1)
+    one = {(r.doc_id, r.chunk_index, r.content) for r in CH.chunk_documents(docs.where("doc_id < 3")).collect()}
+    assert one == {(r.doc_id, r.chunk_index, r.content) for r in CH.chunk_documents(docs).where("doc_id < 3").collect()}
+    assert CH.chunk_documents(docs).select("doc_id").distinct().count() == 600
