@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docloom.operators.retrieval import cosine, dense_topk, top, unit
+from docloom.operators.retrieval import DENSE_CELLS, MAX_STEP, cosine, dense_topk, top, unit
 from docloom.operators.stored import stored
 
 #: Bits of one dimension in a code, and candidates whose vectors the first round reads, as a multiple of k.
@@ -57,22 +57,23 @@ def candidates(codes: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, scopes, matrix = shared.value
-        lows = {q: np.empty(0) for rows in scopes.values() for q in rows}
-        for batch in batches:
-            ids, where = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "scope"))
-            packed = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            steps = np.stack([packed >> 4, packed & 15], axis=2).reshape(batch.num_rows, -1)[:, : matrix.shape[1]].astype(np.float64) - levels
-            scale, error = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("scale", "error"))
-            for scope, asked in scopes.items():
-                own = np.nonzero(where == scope)[0]
-                if not len(own):
-                    continue
-                about = (steps[own] @ matrix[asked].T) * scale[own, None]
-                for j, q in enumerate(asked):
-                    low, high = about[:, j] - error[own] - SLACK, about[:, j] + error[own] + SLACK
-                    lows[q] = -np.sort(-np.concatenate([lows[q], low]))[:k]
-                    near = np.nonzero(high >= lows[q][-1])[0] if len(lows[q]) == k else np.arange(len(own))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), names[q])), pa.array(ids[own[near]]), pa.array(low[near]), pa.array(high[near])], names=["question", "chunk_id", "lower", "upper"])
+        lows = {scope: np.full((k, len(asked)), -np.inf) for scope, asked in scopes.items()}
+        step = max(1, min(MAX_STEP, DENSE_CELLS // max(len(names), 1)))
+        for whole in batches:
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                ids, where = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "scope"))
+                packed = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                steps = np.stack([packed >> 4, packed & 15], axis=2).reshape(batch.num_rows, -1)[:, : matrix.shape[1]].astype(np.float64) - levels
+                scale, error = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("scale", "error"))
+                for scope, asked in scopes.items():
+                    own = np.nonzero(where == scope)[0]
+                    if not len(own):
+                        continue
+                    about = (steps[own] @ matrix[asked].T) * scale[own, None]
+                    low, high = about - error[own, None] - SLACK, about + error[own, None] + SLACK
+                    lows[scope] = np.partition(np.concatenate([lows[scope], low]), -k, axis=0)[-k:]
+                    i, q = np.nonzero(high >= lows[scope][0])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[asked[q]]), pa.array(ids[own[i]]), pa.array(low[i, q]), pa.array(high[i, q])], names=["question", "chunk_id", "lower", "upper"])
 
     found = codes.mapInArrow(run, "question bigint, chunk_id bigint, lower double, upper double")
     kth = Window.partitionBy("question").orderBy(F.desc("lower"), "chunk_id")
