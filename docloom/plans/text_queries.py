@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import cleaning as CL, text as X
-from docloom.operators.stored import join_small, stored
+from docloom.operators.topics import shared_words
 from docloom.plans.registry import query, table
 
 
@@ -97,16 +97,12 @@ SELECT doc_id, count(DISTINCT item_id) FILTER (len(list_filter(words, lambda w:
 def c17_topic_overlap(spark, sf_dir):
     """With how many benchmark items each document shares a topic: a word of nine bytes or more that its text holds.
 
-    The items are the questions asked; each of their distinct words is looked
-    for once in a document, then words are joined with the items that have them.
+    The items are the questions asked.
     """
-    long_words = F.filter(F.array_distinct(X.word_tokens(F.col("text"))), lambda t: F.octet_length(t) >= 9)
-    asked = stored(table(spark, sf_dir, "benchmark").select("item_id", F.explode(long_words).alias("word")).distinct())
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    words = asked.select("word").distinct().withColumn("block", F.pmod(F.xxhash64("word"), F.lit(16))).groupBy("block").agg(F.collect_list("word").alias("words"))
-    held = docs.join(F.broadcast(words)).select("doc_id", F.explode(F.filter("words", lambda w: F.contains("low", w))).alias("word"))  # the words of the stated questions, in 16 rows
-    found = join_small(held, asked, ["word"], "doc_id").groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("items", F.lit(0)).alias("items"))
+    long_words = lambda text: F.filter(F.array_distinct(X.word_tokens(text)), lambda t: F.octet_length(t) >= 9)
+    items = table(spark, sf_dir, "benchmark").select("item_id", long_words(F.col("text")).alias("words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", long_words(F.col("text")).alias("words"))
+    return shared_words(docs, items)
 
 
 @query("c24_contextualized", "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || chr(10) || text ELSE text END) AS h FROM documents")
