@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from docloom.functions.claims import CODE
+from docloom.functions.claims import CODE, let
 
 
 def markers(answer: Column, chunks: Column) -> Column:
@@ -30,14 +30,23 @@ MARK = r"\[(\d{1,18})\]"
 
 def abstains(answer: Column) -> Column:
     """Whether an answer holds one of the documented sentences, in any case."""
-    low = F.lower(answer)
-    return F.coalesce(F.exists(F.array(*map(F.lit, (s.lower() for s in ABSTENTIONS))), lambda s: F.contains(low, s)), F.lit(False))
+    found = let(F.lower(answer), lambda low: F.exists(F.array(*map(F.lit, (s.lower() for s in ABSTENTIONS))), lambda s: F.contains(low, s)))
+    return F.coalesce(found, F.lit(False))
+
+
+def _unfinished(prefix: Column) -> Column:
+    """What follows the last line end, ! or ?, or full stop that is no decimal point."""
+    return F.regexp_extract(prefix, r"(?s)^(?:.*(?:[\n!?]|(?<![0-9])\.|\.(?![0-9])))?(.*)$", 1)
+
+
+def _bare(claim: Column) -> Column:
+    """Without list marks and outer blanks."""
+    return F.regexp_replace(F.regexp_replace(claim, r"^\s*(?:[-*] )?\s*[:;]*\s*", ""), r"\s+$", "")
 
 
 def preceding_claim(prefix: Column) -> Column:
     """What follows the last line end, ! or ?, or full stop that is no decimal point; without list marks and outer blanks."""
-    claim = F.regexp_extract(prefix, r"(?s)^(?:.*(?:[\n!?]|(?<![0-9])\.|\.(?![0-9])))?(.*)$", 1)
-    return F.regexp_replace(F.regexp_replace(claim, r"^\s*(?:[-*] )?\s*[:;]*\s*", ""), r"\s+$", "")
+    return _bare(_unfinished(prefix))
 
 
 def hide_code(answer: Column) -> Column:
@@ -48,13 +57,19 @@ def hide_code(answer: Column) -> Column:
 
 
 def located_markers(answer: Column) -> Column:
-    """array<struct<n, claim>>: the markers outside of code in their order, each with the claim before it."""
-    shown = hide_code(answer)
-    pieces, numbers_ = F.split(shown, MARK), F.regexp_extract_all(shown, F.lit(MARK), 1)
-    before = lambda i: F.concat(
-        F.array_join(F.zip_with(F.slice(pieces, 1, i), F.slice(numbers_, 1, i), lambda p, n: F.concat(p, F.lit("["), n, F.lit("]"))), ""), F.element_at(pieces, i + 1)
-    )
-    return F.transform(numbers_, lambda n, i: F.struct(n.cast("bigint").alias("n"), preceding_claim(before(i)).alias("claim")))
+    """array<struct<n, claim>>: the markers outside of code in their order, each with the claim before it.
+
+    One pass over the pieces between markers: only what is unfinished at one
+    marker can be part of the claim of the next.
+    """
+
+    def located(parts: Column) -> Column:
+        pieces, numbers = parts["pieces"], parts["numbers"]
+        added = F.transform(numbers, lambda _, i: F.when(i == 0, pieces[0]).otherwise(F.concat(F.lit("["), F.get(numbers, i - 1), F.lit("]"), F.get(pieces, i))))
+        open_ = F.aggregate(added, F.array().cast("array<string>"), lambda seen, x: F.array_append(seen, _unfinished(F.concat(F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit("")), x))))
+        return F.zip_with(numbers, open_, lambda n, x: F.struct(n.cast("bigint").alias("n"), _bare(x).alias("claim")))
+
+    return let(let(hide_code(answer), lambda shown: F.struct(F.split(shown, MARK).alias("pieces"), F.regexp_extract_all(shown, F.lit(MARK), 1).alias("numbers"))), located)
 
 
 def marker_places(answer: Column) -> Column:

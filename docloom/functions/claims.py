@@ -41,7 +41,7 @@ STOP_WORDS = (
 POLARITY = ["no", "not", "never", "without", "aucun", "jamais", "pas", "sans"]
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once."""
     return F.transform(F.array(value), use)[0]
 
@@ -56,12 +56,12 @@ def _canonical(run: Column) -> Column:
     negative = F.startswith(run, F.lit("-"))
 
     def whole(digits: Column) -> Column:
-        return _let(zeros(digits), lambda d: F.when(d == "", "0").otherwise(F.concat(F.when(negative, "-").otherwise(""), d)))
+        return let(zeros(digits), lambda d: F.when(d == "", "0").otherwise(F.concat(F.when(negative, "-").otherwise(""), d)))
 
     def decimal(digits: Column, fraction: Column) -> Column:
         sign = F.when(negative, "-").otherwise("")
-        left = _let(zeros(digits), lambda d: F.when(d == "", "0").otherwise(d))
-        return _let(F.regexp_replace(fraction, "0+$", ""), lambda f: F.when(f == "", whole(digits)).otherwise(F.concat(sign, left, F.lit("."), f)))
+        left = let(zeros(digits), lambda d: F.when(d == "", "0").otherwise(d))
+        return let(F.regexp_replace(fraction, "0+$", ""), lambda f: F.when(f == "", whole(digits)).otherwise(F.concat(sign, left, F.lit("."), f)))
 
     def read(parts: Column) -> Column:
         groups, marks = parts["groups"], parts["marks"]
@@ -81,7 +81,7 @@ def _canonical(run: Column) -> Column:
         )
 
     unsigned = F.regexp_replace(F.regexp_replace(run, "^[-+]", ""), "^(?=[.,])", "0")
-    return _let(_let(unsigned, lambda u: F.struct(u.alias("text"), F.split(u, f"[{SEPARATORS}]").alias("groups"), F.regexp_extract_all(u, F.lit(f"[{SEPARATORS}]"), 0).alias("marks"))), read)
+    return let(let(unsigned, lambda u: F.struct(u.alias("text"), F.split(u, f"[{SEPARATORS}]").alias("groups"), F.regexp_extract_all(u, F.lit(f"[{SEPARATORS}]"), 0).alias("marks"))), read)
 
 
 def literal_numbers(text: Column) -> Column:
@@ -123,7 +123,8 @@ def word_numbers(tokens: Column) -> Column:
         pairs = F.transform(w, lambda t, i: F.struct(t.alias("t"), F.get(w, i + 1).alias("next")))
         return F.aggregate(pairs, state(zero, zero, False, F.array().cast("array<string>")), step, lambda s: F.when(s["saw"], closed(s)).otherwise(s["out"]))
 
-    return F.filter(_let(tokens, fold), lambda v: v.isNotNull())
+    none = ~F.arrays_overlap(tokens, F.array(*map(F.lit, [*ATOMS, *FACTORS, *SCALES])))
+    return F.when(none, F.array().cast("array<string>")).otherwise(F.filter(let(tokens, fold), lambda v: v.isNotNull()))
 
 
 def number_values(text: Column) -> Column:
@@ -131,23 +132,32 @@ def number_values(text: Column) -> Column:
     return F.concat(literal_numbers(text), word_numbers(word_tokens(text)))
 
 
-def meaningful_tokens(text: Column) -> Column:
-    """Lower-cased words of two bytes or more that are neither stop words nor part of a number, with repeats."""
-    skipped = F.array(*map(F.lit, [*STOP_WORDS, *LINKS, *ATOMS, *FACTORS, *SCALES]))
-    return F.filter(word_tokens(text), lambda t: (F.octet_length(t) >= 2) & ~t.rlike("[0-9]") & ~F.array_contains(skipped, t))
+def meaningful(tokens: Column) -> Column:
+    """Those of lower-cased words that have two bytes or more and are neither stop words nor part of a number, with repeats."""
+    return F.filter(tokens, lambda t: (F.octet_length(t) >= 2) & ~t.isin(*STOP_WORDS, *LINKS, *ATOMS, *FACTORS, *SCALES) & ~t.rlike("[0-9]"))
 
 
-def supported(claim: Column, evidence: Column) -> Column:
-    """Whether evidence holds all numbers and all polarity words of a claim, and two thirds of its meaningful words; false without any."""
-    words, base = meaningful_tokens(claim), meaningful_tokens(evidence)
+def statement(text: Column) -> Column:
+    """struct<words, numbers>: what ``holds`` compares of a claim and its evidence; both null for a null text."""
+    return let(word_tokens(text), lambda t: F.struct(meaningful(t).alias("words"), F.concat(literal_numbers(text), word_numbers(t)).alias("numbers")))
+
+
+def holds(claim: Column, evidence: Column) -> Column:
+    """``supported`` for two statements, so that the evidence of many claims is read once."""
 
     def judged(both: Column) -> Column:
-        w, b = both["w"], both["b"]
+        w, b = both["claim"]["words"], both["words"]
         shared = F.size(F.filter(w, lambda t: F.array_contains(b, t)))
         turning = F.filter(w, lambda t: t.isin(*POLARITY))
-        return (F.size(w) > 0) & F.forall(turning, lambda t: F.array_contains(b, t)) & (3 * shared >= 2 * F.size(w))
+        numbers = F.size(F.array_except(both["claim"]["numbers"], both["numbers"])) == 0
+        return numbers & (F.size(w) > 0) & F.forall(turning, lambda t: F.array_contains(b, t)) & (3 * shared >= 2 * F.size(w))
 
-    return (F.size(F.array_except(number_values(claim), number_values(evidence))) == 0) & _let(F.struct(words.alias("w"), base.alias("b")), judged)
+    return let(F.struct(claim.alias("claim"), evidence["words"].alias("words"), evidence["numbers"].alias("numbers")), judged)
+
+
+def supported(claim: Column, evidence: Column) -> Column:
+    """Whether evidence holds all numbers and all polarity words of a claim, and two thirds of its meaningful words; false without any."""
+    return let(statement(evidence), lambda base: holds(statement(claim), base))
 
 
 def code_ranges(text: Column) -> Column:
@@ -159,7 +169,7 @@ def code_ranges(text: Column) -> Column:
         place = lambda s, x: F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("stop"))
         return F.aggregate(pairs, none, lambda s, x: F.struct((s["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(s["found"], place(s, x)).alias("found")), lambda s: s["found"])
 
-    return _let(F.struct(F.split(text, CODE).alias("outside"), F.regexp_extract_all(text, F.lit(CODE), 0).alias("code")), ranges)
+    return let(F.struct(F.split(text, CODE).alias("outside"), F.regexp_extract_all(text, F.lit(CODE), 0).alias("code")), ranges)
 
 
 def owns_chunk(chunk: Column, position: Column, start: Column, end: Column, page: Column, last_page: Column, content: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docloom.functions import citations as C
-from docloom.functions.claims import code_ranges, supported
+from docloom.functions.claims import code_ranges, holds, let, statement, supported
 from docloom.functions.text import strip, xml_escape
 
 
@@ -21,15 +21,17 @@ def verify_citations(answers: DataFrame, context: DataFrame, active: DataFrame)
     has no row; a null answer counts as empty.
     """
     found = answers.select("answer_id", F.posexplode(C.located_markers(F.coalesce("answer", F.lit("")))).alias("pos", "mark")).select("answer_id", "pos", "mark.*")
-    held = found.join(context, ["answer_id", "n"], "left").join(active, "source_id", "left")
+    marks = found.groupBy("answer_id", "n").agg(F.collect_list(F.struct("pos", "claim")).alias("marks"))  # of one answer
     broken = (
         F.when(F.col("source_id").isNull(), "missing_chunk")
         .when(F.col("generation_id").isNull(), "no_generation")
         .when(~F.col("generation_id").eqNullSafe(F.col("active_generation_id")), "stale")
         .when(~F.coalesce("owned", F.lit(False)), "unowned")
-        .when(~F.coalesce(supported(F.col("claim"), F.col("content")), F.lit(False)), "unsupported")
     )
-    judged = held.withColumn("broken", broken)
+    held = marks.join(context.join(active, "source_id", "left"), ["answer_id", "n"], "left").withColumn("broken", broken)
+    unsupported = lambda m, base: F.when(~F.coalesce(holds(statement(m["claim"]), base), F.lit(False)), "unsupported")
+    reasons = let(F.when(F.col("broken").isNull(), statement(F.col("content"))), lambda base: F.transform("marks", lambda m: F.struct(m["pos"].alias("pos"), F.coalesce("broken", unsupported(m, base)).alias("broken"))))
+    judged = held.select("answer_id", "n", F.inline(reasons))
     earlier = Window.partitionBy("answer_id", "n", F.col("broken").isNull()).orderBy("pos")
     kept = F.when(F.row_number().over(earlier) > 1, "duplicate").otherwise("cited")
     return judged.select("answer_id", "pos", "n", F.coalesce("broken", kept).alias("reason"))
