@@ -116,10 +116,16 @@ found AS (SELECT question, chunk_id, score, CAST({RANK} AS INT) AS rank FROM fus
 
 
 def snapshot(spark, d):
-    """All documents as chunks, stored once as both rankings and what follows them read it."""
+    """All documents as chunks without their texts, stored once as the vector ranking and what follows both rankings read it."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("bigint").alias("label"), "embedding")
-    docs = table(spark, d, "documents").select("doc_id", X.lexical_tokens(F.col("text")).alias("tokens"))
-    return stored(docs.join(v, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), (F.coalesce("label", "doc_id") % 3).alias("scope"), F.floor(F.col("doc_id") / 4).alias("parent"), "embedding", "tokens"))
+    docs = table(spark, d, "documents").select("doc_id").join(v.hint("merge"), "doc_id", "left")
+    return stored(docs.select(F.col("doc_id").alias("chunk_id"), (F.coalesce("label", "doc_id") % 3).alias("scope"), F.floor(F.col("doc_id") / 4).alias("parent"), "embedding"))
+
+
+def snapshot_scopes(spark, d):
+    """Adds the scopes of ``snapshot`` to rows of chunks, one row for each vector of equal id there too."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("bigint").alias("label"))
+    return lambda rows: rows.join(v.hint("merge"), "chunk_id", "left").withColumn("scope", F.coalesce("label", "chunk_id") % 3).drop("label")
 
 
 def snapshot_questions(spark, d):
@@ -131,7 +137,7 @@ def snapshot_questions(spark, d):
 
 def hybrid(spark, d, chunks, limit=LIMIT, min_relevance=0.0):
     """The flagship: a vector and a lexical ranking over one snapshot of chunks, fused by rank."""
-    return R.hybrid_search(chunks, snapshot_questions(spark, d), POOL, limit, min_relevance)
+    return R.hybrid_search(chunks, snapshot_questions(spark, d), POOL, limit, min_relevance, text_chunks(spark, d), snapshot_scopes(spark, d))
 
 
 @query("r3_hybrid_search", f"WITH {SNAP_SQL} SELECT * FROM found WHERE rank <= {LIMIT} AND score >= {MIN_FUSED}")
@@ -141,7 +147,7 @@ def r3(spark, d):
 
 @query("r2_lexical_search", f"WITH {SNAP_SQL} SELECT question, chunk_id, score, CAST({RANK} AS INT) AS rank FROM bm WHERE (question, chunk_id) IN (SELECT question, chunk_id FROM (SELECT DISTINCT question, scope, term FROM terms) JOIN hits USING (term, scope) JOIN (SELECT question, count(*) AS need FROM terms GROUP BY question) USING (question) GROUP BY question, chunk_id, need HAVING count(*) = need) QUALIFY rank <= {LIMIT}")
 def r2(spark, d):
-    return R.lexical_topk(snapshot(spark, d), snapshot_questions(spark, d).withColumn("strict", F.lit(True)), LIMIT).select("question", "chunk_id", "score", "rank")
+    return R.lexical_topk(text_chunks(spark, d), snapshot_questions(spark, d).withColumn("strict", F.lit(True)), LIMIT, placed=snapshot_scopes(spark, d)).select("question", "chunk_id", "score", "rank")
 
 
 #: Places of the words of each question in each chunk that has them all, then the earliest of the words' last places at each place.
