@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docloom.functions.text import strip
+from docloom.functions.text import lexical_tokens, strip
 from docloom.operators import retrieval as R
 from docloom.operators.stored import join_small, stored
 
@@ -41,7 +41,7 @@ def route(questions: DataFrame, hybrid_enabled: str = "true") -> DataFrame:
     )
 
 
-def routed_search(chunks: DataFrame, routed: DataFrame, pool: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def routed_search(chunks: DataFrame, routed: DataFrame, pool: int, texts: DataFrame | None = None, placed: R.Placed | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The candidates of each question in its own mode, and both rankings they come from: each (question, chunk_id, score, rank).
 
     chunks: chunk_id, scope, embedding, tokens; routed: what ``route`` gives of
@@ -51,13 +51,14 @@ def routed_search(chunks: DataFrame, routed: DataFrame, pool: int) -> tuple[Data
     by rank; the lexical mode asks for all words. Where the lexical ranking is
     not to be had, a hybrid question is fused from the dense one alone and a
     lexical one has no candidate. The least relevance is one of the score that
-    orders the rows, which ``domain`` of the candidates names.
+    orders the rows, which ``domain`` of the candidates names. ``texts``
+    (chunk_id, text) may stand for the tokens, with ``placed`` as in ``lexical_topk``.
     """
     modes = routed.where("mode IS NOT NULL").select("question", "mode", F.coalesce("min_relevance", F.lit(0.0)).alias("least"))
     near_asked = routed.where("mode IN ('dense', 'hybrid') AND embedding IS NOT NULL")
     said_asked = routed.where("mode IN ('lexical', 'hybrid') AND lexical_ok AND size(tokens) > 0")
     near = stored(R.dense_topk(chunks.where("embedding IS NOT NULL"), near_asked, pool))
-    said = stored(R.lexical_topk(chunks, said_asked.withColumn("strict", F.col("mode") == "lexical"), pool))
+    said = stored(R.lexical_topk(chunks if texts is None else texts.select("chunk_id", lexical_tokens(F.col("text")).alias("tokens")), said_asked.withColumn("strict", F.col("mode") == "lexical"), pool, placed=placed))
     of = lambda ranked, mode: ranked.join(modes.where(F.col("mode") == mode).select("question"), "question", "left_semi")
     fused = R.fuse(of(near, "hybrid"), of(said, "hybrid"), 2 * pool)
     named = lambda rows, mode: rows.select("question", "chunk_id", "score", "rank", F.lit(DOMAINS[mode]).alias("domain"))
@@ -73,7 +74,7 @@ def word_overlap(pairs: DataFrame) -> DataFrame:
     return pairs.select("question", "chunk_id", F.round(share, 6).alias("relevance"))
 
 
-def rerank(candidates: DataFrame, routed: DataFrame, chunks: DataFrame, scorer: Scorer | None, least_chunks: int) -> tuple[DataFrame, DataFrame]:
+def rerank(candidates: DataFrame, routed: DataFrame, chunks: DataFrame, scorer: Scorer | None, least_chunks: int, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(question, chunk_id, parent, score, rank, domain) by the reranker's relevance, and (question, reranker_input, reranker_output, reason).
 
     The whole pool is scored, not the part that would be selected, and by the
@@ -81,7 +82,8 @@ def rerank(candidates: DataFrame, routed: DataFrame, chunks: DataFrame, scorer:
     chunks are left as they are. Without a scorer, or where it gives a question
     no finite relevance, the former order stays and the reason says so; else
     pairs without a finite relevance go, the highest relevance of a pair counts,
-    and ties are broken by id. Texts are read only for chunks in some pool.
+    and ties are broken by id. Texts, of ``texts`` or else of ``chunks``, are read
+    and cut into words only for chunks in some pool.
     """
     held = chunks.groupBy("scope").agg(F.count("*").alias("held"))
     large = routed.join(held, "scope").where(F.col("held") >= least_chunks).select("question", F.col("tokens").alias("asked"))
@@ -90,8 +92,10 @@ def rerank(candidates: DataFrame, routed: DataFrame, chunks: DataFrame, scorer:
     if scorer is None:
         return candidates, sizes.select("question", F.lit(0).cast("bigint").alias("reranker_input"), F.lit(0).cast("bigint").alias("reranker_output"), F.lit("reranker_absent").alias("reason"))
     wanted = stored(ready.select("chunk_id").distinct())
-    texts = stored(join_small(chunks.select("chunk_id", "tokens"), wanted, ["chunk_id"], "chunk_id", 1))
-    pairs = ready.select("question", "chunk_id").join(large, "question").join(texts, "chunk_id").select("question", "chunk_id", "asked", "tokens")
+    own = chunks.select("chunk_id", "tokens") if texts is None else texts.select("chunk_id", "text")
+    pooled = join_small(own, wanted, ["chunk_id"], "chunk_id", 1, "left_semi")
+    pooled = stored(pooled if texts is None else pooled.select("chunk_id", lexical_tokens(F.col("text")).alias("tokens")))
+    pairs = ready.select("question", "chunk_id").join(large, "question").join(pooled, "chunk_id").select("question", "chunk_id", "asked", "tokens")
     relevance = F.col("relevance").cast("double")
     finite = relevance.isNotNull() & ~F.isnan(relevance) & (F.abs(relevance) < float("inf"))
     judged = scorer(pairs).where(finite).groupBy("question", "chunk_id").agg(F.max(relevance).alias("relevance"))
@@ -104,11 +108,11 @@ def rerank(candidates: DataFrame, routed: DataFrame, chunks: DataFrame, scorer:
     return candidates.join(ranked.select("question").distinct(), "question", "left_anti").unionByName(ranked), stages
 
 
-def traced_retrieval(chunks: DataFrame, questions: DataFrame, pool: int, scorer: Scorer | None, least_chunks: int, hybrid_enabled: str = "true") -> tuple[DataFrame, DataFrame]:
+def traced_retrieval(chunks: DataFrame, questions: DataFrame, pool: int, scorer: Scorer | None, least_chunks: int, hybrid_enabled: str = "true", texts: DataFrame | None = None, placed: R.Placed | None = None) -> tuple[DataFrame, DataFrame]:
     """The selected chunks of every question that can be asked, and one trace row for each of these questions.
 
     chunks: chunk_id, scope, parent, generation, embedding, tokens, cost
-    (tokens of its text); questions as for ``routed_search``, with budget
+    (tokens of its text), or ``texts`` for its tokens; questions as for ``routed_search``, with budget
     (tokens of evidence). Candidates are collapsed by parent, reranked and cut to
     what was requested; of these the best go into the prompt as long as the
     budget holds. The trace has counts by stage, reasons in a fixed order, the
@@ -116,11 +120,11 @@ def traced_retrieval(chunks: DataFrame, questions: DataFrame, pool: int, scorer:
     column that could hold a text. Null and blank questions have no trace.
     """
     routed = stored(route(questions, hybrid_enabled))
-    found, near, said = routed_search(chunks, routed, pool)
+    found, near, said = routed_search(chunks, routed, pool, texts, placed)
     one = R.collapse_parents(found.join(chunks.select("chunk_id", "parent"), "chunk_id"))
     domains = found.select("question", "domain").distinct()
     candidates = stored(one.join(domains, "question").select("question", "chunk_id", "parent", "score", "rank", "domain"))
-    ranked, stages = rerank(candidates, routed, chunks, scorer, least_chunks)
+    ranked, stages = rerank(candidates, routed, chunks, scorer, least_chunks, texts)
     wanted = routed.where("mode IS NOT NULL").select("question", "requested", "budget")
     final = ranked.join(wanted, "question").where("rank <= requested").join(chunks.select("chunk_id", "generation", "cost"), "chunk_id")
     running = F.sum("cost").over(Window.partitionBy("question").orderBy("rank"))

@@ -27,9 +27,9 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(rows: DataFrame, small: DataFrame, on: list[str], salt_by: str, salts: int = 16) -> DataFrame:
+def join_small(rows: DataFrame, small: DataFrame, on: list[str], salt_by: str, salts: int = 16, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``small``, a stored table: broadcast up to SMALL_ROWS rows; beyond, each key is split by a hash of ``salt_by``."""
     if small.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        return rows.join(F.broadcast(small), on)
+        return rows.join(F.broadcast(small), on, how)
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    return dealt.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"]).drop("_salt")
+    return dealt.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"], how).drop("_salt")

@@ -45,11 +45,26 @@ ranked AS (SELECT question, chunk_id, parent, score, rank, domain FROM pool WHER
 sel AS (SELECT r.question, chunk_id, r.parent, score, rank, domain, generation, cost, sum(cost) OVER (PARTITION BY r.question ORDER BY rank) <= budget AS fits FROM ranked r JOIN qs USING (question) JOIN ch USING (chunk_id) WHERE rank <= requested)"""
 
 
+def _scope(doc):
+    return F.when(doc % 50 == 0, 3).otherwise(doc % 3)
+
+
 def _chunks(spark, d):
+    """All documents as chunks without their texts."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     doc = F.col("doc_id")
-    docs = table(spark, d, "documents").select("doc_id", X.lexical_tokens(F.col("text")).alias("tokens"), X.token_estimate(F.col("text")).alias("cost"))
-    return stored(docs.join(v, "doc_id", "left").select(doc.alias("chunk_id"), F.when(doc % 50 == 0, 3).otherwise(doc % 3).alias("scope"), F.floor(doc / 4).alias("parent"), (doc % 5).alias("generation"), "embedding", "tokens", "cost"))
+    docs = table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("cost"))
+    return stored(docs.join(v.hint("merge"), "doc_id", "left").select(doc.alias("chunk_id"), _scope(doc).alias("scope"), F.floor(doc / 4).alias("parent"), (doc % 5).alias("generation"), "embedding", "cost"))
+
+
+def _texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _placed(spark, d):
+    """Adds the scopes of ``_chunks`` to rows of chunks, one row for each vector of equal id there too."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return lambda rows: rows.join(v.hint("merge"), "chunk_id", "left").withColumn("scope", _scope(F.col("chunk_id")))
 
 
 def _questions(spark, d):
@@ -81,14 +96,14 @@ def _scorer(pairs):
 
 
 def _traced(spark, d, scorer=_scorer):
-    return T.traced_retrieval(_chunks(spark, d), _questions(spark, d), POOL, scorer, LEAST_CHUNKS, ENABLED)
+    return T.traced_retrieval(_chunks(spark, d), _questions(spark, d), POOL, scorer, LEAST_CHUNKS, ENABLED, _texts(spark, d), _placed(spark, d))
 
 
 @query("r4_mode_routing", f"WITH {_SNAP_SQL} SELECT question, error, mode, domain, chunk_id, score, f.rank FROM (SELECT question, error, NULL AS mode FROM rt WHERE error IS NOT NULL UNION ALL SELECT question, NULL, mode FROM qs) LEFT JOIN (SELECT * FROM found) f USING (question)")
 def r4(spark, d):
     """Every question with its error or mode, and the candidates of that mode."""
     routed = stored(T.route(_questions(spark, d), ENABLED))
-    found = T.routed_search(_chunks(spark, d), routed, POOL)[0]
+    found = T.routed_search(_chunks(spark, d), routed, POOL, _texts(spark, d), _placed(spark, d))[0]
     return routed.select("question", "error", "mode").join(found, "question", "left").select("question", "error", "mode", "domain", "chunk_id", "score", "rank")
 
 

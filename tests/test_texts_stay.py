@@ -22,7 +22,7 @@ def test_scopes_that_a_join_tells(spark):
     assert sorted(((r.question, r.chunk_id, r.score, r["rank"]) for r in found.collect()), key=repr) == by_counting(chunks, questions, 4, True)
 
 
-@pytest.mark.parametrize("name", ["r2_lexical_search", "r3_hybrid_search", "r6_retrieval_pipeline"])
+@pytest.mark.parametrize("name", ["r2_lexical_search", "r3_hybrid_search", "r6_retrieval_pipeline", "r4_mode_routing"])
 def test_no_stored_chunk_has_its_words(spark, monkeypatch, name):
     seen = []
     for module in (R, T, retrieval_queries, routing_queries):
