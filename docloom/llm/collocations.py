@@ -44,37 +44,53 @@ ABSORBED = 50
 TOP_PHRASES = 2_000
 #: Bytes of text of one language in a block.
 BLOCK_BYTES = 12 << 20
+#: A task holds text of so many blocks at most, however many languages it meets.
+HELD_BLOCKS = 4
+#: Positions whose pairs are found at once, and pairs in one Arrow batch (more only if a single phrase has more).
+PART = 1 << 17
+#: Blocks in one file: a reader decodes the rows of a file together, and a writer keeps up to a hundred rows in memory.
+BLOCKS_A_FILE = 4
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 LOWER_AND_CUT = bytes(ord("\n") if b in BREAKS else ord(" ") if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 TOKEN = re.compile(rb"[^ \n]+|\n")
 
-WORD_LISTS = "lang string, block bigint, n bigint, words array<binary>, counts array<int>, deltas array<int>"
-LISTS = "block bigint, ids array<bigint>, counts array<int>, deltas array<int>"
+#: Numbers that only Python reads are binary: Spark takes long to hand rows on in Arrow batches behind an array of millions.
+WORD_LISTS = "lang string, block bigint, n bigint, words array<binary>, each array<int>, counts binary, deltas binary"
+LISTS = "block bigint, ids binary, counts binary, deltas binary"
 KEYS = "block bigint, i int, prefix bigint, suffix bigint, n bigint"
+COUNTS = "prefix bigint, suffix bigint, n bigint"
 
 
 def pack(positions: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Ascending lists, one behind the other, as steps from place to place: most are small."""
     starts = np.cumsum(counts) - counts
-    steps = np.diff(positions, prepend=0)
+    steps = np.diff(positions, prepend=positions.dtype.type(0))
     steps[starts] = positions[starts]
     return steps
 
 
 def unpack(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The positions again. Sums of 32 bits may overflow on the way; positions have 31, so differences of sums are right."""
     starts = np.cumsum(counts) - counts
-    sums = np.cumsum(steps, dtype=np.int64)
+    sums = np.cumsum(steps, dtype=steps.dtype)
     return sums - np.repeat(sums[starts] - steps[starts], counts)
 
 
-def _numpy(column: pa.ListScalar | pa.Array, kind: type) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+def _one(values: pa.Array) -> pa.Array:
+    """An array column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """An array column of one row."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+def _binary(values: np.ndarray, kind: type) -> pa.Array:
+    """A binary column of one row: the first bytes of all numbers, then the second ones, as high bytes are alike and take little space."""
+    planes = values.astype(kind).view(np.uint8).reshape(-1, kind().itemsize).T
+    return pa.array([planes.tobytes()], pa.binary())
+
+
+def _numbers(cell: pa.BinaryScalar, kind: type) -> np.ndarray:
+    planes = np.frombuffer(cell.as_buffer(), np.uint8).reshape(kind().itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def coded_words(data: bytes, part: int = 1 << 20) -> pa.DictionaryArray:
@@ -82,29 +98,35 @@ def coded_words(data: bytes, part: int = 1 << 20) -> pa.DictionaryArray:
     found, start = [], 0
     while start < len(data):
         end = data.find(b"\n", start + part) + 1 or len(data)
-        found.append(pa.array(TOKEN.findall(data, start, end), pa.binary()))
+        found.append(pa.array(TOKEN.findall(data, start, end), pa.binary()).dictionary_encode())
         start = end
-    return pa.chunked_array(found, pa.binary()).dictionary_encode().unify_dictionaries().combine_chunks()
+    return pa.chunked_array(found, pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries().combine_chunks()
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("lang", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("deltas", pa.list_(pa.int32()))])
+    schema = pa.schema([("lang", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("words", pa.list_(pa.binary())), ("each", pa.list_(pa.int32())), ("counts", pa.binary()), ("deltas", pa.binary())])
     block = TaskContext.get().partitionId() << 32
     held: dict[str, bytearray] = {}
-
-    def flush(lang: str, data: bytes) -> Iterator[pa.RecordBatch]:
-        nonlocal block
+    size = 0
+
+    def flush(lang: str, cut: int) -> Iterator[pa.RecordBatch]:
+        nonlocal block, size
+        data = bytes(memoryview(held[lang])[:cut])
+        del held[lang][:cut]
+        size -= cut
+        if not data:
+            return
         coded = coded_words(data)
         codes, words = coded.indices.to_numpy(), coded.dictionary
         gap = words.index(pa.scalar(b"\n", pa.binary())).as_py()
-        order = np.argsort(codes, kind="stable")
+        order = np.argsort(codes, kind="stable").astype(np.int32)
         counts = np.bincount(codes, minlength=len(words))
         if gap >= 0:
             order = order[codes[order] != gap]
             counts = np.delete(counts, gap)
             words = pa.concat_arrays([words[:gap], words[gap + 1 :]])
         if len(words):
-            values = [pa.array([lang], pa.string()), pa.array([block], pa.int64()), pa.array([len(order)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), _one(counts, pa.int32()), _one(pack(order, counts), pa.int32())]
+            values = [pa.array([lang], pa.string()), pa.array([block], pa.int64()), pa.array([len(order)], pa.int64()), _one(words), _one(pa.array(counts, pa.int32())), _binary(counts, np.int32), _binary(pack(order, counts), np.int32)]
             yield pa.RecordBatch.from_arrays(values, schema=schema)
             block += 1
 
@@ -114,12 +136,15 @@ def _word_lists(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator
                 data = held.setdefault(lang, bytearray())
                 data += text.translate(LOWER_AND_CUT)
                 data += b"\n"
+                size += len(text) + 1
                 while len(data) >= block_bytes:
-                    cut = data.rfind(b"\n", 0, block_bytes) + 1 or data.index(b"\n") + 1
-                    yield from flush(lang, bytes(data[:cut]))
-                    del data[:cut]
-    for lang, data in held.items():
-        yield from flush(lang, bytes(data))
+                    yield from flush(lang, data.rfind(b"\n", 0, block_bytes) + 1 or data.index(b"\n") + 1)
+                while size > HELD_BLOCKS * block_bytes:
+                    largest = max(held, key=lambda x: len(held[x]))
+                    yield from flush(largest, len(held[largest]))
+                    del held[largest]
+    for lang in list(held):
+        yield from flush(lang, len(held[lang]))
 
 
 def word_lists(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -128,51 +153,96 @@ def word_lists(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return plain.mapInArrow(lambda batches: _word_lists(batches, block_bytes), WORD_LISTS)
 
 
-def extended(ids: np.ndarray, counts: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """prefix, suffix, count and positions of each pair of listed phrases that stand one position apart.
+def extended(counts: np.ndarray, steps: np.ndarray, part: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """prefix, suffix (places in the list of phrases), count and positions of each pair of listed phrases that stand one position apart.
 
     Both lists are merged by position: what stands at a place and what stands
-    at the next one. Pairs are in a fixed order, so a later call finds them again.
+    at the next one. Pairs are in a fixed order, so a later call finds them
+    again, and come in parts: those of the phrases that have ``part`` positions
+    together, or of one phrase.
     """
     at = unpack(steps, counts)
-    number = np.repeat(np.arange(len(ids)), counts)
-    placed = np.full(int(at.max()) + 2 if len(at) else 1, -1, np.int64)
-    placed[at] = number
-    here = np.nonzero((placed[:-1] >= 0) & (placed[1:] >= 0))[0]
-    pair = placed[here] * len(ids) + placed[here + 1]
-    order = np.argsort(pair, kind="stable")
-    pair, here = pair[order], here[order]
-    first = np.nonzero(np.diff(pair, prepend=-1))[0]
-    return ids[pair[first] // max(len(ids), 1)], ids[pair[first] % max(len(ids), 1)], np.diff(first, append=len(pair)), here
+    placed = np.full(int(at.max()) + 2 if len(at) else 1, -1, np.int32)
+    placed[at] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    ends = np.cumsum(counts)
+    phrase, start = 0, 0
+    while phrase < len(counts):
+        phrase = max(phrase + 1, int(np.searchsorted(ends, start + part, "right")))
+        here = at[start : ends[phrase - 1]]
+        start = int(ends[phrase - 1])
+        here = here[placed[here + 1] >= 0]
+        pair = placed[here].astype(np.int64) * len(counts) + placed[here + 1]
+        order = np.argsort(pair, kind="stable")
+        pair, here = pair[order], here[order]
+        first = np.nonzero(np.diff(pair, prepend=-1))[0]
+        yield pair[first] // len(counts), pair[first] % len(counts), np.diff(first, append=len(pair)), here
+
+
+def key_batches(block: int, ids: np.ndarray, counts: np.ndarray, steps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """KEYS of the pairs of a block's lists, some at a time: what Spark and Python exchange is held several times over."""
+    i = 0
+    for prefix, suffix, n, _ in extended(counts, steps):
+        numbers = np.arange(i, i + len(n))
+        i += len(n)
+        values = [pa.array(np.full(len(n), block), pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids[prefix], pa.int64()), pa.array(ids[suffix], pa.int64()), pa.array(n, pa.int64())]
+        yield pa.RecordBatch.from_arrays(values, names=["block", "i", "prefix", "suffix", "n"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
-            ids, counts, steps = (_numpy(batch.column(c)[row], k) for c, k in (("ids", np.int64), ("counts", np.int64), ("deltas", np.int64)))
-            prefix, suffix, n, _ = extended(ids, counts, steps)
-            block = np.full(len(n), batch.column("block")[row].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(np.arange(len(n)), pa.int32()), pa.array(prefix, pa.int64()), pa.array(suffix, pa.int64()), pa.array(n, pa.int64())], names=["block", "i", "prefix", "suffix", "n"])
-
-
-def _frequent_lists(lists: pa.Table, frequent: pa.Table) -> pa.Table:
-    """The lists of a block's frequent phrases; ``frequent`` has their numbers i in the block and their ids."""
-    names = ["block", "ids", "counts", "deltas"]
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("deltas", pa.list_(pa.int32()))])
-    if not lists.num_rows or not frequent.num_rows:
-        return schema.empty_table()
-    row = {c: lists.column(c)[0] for c in lists.column_names}
-    counts, steps = _numpy(row["counts"], np.int64), _numpy(row["deltas"], np.int64)
-    if "ids" in row:
-        *_, counts, at = extended(_numpy(row["ids"], np.int64), counts, steps)
-    else:
-        at = unpack(steps, counts)
-    ids = np.full(len(counts), -1, np.int64)
-    ids[frequent.column("i").to_numpy()] = frequent.column("id").to_numpy()
-    kept = ids >= 0
-    at, counts = at[np.repeat(kept, counts)], counts[kept]
-    values = [pa.array([row["block"].as_py()], pa.int64()), _one(ids[kept], pa.int64()), _one(counts, pa.int32()), _one(pack(at, counts), pa.int32())]
-    return pa.Table.from_arrays(values, names=names).cast(schema)
+            yield from key_batches(batch.column("block")[row].as_py(), *(_numbers(batch.column(c)[row], k) for c, k in (("ids", np.int64), ("counts", np.int32), ("deltas", np.int32))))
+
+
+def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.StructScalar, np.ndarray, np.ndarray]]:
+    """Each block of ``with_frequent``: its lists, and the numbers in the block and the ids of its frequent phrases."""
+    held = None
+
+    def whole() -> tuple[int, pa.StructScalar, np.ndarray, np.ndarray]:
+        block, lists, numbers, ids = held
+        return block, lists, np.concatenate(numbers), np.concatenate(ids)
+
+    for batch in batches:
+        i, ids = (batch.column(c).fill_null(-1).to_numpy() for c in ("i", "id"))
+        bounds = [*np.nonzero(i < 0)[0].tolist(), len(i)]
+        if held:
+            held[2].append(i[: bounds[0]].copy())
+            held[3].append(ids[: bounds[0]].copy())
+        for start, stop in zip(bounds, bounds[1:], strict=False):
+            if held:
+                yield whole()
+            held = batch.column("block")[start].as_py(), batch.column("lists")[start], [i[start + 1 : stop].copy()], [ids[start + 1 : stop].copy()]
+    if held:
+        yield whole()
+
+
+def kept_lists(lists: pa.StructScalar, numbers: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, counts and steps of a block's frequent phrases; ``numbers`` ascend."""
+    counts, steps = (_numbers(lists[c], np.int32) for c in ("counts", "deltas"))
+    parts = ((n, at) for *_, n, at in extended(counts, steps)) if lists["longer"].as_py() else [(counts, unpack(steps, counts))]
+    sizes, found, first = [], [], 0
+    for n, at in parts:
+        low, high = np.searchsorted(numbers, (first, first + len(n)))
+        kept = np.zeros(len(n), bool)
+        kept[numbers[low:high] - first] = True
+        first += len(n)
+        sizes.append(n[kept].astype(np.int32))
+        found.append(pack(at[np.repeat(kept, n)], n[kept]))
+    return ids, np.concatenate(sizes), np.concatenate(found)
+
+
+def _frequent_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, lists, numbers, ids in followed(batches):
+        if len(numbers):
+            ids, counts, steps = kept_lists(lists, numbers, ids)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), _binary(ids, np.int64), _binary(counts, np.int32), _binary(steps, np.int32)], names=["block", "ids", "counts", "deltas"])
+
+
+def _longer_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, lists, numbers, ids in followed(batches):
+        if len(numbers):
+            for batch in key_batches(block, *kept_lists(lists, numbers, ids)):
+                yield batch.select(["prefix", "suffix", "n"])
 
 
 def frequent_keys(keys: DataFrame, key: list[str], min_count: int) -> DataFrame:
@@ -186,51 +256,65 @@ def frequent_keys(keys: DataFrame, key: list[str], min_count: int) -> DataFrame:
     return counted.withColumn("once", F.col("row") == F.col("id")).drop("row", "n")
 
 
-def by_block(lists: DataFrame, frequent: DataFrame) -> DataFrame:
-    return lists.groupBy("block").cogroup(frequent.select("block", "i", "id").groupBy("block")).applyInArrow(_frequent_lists, LISTS)
+def with_frequent(lists: DataFrame, frequent: DataFrame, longer: bool) -> DataFrame:
+    """Each block's lists, followed by the rows of its frequent phrases: these are its listed phrases, or if ``longer`` pairs of them.
+
+    A task reads these rows as a stream; a group would be sent to Python as one piece.
+    """
+    own = F.struct(F.lit(longer).alias("longer"), "counts", "deltas").alias("lists")
+    heads = lists.select("block", F.lit(-1).alias("i"), F.lit(None).cast("bigint").alias("id"), own)
+    rows = frequent.select("block", "i", "id", F.lit(None).cast(heads.schema["lists"].dataType).alias("lists"))
+    return heads.unionByName(rows).repartition("block").sortWithinPartitions("block", "i")
 
 
-def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, stored: Callable[[DataFrame], DataFrame], block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
+def frequent_phrases(docs: DataFrame, max_words: int, min_count: int, stored: Callable[..., DataFrame], block_bytes: int = BLOCK_BYTES) -> tuple[list[DataFrame], DataFrame]:
     """For each length up to ``max_words`` a table of phrases, and the number of words of each language.
 
     A phrase has lang, id, f, its words' ids, heads (frequencies of its first
     1, 2, ... words) and tails (of its last 1, 2, ...); single words have their
     word, longer phrases the ids prefix and suffix of what they are without
     their last and first word. Lists and keys are tables of their own, which go
-    as soon as those of the next level are written; what is returned is ``stored``.
+    as soon as those of the next level are written; what is returned is
+    ``stored``. Lists of the length before the last are counted as they are
+    made, and never written.
     """
     with ExitStack() as every:
 
-        def tables() -> tuple[ExitStack, Callable[[DataFrame], DataFrame]]:
+        def tables() -> tuple[ExitStack, Callable[..., DataFrame]]:
             own = every.enter_context(ExitStack())
             return own, own.enter_context(scratch(docs.sparkSession))
 
         past, kept = tables()
-        blocks = kept(word_lists(docs, block_bytes))
+        blocks = kept(word_lists(docs, block_bytes), BLOCKS_A_FILE)
         sizes = stored(blocks.groupBy("lang").agg(F.sum("n").alias("n")))
-        words = frequent_keys(blocks.select("lang", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("lang", "block", "i", F.col("x.words").alias("word"), F.col("x.counts").alias("n")), ["lang", "word"], min_count)
+        words = frequent_keys(blocks.select("lang", "block", F.posexplode(F.arrays_zip("words", "each")).alias("i", "x")).select("lang", "block", "i", F.col("x.words").alias("word"), F.col("x.each").alias("n")), ["lang", "word"], min_count)
         found = kept(words)
         none = F.array().cast("array<bigint>")
         levels = [stored(found.where("once").select("lang", "id", "f", F.col("word").cast("string").alias("word"), F.array("id").alias("ids"), none.alias("heads"), none.alias("tails")))]
         now, kept = tables()
-        lists = kept(by_block(blocks.select("block", "counts", "deltas"), found))
+        lists = kept(with_frequent(blocks, found, False).mapInArrow(_frequent_lists, LISTS), BLOCKS_A_FILE)
         past.close()
+        keys = lists.mapInArrow(_keys, KEYS)
         for length in range(2, max_words + 1):
-            past, (now, kept) = now, tables()
-            keys = lists.mapInArrow(_keys, KEYS)
             if length < max_words:
+                past, (now, kept) = now, tables()
                 found = kept(frequent_keys(keys, ["prefix", "suffix"], min_count))
-                lists = kept(by_block(lists, found))
                 phrases = found.where("once").select("prefix", "suffix", "id", "f")
+                pairs = with_frequent(lists, found, True)
+                if length + 1 < max_words:
+                    lists = kept(pairs.mapInArrow(_frequent_lists, LISTS), BLOCKS_A_FILE)
+                    keys = lists.mapInArrow(_keys, KEYS)
+                    past.close()
+                else:
+                    keys = pairs.mapInArrow(_longer_counts, COUNTS)
             else:
-                counted = keys.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+                # a pair has one row a block: adding up before the rows are dealt would hold all in memory and join hardly any
+                counted = keys.repartition("prefix", "suffix").groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
                 phrases = stored(counted.withColumn("id", F.monotonically_increasing_id()))
-            past.close()
-            part = levels[-1].select("id", "f", "ids", "heads", "tails")
-            head = part.select(F.col("id").alias("prefix"), F.col("ids").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
-            tail = part.select(F.col("id").alias("suffix"), F.element_at("ids", -1).alias("last"), F.concat("tails", F.array("f")).alias("tails"))
-            lang = levels[-1].select(F.col("id").alias("suffix"), "lang")
-            joined = lookup(lookup(phrases, stored(head), ["prefix"]), stored(tail.join(lang.hint("merge"), "suffix")), ["suffix"])
+                every.close()
+            head = levels[-1].select(F.col("id").alias("prefix"), F.col("ids").alias("first"), F.concat("heads", F.array("f")).alias("heads"))
+            tail = levels[-1].select(F.col("id").alias("suffix"), "lang", F.element_at("ids", -1).alias("last"), F.concat("tails", F.array("f")).alias("tails"))
+            joined = lookup(lookup(phrases, head, ["prefix"], salts=1), tail, ["suffix"], salts=1)
             levels.append(stored(joined.select("lang", "id", "f", "prefix", "suffix", F.concat("first", F.array("last")).alias("ids"), "heads", "tails")))
         return levels, sizes
 

@@ -82,11 +82,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+def materialize(df: DataFrame, path: str | None = None, rows_a_file: int = 0) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    Rows of many MB need a limit for a file (0: none), as Spark reads the rows of a file thousands at a time.
+    """
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,13 +100,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def scratch(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     """A function that materializes a DataFrame; its tables go when the block ends, by an error too."""
     paths: list[str] = []
 
-    def stored(df: DataFrame) -> DataFrame:
+    def stored(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
         paths.append(shared_dir(spark))
-        return materialize(df, paths[-1])
+        return materialize(df, paths[-1], rows_a_file)
 
     try:
         yield stored
@@ -123,9 +126,12 @@ def lookup(facts: DataFrame, dims: DataFrame, on: list[str], how: str = "inner",
     every key is split into ``salts`` parts by a hash of the fact row, so one
     key with a third of all rows is dealt to that many tasks. These are merged:
     Spark judges ``dims`` by its file and would broadcast all parts of every key.
+    ``salts`` of 1 is for facts that are large only with ``dims``: each part is a copy of ``dims``.
     """
     if dims.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         return facts.join(F.broadcast(dims), on, how)
+    if salts == 1:
+        return facts.join(dims.hint("merge"), on, how)
     salt = unused("salt")
     dealt = facts.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)).cast("int"))
     parts = dims.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -3,9 +3,11 @@
 import hashlib
 import io
 import struct
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import Row, functions as F
@@ -143,6 +145,74 @@ def test_longer_collocations_against_counting(spark):
         assert tails == [counts[" ".join(w[-k:])] for k in range(1, len(w))]
 
 
+def test_pairs_of_a_block_are_sent_in_parts():
+    words = np.random.default_rng(13).integers(0, 5_000, 600_000)
+    counts = np.bincount(words)
+    steps = collocations.pack(np.argsort(words, kind="stable").astype(np.int32), counts).astype(np.int32)
+    ids = np.arange(len(counts)) * 3 + 2**40
+    tracemalloc.start()
+    rows = [b.num_rows for b in collocations.key_batches(7, ids, counts.astype(np.int32), steps)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(rows) <= collocations.PART < sum(rows)
+    assert most < 24e6  # with all pairs at once, 8 arrays of 64 bits for each position
+    found, at = Counter(), 0
+    for batch in collocations.key_batches(7, ids, counts.astype(np.int32), steps):
+        assert batch.column("i").to_pylist() == list(range(at, at := at + batch.num_rows))
+        for prefix, suffix, n in zip(*(batch.column(c).to_pylist() for c in ("prefix", "suffix", "n")), strict=True):
+            found[(prefix - 2**40) // 3, (suffix - 2**40) // 3] += n
+    assert found == Counter(zip(words[:-1].tolist(), words[1:].tolist(), strict=True))
+
+
+def test_one_phrase_may_fill_a_part():
+    steps = np.array([0] + [1] * 999, np.int32)
+    (prefix, suffix, n, at), *rest = collocations.extended(np.array([1000], np.int32), steps, part=64)
+    assert (prefix.tolist(), suffix.tolist(), n.tolist(), at.tolist(), rest) == ([0], [0], [999], list(range(999)), [])
+    assert list(collocations.extended(np.array([], np.int32), np.array([], np.int32))) == []
+
+
+@pytest.mark.parametrize("words", [3, 4])
+def test_blocks_are_read_across_batches(spark, words):
+    rows = [Row(text=" ".join("abcdefgh"[(i * i + j * j * 3) % 8] for j in range(60)), lang="en" if i % 2 else "de") for i in range(24)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "5")
+    try:
+        with scratch(spark) as stored:
+            levels, _ = collocations.frequent_phrases(spark.createDataFrame(rows), words, 10, stored, block_bytes=600)
+            spelled = {r.id: r.word for r in levels[0].collect()}
+            found = Counter({(r.lang, " ".join(spelled[i] for i in r.ids)): r.f for level in levels for r in level.collect()})
+    finally:
+        spark.conf.set(key, before)
+    counts = Counter((r.lang, " ".join(r.text.split()[i : i + m])) for r in rows for m in range(1, words + 1) for i in range(61 - m))
+    assert found == Counter({p: n for p, n in counts.items() if n >= 10})
+
+
+def test_text_held_by_a_task_does_not_grow_with_languages(spark):
+    rows = [(i, "nineteen characters", f"lang{i % 40}", "s") for i in range(80)]
+    blocks = collocations.word_lists(spark.createDataFrame(rows, DOC).coalesce(1), block_bytes=64).select("lang", "n").collect()
+    assert len(blocks) > 40
+    total = Counter()
+    for r in blocks:
+        total[r.lang] += r.n
+    assert total == Counter({f"lang{i}": 4 for i in range(40)})
+
+
+def test_rows_of_blocks_are_few_in_a_file(spark):
+    with scratch(spark) as stored:
+        table = stored(spark.range(0, 9, 1, 1), collocations.BLOCKS_A_FILE)
+        assert len(table.inputFiles()) == 3 and table.count() == 9
+
+
+def test_lookup_without_salts_copies_nothing(spark):
+    with scratch(spark) as stored:
+        dims = stored(spark.range(SMALL_ROWS + 1).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value")))
+        found = lookup(spark.range(50).withColumnRenamed("id", "key"), dims, ["key"], salts=1)
+        assert sorted(map(tuple, found.collect())) == [(i, 2 * i) for i in range(50)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Generate" not in plan
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.mine_collocations(spark.createDataFrame([], DOC)).collect() == []
 
